@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .packing import pack
 from .sharding import byte_shards
+from .tokens import public_vocabulary
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +18,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_vocabulary(), size=1024, bound=64)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_sharding": op4_sharding}
+    return {"op4_sharding": op4_sharding, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
