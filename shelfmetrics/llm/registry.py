@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
+from .decontamination import contaminated
 from .packing import pack
+from .records import read_records, with_starts, write_records
 from .sharding import byte_shards
 from .tokens import public_vocabulary
 
@@ -18,12 +20,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.6, overlap=0.8, n=5)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_vocabulary(), size=1024, bound=64)
 
 
+def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = write_records(table(spark, sf_dir, "documents"), public_vocabulary())
+    back = written(read_records(spark, folder, index), "records-back")
+    return with_starts(back).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_sharding": op4_sharding, "op7_packing": op7_packing}
+    return {"op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op7_packing": op7_packing, "op8_records": op8_records}
 
 
 def oracle_sql() -> dict[str, str]:
