@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 from .decontamination import contaminated
+from .extraction import extract_pages
 from .packing import pack
 from .records import read_records, with_starts, write_records
 from .sharding import byte_shards
 from .tokens import public_vocabulary
 
 
+def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_shards(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -35,7 +40,7 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op7_packing": op7_packing, "op8_records": op8_records}
+    return {"op2_extraction": op2_extraction, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op7_packing": op7_packing, "op8_records": op8_records}
 
 
 def oracle_sql() -> dict[str, str]:
