@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .decontamination import contaminated
 from .extraction import extract_pages
+from .jaccard import jaccard_components
 from .packing import pack
 from .records import read_records, with_starts, write_records
 from .sharding import byte_shards
@@ -39,8 +40,12 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_starts(back).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, threshold="9/10").select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_extraction": op2_extraction, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op7_packing": op7_packing, "op8_records": op8_records}
+    return {"op2_extraction": op2_extraction, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op7_packing": op7_packing, "op8_records": op8_records, "op9_ngram_jaccard": op9_ngram_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
