@@ -11,6 +11,7 @@ from .common import table, written
 from .decontamination import contaminated
 from .extraction import extract_pages
 from .jaccard import jaccard_components
+from .outliers import mcd_outliers
 from .packing import pack
 from .records import read_records, with_starts, write_records
 from .sharding import byte_shards
@@ -30,6 +31,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.6, overlap=0.8, n=5)
 
 
+def op6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = mcd_outliers(docs)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_vocabulary(), size=1024, bound=64)
 
@@ -45,7 +52,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_extraction": op2_extraction, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op7_packing": op7_packing, "op8_records": op8_records, "op9_ngram_jaccard": op9_ngram_jaccard}
+    return {"op2_extraction": op2_extraction, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_outliers": op6_outliers, "op7_packing": op7_packing, "op8_records": op8_records, "op9_ngram_jaccard": op9_ngram_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
