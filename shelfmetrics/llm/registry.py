@@ -13,6 +13,7 @@ from .extraction import extract_pages
 from .jaccard import jaccard_components
 from .outliers import mcd_outliers
 from .packing import pack
+from .quality import classify
 from .records import read_records, with_starts, write_records
 from .sharding import byte_shards
 from .tokens import public_vocabulary
@@ -22,13 +23,17 @@ def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample_rows=8000, labelled_rows=6000)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_shards(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.6, overlap=0.8, n=5)
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.7, overlap=0.8, n=5)
 
 
 def op6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_extraction": op2_extraction, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_outliers": op6_outliers, "op7_packing": op7_packing, "op8_records": op8_records, "op9_ngram_jaccard": op9_ngram_jaccard}
+    return {"op2_extraction": op2_extraction, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_outliers": op6_outliers, "op7_packing": op7_packing, "op8_records": op8_records, "op9_ngram_jaccard": op9_ngram_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
