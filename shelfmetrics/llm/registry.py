@@ -11,6 +11,7 @@ from .common import table, written
 from .decontamination import contaminated
 from .extraction import extract_pages
 from .jaccard import jaccard_components
+from .ngram_lm import interpolated_scores
 from .outliers import mcd_outliers
 from .packing import pack
 from .quality import classify
@@ -19,6 +20,10 @@ from .sharding import byte_shards
 from .tokens import public_vocabulary
 
 
+def op1_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -57,7 +62,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_extraction": op2_extraction, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_outliers": op6_outliers, "op7_packing": op7_packing, "op8_records": op8_records, "op9_ngram_jaccard": op9_ngram_jaccard}
+    return {"op1_interpolation": op1_interpolation, "op2_extraction": op2_extraction, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_outliers": op6_outliers, "op7_packing": op7_packing, "op8_records": op8_records, "op9_ngram_jaccard": op9_ngram_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
