@@ -1,18 +1,70 @@
-"""The corpus pipeline: stages from documents to packed sequences."""
+"""The corpus pipeline: documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet and reads it again as the
+next stage's docs. All stages but the last return the columns of documents. Near-duplicates are documents whose sets
+of five-word shingles have a Jaccard similarity of at least 0.8.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfmetrics.llm.common import table, written
+from shelfmetrics.llm.decontamination import clean_of, contaminated
+from shelfmetrics.llm.jaccard import jaccard_components
+from shelfmetrics.llm.outliers import mcd_outliers
+from shelfmetrics.llm.packing import pack
+from shelfmetrics.llm.quality import classify
+from shelfmetrics.llm.tokens import public_vocabulary
+
+
+def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose ids are kept, all columns, by a join on the id."""
+    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier keeps: neither junk nor toxic."""
+    scores = classify(docs, table(spark, sf_dir, "labels"), sample_rows=8000, labelled_rows=6000)
+    return _rows_of(docs, scores.where("kept"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return mcd_outliers(docs).where("kept").select(*docs.columns)
 
-STAGES: list = []
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    groups = jaccard_components(docs, n=5, threshold="4/5")
+    return _rows_of(docs, groups.where("component_id = doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    hits = contaminated(docs, table(spark, sf_dir, "benchmark"), threshold=0.7, overlap=0.8, n=5)
+    return clean_of(docs, hits).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces, packed into sequences of 1024."""
+    return pack(docs, public_vocabulary(), size=1024, bound=64)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
 #: SQL can't express the learned stages; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each stage's rows are written and read again before the next."""
-    from shelfmetrics.llm.common import table, written
-
+    """Applies STAGES to documents."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
