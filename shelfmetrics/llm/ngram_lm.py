@@ -237,7 +237,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, at, kept, deleted = key[by], at[by], kept[by], deleted[by]
             cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])).tolist() if len(at) else []
             out = []
-            for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            for a, b in zip(cuts, [*cuts[1:], len(at)][: len(cuts)], strict=True):
                 payload = _pack(kind=np.array([kind], np.uint8), keys=key[a:b], kept=kept[a:b], deleted=deleted[a:b])
                 out.append((int(at[a]), payload, None, None, None, None, None, None))
             for k in range(0, len(out), 64):
