@@ -77,10 +77,27 @@ class BM25Index:
             starts = np.arange(0, len(rows), block)
             self.postings[t] = Posting(numbers, weights, numbers[np.minimum(starts + block, len(rows)) - 1], np.maximum.reduceat(weights, starts), float(weights.max()))
         self.terms = sorted(self.postings)
-        self.most = np.array([*(self.postings[t].most for t in self.terms), 0.0])
         self.term_array = pa.array(self.terms, pa.large_string())
         self.longest = max([1, *lengths])
 
+    def essential(self, most_common: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Splits the lists into common ones, of which no item has more than ``most_common`` of its score, and the rest.
+
+        Returns the common lists' share of each item's score, and the other lists, one after another: starts by term
+        (one more than terms; a common term's list is empty, as is that of an unknown word, the last), items, weights.
+        """
+        share, common = np.zeros(len(self.ids)), set()
+        for t in sorted(self.terms, key=lambda t: (-len(self.postings[t].items), t)):
+            p = self.postings[t]
+            if len(p.items) > 2 and (share[p.items] + p.weights <= most_common).all():
+                share[p.items] += p.weights
+                common.add(t)
+        lists = [self.postings[t] for t in self.terms if t not in common]
+        sizes = np.array([0 if t in common else len(self.postings[t].items) for t in self.terms] + [0], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        none = np.empty(0)
+        return share, starts, sizes, np.concatenate([p.items for p in lists] or [none]).astype(np.int64), np.concatenate([p.weights for p in lists] or [none])
+
     def search(self, terms: set[str], threshold: float) -> list[tuple[int, float]]:
         """All items that score ``threshold`` or more for the terms, by block-max WAND."""
         cursors = [[p, 0, 0] for t in sorted(terms) if (p := self.postings.get(t)) is not None]
@@ -124,6 +141,7 @@ class BM25Index:
 def _find(index: BM25Index, threshold: float, overlap: float, n: int):
     width = 2 * index.longest
     step = index.longest
+    share, starts, sizes, list_items, list_weights = index.essential(threshold / 2)
     questions = [(shingles(q, n), shingles(a, n)) for q, a in index.parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,20 +157,28 @@ def _find(index: BM25Index, threshold: float, overlap: float, n: int):
             offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
             places = np.concatenate([[0], np.cumsum(real)])[offsets]
             number = term[coded_at[real]]
-            ceiling = np.concatenate([[0.0], np.cumsum(index.most[number])])
-            # every run of `longest` words lies whole in some passage of twice as many, a step apart
-            counts = np.maximum(1, -(-(np.diff(places) - width) // step) + 1) * (np.diff(places) > 0)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            begin = places[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
-            end = np.minimum(begin + width, places[1:][doc])
+            # all words of rarer lists, each with its list's items, in both passages in which it lies
+            at = np.flatnonzero(sizes[number])
+            doc = np.searchsorted(places, at, "right") - 1
+            passage = (at - places[doc]) // step
+            many = sizes[number[at]]
+            within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            entry = np.repeat(starts[number[at]], many) + within
+            item, weight = list_items[entry], list_weights[entry]
+            doc, passage = np.repeat(doc, many), np.repeat(passage, many)
+            doc, passage, item, weight = (np.concatenate([x, x[passage > 0]]) for x in (doc, passage, item, weight))
+            passage[len(entry) :] -= 1
+            # an item's score is at most what these words give it, and all that the common lists could
+            span, n_items = int(passage.max(initial=0)) + 1, len(index.ids)
+            place, key = np.unique((doc * span + passage) * n_items + item, return_inverse=True)
+            bound = np.bincount(key, weight, len(place)) + share[place % n_items]
             rows: dict[tuple[int, int], tuple[float, int]] = {}
-            # WAND's first bound, for all passages at once: the largest weights of all their words
-            for k in np.flatnonzero(ceiling[end] - ceiling[begin] >= threshold - 1e-9).tolist():
-                known = set(number[begin[k] : end[k]].tolist()) - {len(index.terms)}
-                if index.most[list(known)].sum() >= threshold - 1e-9:
-                    for item, score in index.search({index.terms[t] for t in known}, threshold):
-                        if score > rows.get((doc[k], item), (0.0, 0))[0]:
-                            rows[doc[k], item] = score, int(begin[k] - places[doc[k]])
+            for k in np.unique(place[bound >= threshold - 1e-9] // n_items).tolist():
+                d, begin = k // span, places[k // span] + k % span * step
+                known = set(number[begin : min(begin + width, places[d + 1])].tolist()) - {len(index.terms)}
+                for hit, score in index.search({index.terms[t] for t in known}, threshold):
+                    if score > rows.get((d, hit), (0.0, 0))[0]:
+                        rows[d, hit] = score, int(k % span * step)
             out, held = [], {}
             keys = batch.column(0).to_pylist()
             for (d, item), (score, at) in rows.items():
@@ -169,13 +195,14 @@ def _find(index: BM25Index, threshold: float, overlap: float, n: int):
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, n: int = 5, block_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.8, n: int = 5, block_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """The (document, item) pairs in which a document holds a test item.
 
     Every document is cut into passages of twice the longest item's words, half overlapping, so an item of any length
     lies whole in one. Each passage queries a BM25 index of the items; block-max WAND retrieves all items that score
-    ``threshold`` of their own full score. A pair stays if the document has ``overlap`` of the ``n``-word runs of the
+    ``threshold`` of their own full score. WAND's first bound is taken for all passages at once, item by item: what the
+    passage's words of rarer lists give the item, plus all that the common lists could. A pair stays if the document has ``overlap`` of the ``n``-word runs of the
     item's question, and of its answer where it has one.
 
     The index is sent to the executors, so the items are taken in blocks of at most ``block_bytes`` of text, each
