@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import stage
 from .units import ALIASES, agree, canonical_unit, dimension, factor
 
 TOLERANCE = 0.02
@@ -106,9 +107,10 @@ def merged(values: Column, multiplier: Column) -> Column:
 
 def _title_columns(df: DataFrame, title: str) -> DataFrame:
     """Adds _t (normalised), _container, _readings (from the title), _flag and _lone (a lone multiplier)."""
-    df = df.withColumn("_t", normalised(F.col(title)))
+    df = stage(df, {"_t": normalised(F.col(title))})
     t = F.col("_t")
-    df = df.withColumns(
+    df = stage(
+        df,
         {
             "_container": t.rlike(_u(CONTAINER)),
             "_packs": _numbers(_all(t, N_PACK, 1)),
@@ -116,7 +118,8 @@ def _title_columns(df: DataFrame, title: str) -> DataFrame:
             "_amounts": F.zip_with(_all(t, SIZE, 1), _all(t, SIZE, 2), lambda n, u: F.struct(number(n).alias("n"), canonical_unit(u).alias("unit"))),
         }
     )
-    df = df.withColumns(
+    df = stage(
+        df,
         {
             "_mults": F.concat("_of", F.filter("_packs", lambda n: n <= MOST_PACKS)),
             "_counts": F.concat(_numbers(_all(t, COUNT, 1)), _either(t, APOSTROPHE), _either(t, PER_CONTAINER), F.filter("_packs", lambda n: n > MOST_PACKS)),
@@ -124,7 +127,8 @@ def _title_columns(df: DataFrame, title: str) -> DataFrame:
         }
     )
     first_mult = F.get("_mults", F.lit(0))
-    df = df.withColumns(
+    df = stage(
+        df,
         {
             "_mult": F.nullif(first_mult, F.lit(0.0)),
             "_lone": F.when((F.size(F.array_distinct("_mults")) == 1) & (first_mult > 1), first_mult),
@@ -134,10 +138,10 @@ def _title_columns(df: DataFrame, title: str) -> DataFrame:
     )
     for d in ("weight", "volume"):
         unit = F.get(f"_{d}s", F.lit(0))["unit"]
-        df = df.withColumn(f"_{d}_unit", unit)
+        df = stage(df, {f"_{d}_unit": unit})
         each = factor(F.col(f"_{d}_unit"))
-        df = df.withColumn(f"_{d}", merged(F.transform(f"_{d}s", lambda a: a["n"] * factor(a["unit"]) / each), F.col("_mult")))  # noqa: B023
-    df = df.withColumn("_count", merged(F.col("_counts"), F.col("_mult")))
+        df = stage(df, {f"_{d}": merged(F.transform(f"_{d}s", lambda a: a["n"] * factor(a["unit"]) / each), F.col("_mult"))})  # noqa: B023
+    df = stage(df, {"_count": merged(F.col("_counts"), F.col("_mult"))})
 
     pack, one = F.coalesce("_mult", F.lit(1.0)), F.lit(1.0)
     weight, volume, count = (F.col(f"_{d}")["state"] for d in ("weight", "volume", "count"))
@@ -178,7 +182,7 @@ def _title_columns(df: DataFrame, title: str) -> DataFrame:
         .otherwise(none)
     )
     # a reading without an amount, from a zero denominator, is none
-    return df.withColumn("_flag", flag).withColumn("_title_readings", F.filter(readings, lambda r: r["size"].isNotNull() & r["count"].isNotNull()))
+    return stage(stage(df, {"_flag": flag}), {"_title_readings": F.filter(readings, lambda r: r["size"].isNotNull() & r["count"].isNotNull())})
 
 
 def _detail(value: Column, source: str, strong: Column | bool = True) -> Column:
@@ -236,19 +240,21 @@ def extract_pack_sizes(items: DataFrame, threshold: float = 0.7, title: str = "t
     pack has count, size, unit, dimension, total_base (grams, millilitres or pieces), confidence and sources (sorted).
     details is a map of strings. Null titles and details are empty. All other columns are kept.
     """
-    df = items.withColumn("_title", F.coalesce(F.col(title), F.lit(""))).withColumn("_details", F.coalesce(F.col(details), F.create_map().cast("map<string,string>")))
+    df = stage(items, {"_title": F.coalesce(F.col(title), F.lit("")), "_details": F.coalesce(F.col(details), F.create_map().cast("map<string,string>"))})
     df = _title_columns(df, "_title")
     many = F.get(F.filter("_title_readings", lambda r: r["count"] > 1), F.lit(0))["count"]
-    df = df.withColumn("_details_read", _detail_readings(F.col("_details"), many, F.lower("_title").rlike(_u(CONTAINER))))
+    df = stage(df, {"_many": many, "_holds": F.lower("_title").rlike(_u(CONTAINER))})
+    df = stage(df, {"_details_read": _detail_readings(F.col("_details"), F.col("_many"), F.col("_holds"))})
     is_kit = F.lower("_title").rlike(_u(KIT))
     conflict = F.coalesce(F.col("_flag").startswith("title_conflicting"), F.lit(False))
-    df = df.withColumn("readings", F.when(is_kit | conflict, F.array().cast(f"array<{READING}>")).otherwise(F.concat("_title_readings", "_details_read")))
-    df = df.withColumn("_groups", _grouped(F.col("readings")))
+    df = stage(df, {"readings": F.when(is_kit | conflict, F.array().cast(f"array<{READING}>")).otherwise(F.concat("_title_readings", "_details_read"))})
+    df = stage(df, {"_groups": _grouped(F.col("readings"))})
     strong = lambda g: F.array_distinct(F.transform(F.filter(g["members"], lambda r: r["strong"]), lambda r: r["source"]))
     ranked = F.transform("_groups", lambda g, k: F.struct(F.size(strong(g)).alias("strong"), F.size(g["members"]).alias("size"), (-k).alias("at")))
-    df = df.withColumn("_best", F.get("_groups", -F.array_max(ranked)["at"]))
+    df = stage(df, {"_best": F.get("_groups", -F.array_max(ranked)["at"])})
     best = F.col("_best")
-    df = df.withColumns(
+    df = stage(
+        df,
         {
             "_strong": F.size(strong(best)),
             "_by_title": F.exists(best["members"], lambda r: r["source"] == "title"),
@@ -274,10 +280,10 @@ def extract_pack_sizes(items: DataFrame, threshold: float = 0.7, title: str = "t
     for case, level, why in reversed(cases):
         case = F.coalesce(case, F.lit(False))
         confidence, reason = F.when(case, F.lit(level)).otherwise(confidence), F.when(case, why).otherwise(reason)
-    df = df.withColumns({"confidence": confidence, "_reason": reason})
+    df = stage(df, {"confidence": confidence, "_reason": reason})
     returned = (F.col("confidence") >= threshold) & best.isNotNull()
     shown = F.coalesce(F.get(F.filter(best["members"], lambda r: r["source"] == "title"), F.lit(0)), F.get(F.filter(best["members"], lambda r: r["strong"]), F.lit(0)))
-    df = df.withColumn("_shown", shown)
+    df = stage(df, {"_shown": shown})
     r = F.col("_shown")
     pack = F.struct(
         r["count"].alias("count"),
@@ -288,5 +294,5 @@ def extract_pack_sizes(items: DataFrame, threshold: float = 0.7, title: str = "t
         F.col("confidence").alias("confidence"),
         F.sort_array(F.array_distinct(F.transform(best["members"], lambda m: m["source"]))).alias("sources"),
     )
-    out = df.withColumn("pack", F.when(returned, pack)).withColumn("flag", F.when(~F.coalesce(returned, F.lit(False)), F.coalesce("_reason", F.lit("below_threshold"))))
+    out = stage(df, {"pack": F.when(returned, pack), "flag": F.when(~F.coalesce(returned, F.lit(False)), F.coalesce("_reason", F.lit("below_threshold")))})
     return out.select(*items.columns, "pack", "confidence", "flag", "readings")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmetrics.functions.decoding import is_blank, json_kind, json_number, parsed, price_of
+from shelfmetrics.functions.decoding import is_blank, price_of, read_cells
+from shelfmetrics.functions.staging import stage
 
 FIELDS = ("parent_asin", "title", "price", "average_rating", "rating_number", "details")
 #: Raw records hold text; four cells hold JSON text.
@@ -42,35 +43,38 @@ def decoded(raw: DataFrame) -> DataFrame:
     Blank titles are dropped before prices are looked at, so they add no price reason; a row with errors adds none either.
     """
     check_columns(raw)
-    price, reason, price_error = price_of(F.col("price"))
-    rating, count, details = F.col("average_rating"), F.col("rating_number"), F.col("details")
-    rating_kind, count_kind, details_kind = json_kind(rating), json_kind(count), json_kind(details)
-    stars, number = json_number(rating), F.when(count_kind == "integer", F.try_variant_get(parsed(count), "$", "bigint"))
+    cells = ("price", "average_rating", "rating_number", "details")
+    rows = read_cells(raw, *cells)
+    price, reason, price_error = price_of(F.col("price_kind"), F.col("price_number"), F.col("price_v"))
+    rows = stage(
+        rows,
+        {
+            "_price": price,
+            "_reason": reason,
+            "_price_error": price_error,
+            "_rating": F.col("average_rating_number"),
+            "_count": F.when(F.col("rating_number_kind") == "integer", F.try_variant_get("rating_number_v", "$", "bigint")),
+            "_details": F.from_json("details", T.MapType(T.StringType(), T.StringType())),
+            "drop_reason": F.when(F.col("title").isNotNull() & is_blank(F.col("title")), "empty_title"),
+        },
+    )
     says = lambda wrong, message: F.when(wrong, F.lit(message))
-    json_errors = [says(json_kind(F.col(f)).isin("missing", "bad"), f"{f}: absent in the source or bad JSON") for f in ("average_rating", "rating_number", "details")]
+    kind = {c: F.col(f"{c}_kind") for c in cells}
+    json_errors = [says(kind[f].isin("missing", "bad"), f"{f}: absent in the source or bad JSON") for f in cells[1:]]
     contract = [
         says(F.col("parent_asin").isNull() | (F.col("parent_asin") == ""), "parent_asin: empty"),
         says(F.col("title").isNull(), "title: absent"),
-        price_error,
-        says(rating_kind.isin("boolean", "string", "array", "object"), "average_rating: not a number"),
-        says((stars < 1) | (stars > 5), "average_rating: outside 1 to 5"),
-        says(count_kind.isin("boolean", "string", "array", "object", "number"), "rating_number: not a whole number"),
-        says((count_kind == "integer") & (number.isNull() | (number < 0)), "rating_number: negative or too large"),
-        says(details_kind.isin("null", "boolean", "string", "array", "integer", "number"), "details: not an object"),
+        F.col("_price_error"),
+        says(kind["average_rating"].isin("boolean", "string", "array", "object"), "average_rating: not a number"),
+        says((F.col("_rating") < 1) | (F.col("_rating") > 5), "average_rating: outside 1 to 5"),
+        says(kind["rating_number"].isin("boolean", "string", "array", "object", "number"), "rating_number: not a whole number"),
+        says((kind["rating_number"] == "integer") & (F.col("_count").isNull() | (F.col("_count") < 0)), "rating_number: negative or too large"),
+        says(kind["details"].isin("null", "boolean", "string", "array", "integer", "number"), "details: not an object"),
     ]
     errors = F.filter(F.array(*json_errors, *contract), lambda e: e.isNotNull())
-    out = raw.withColumn("drop_reason", F.when(F.col("title").isNotNull() & is_blank(F.col("title")), "empty_title"))
-    out = out.withColumn("errors", F.when(F.col("drop_reason").isNull(), errors).otherwise(F.array().cast("array<string>")))
+    rows = stage(rows, {"errors": F.when(F.col("drop_reason").isNull(), errors).otherwise(F.array().cast("array<string>"))})
     sound = F.col("drop_reason").isNull() & (F.size("errors") == 0)
-    return out.withColumns(
-        {
-            "price_null_reason": F.when(sound, reason),
-            "_price": price,
-            "_rating": stars,
-            "_count": number,
-            "_details": F.from_json(details, T.MapType(T.StringType(), T.StringType())),
-        }
-    )
+    return stage(rows, {"price_null_reason": F.when(sound, F.col("_reason"))}).select(*raw.columns, "drop_reason", "errors", "price_null_reason", "_price", "_rating", "_count", "_details")
 
 
 def typed(rows: DataFrame) -> DataFrame:
