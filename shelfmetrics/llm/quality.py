@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ from .common import written
 from .tokens import batches_of
 
 _EDGE = ".,;:!?\"'()[]{}*#$%&|<>~_-"
-_TAIL = re.compile(r"[#*$%&|<>!=~^@_]{2,}$")
+_TAIL = r"[#*$%&|<>!=~^@_]{2,}\z"
 
 #: General insults, by kind. Kinds are separate labellers, so that none decides alone.
 MOCKERY = frozenset(
@@ -43,7 +42,8 @@ _SCORES = "doc_id long, quality_score double, toxic_score double"
 class Batch:
     """A batch's words: their codes in order, each text's part of them, and facts by distinct word."""
 
-    words: list[str]
+    words: pa.Array  # distinct
+    bare: pa.Array  # the same, lower-cased, without marks at the edges
     codes: np.ndarray
     doc: np.ndarray
     counts: np.ndarray
@@ -61,35 +61,39 @@ def read_batch(texts: pa.Array) -> Batch:
     doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
     real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[codes]
     codes, doc = codes[real], doc[real]
-    return Batch(coded.dictionary.to_pylist(), codes, doc, np.bincount(doc, minlength=len(texts)), texts)
+    bare = pc.utf8_lower(pc.ascii_trim(coded.dictionary, _EDGE))
+    return Batch(coded.dictionary, bare, codes, doc, np.bincount(doc, minlength=len(texts)), texts)
 
 
-def stripped(words: list[str]) -> list[str]:
-    return [w.strip(_EDGE).lower() for w in words]
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    return x[at], np.diff(np.append(at, len(x)))
 
 
 def dense_of(b: Batch) -> np.ndarray:
     """Rates of a text's words with a trait, by text and in the order of DENSE."""
     n = np.maximum(b.counts, 1).astype(float)
-    fact = lambda f: np.fromiter(map(f, b.words), float, len(b.words))
+    fact = lambda x: x.to_numpy(zero_copy_only=False).astype(float)
     same = np.zeros(len(b.codes), bool)
     same[1:] = (b.codes[1:] == b.codes[:-1]) & (b.doc[1:] == b.doc[:-1])
-    distinct = np.bincount(np.unique(b.doc.astype(np.int64) << 32 | b.codes) >> 32, minlength=len(n))
+    kinds = np.bincount(distinct(b.doc.astype(np.int64) << 32 | b.codes)[0] >> 32, minlength=len(n))
     expected = np.minimum(n, 4 * n**0.7)  # what usual texts reach at least
     chars = np.maximum(pc.utf8_length(b.texts).to_numpy().astype(float), 1)
     part = lambda pattern: pc.count_substring_regex(b.texts, pattern).to_numpy() / (chars + 40)
     soft = lambda hits, pull=8.0: hits / (n + pull)
     return np.stack(
         [
-            soft(b.per_text(fact(lambda w: _TAIL.search(w) is not None))),
+            soft(b.per_text(fact(pc.match_substring_regex(b.words, _TAIL)))),
             part(r"[#*$%&|<>]"),
             part(r"[^\pL\pN\pM\s]"),
-            soft(b.per_text(fact(lambda w: w.isupper() and len(w) > 1))),
+            soft(b.per_text(fact(pc.and_(pc.utf8_is_upper(b.words), pc.greater(pc.utf8_length(b.words), 1))))),
             part(r"\p{Lu}"),
-            soft(b.per_text(fact(lambda w: w.endswith("!")))),
+            soft(b.per_text(fact(pc.ends_with(b.words, "!")))),
             soft(np.bincount(b.doc, same, len(n))),
-            np.clip(1 - distinct / expected, 0, 1) * n / (n + 8),
-            soft(b.per_text(fact(lambda w: not any(map(str.isalnum, w))))),
+            np.clip(1 - kinds / expected, 0, 1) * n / (n + 8),
+            soft(b.per_text(fact(pc.match_substring_regex(b.words, r"^[^\pL\pN]*\z")))),
             np.ones(len(n)),
         ],
         1,
@@ -118,8 +122,7 @@ def votes_of(b: Batch, dense: np.ndarray, junk_fit: np.ndarray, toxic_fit: np.nd
         says(False, plain),
         fitted(junk_fit),
     ]
-    bare = stripped(b.words)
-    hits = [b.per_text(np.fromiter((w in kind for w in bare), float, len(bare))) for kind in (MOCKERY, CONTEMPT, MALICE)]
+    hits = [b.per_text(pc.is_in(b.bare, pa.array(sorted(kind), b.bare.type)).to_numpy(zero_copy_only=False).astype(float)) for kind in (MOCKERY, CONTEMPT, MALICE)]
     total, kinds = sum(hits), sum(h > 0 for h in hits)
     toxic = [*(says(h > 0) for h in hits), says((total > 1) & (total > 0.002 * b.counts)), says((kinds > 1) | (total > 2)), fitted(toxic_fit)]
     return np.stack(junk, 1), np.stack(toxic, 1)
@@ -160,16 +163,21 @@ def hashed_words(b: Batch, bits: int, share: float = 0.007) -> tuple[np.ndarray,
     """
     import xxhash
 
-    bare = stripped(b.words)
-    digest = lambda w: xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"))
-    mask = (1 << bits) - 1
-    doc = b.doc.astype(np.int64) << 32
-    pairs = [np.unique(doc | np.fromiter(map(digest, bare), np.int64, len(bare))[b.codes] & mask)]
+    doc, mask = b.doc.astype(np.int64) << 32, (1 << bits) - 1
+
+    def buckets(words: pa.Array, salt: int) -> np.ndarray:
+        data = words.cast(pa.large_binary()).to_pylist()
+        return np.fromiter((xxhash.xxh32_intdigest(w, salt) for w in data), np.int64, len(data)) & mask
+
+    pairs = [distinct(doc | buckets(b.bare, 0)[b.codes])[0]]
+    lengths = pc.utf8_length(b.bare).to_numpy()
     for n in (4, 5):
-        begin = np.fromiter((digest(f"{w[:n]}-{n}") if len(w) > n else 0 for w in bare), np.int64, len(bare))[b.codes]
-        found, many = np.unique((doc | begin & mask)[begin > 0], return_counts=True)
+        begin = pc.utf8_slice_codeunits(b.bare, 0, n).dictionary_encode()
+        bucket = buckets(begin.dictionary, n)[begin.indices.to_numpy()]
+        longer = (lengths > n)[b.codes]
+        found, many = distinct(doc[longer] | bucket[b.codes[longer]])
         pairs.append(found[(many >= 2) & (many >= share * b.counts[found >> 32])])
-    both = np.unique(np.concatenate(pairs))
+    both = distinct(np.concatenate(pairs))[0]
     return both >> 32, both & mask
 
 
