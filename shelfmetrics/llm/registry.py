@@ -11,6 +11,7 @@ from .common import table, written
 from .decontamination import contaminated
 from .extraction import extract_pages
 from .jaccard import jaccard_components
+from .licenses import scan_licenses
 from .ngram_lm import interpolated_scores
 from .outliers import mcd_outliers
 from .packing import pack
@@ -61,8 +62,14 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, threshold="9/10").select("doc_id", "n_shingles", "component_id")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: their source is the top folder, their language the one below."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_interpolation": op1_interpolation, "op2_extraction": op2_extraction, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_outliers": op6_outliers, "op7_packing": op7_packing, "op8_records": op8_records, "op9_ngram_jaccard": op9_ngram_jaccard}
+    return {"op1_interpolation": op1_interpolation, "op2_extraction": op2_extraction, "op3_quality": op3_quality, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_outliers": op6_outliers, "op7_packing": op7_packing, "op8_records": op8_records, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
