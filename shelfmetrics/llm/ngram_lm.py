@@ -14,7 +14,6 @@ no task holds more than a block or a slice of the keys, and what is exchanged gr
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,18 +24,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import pack, unpack
 from .common import write_table, written
 from .tokens import batches_of
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2  # learned from; learned from, and held out for the weights; scored only
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _END, _START = np.uint64(1), np.uint64(2)
+PAIR_BITS = 54
 _BLOCKS = "block long, payload binary"
 _ASKED = "part int, block long, payload binary"
 _ANSWERS = "block long, payload binary, kept long, deleted long, kinds long, kept_kinds long, starts_kept long, starts_deleted long"
 _CELLS = "bucket int, two int, one int, n long"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 BUCKETS = 40
+CHUNK = 1 << 18
 _FINENESS = 8  # cells of probability ratios in an octave, for the weights only
 
 
@@ -46,29 +48,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes; sorted keys are stored as gaps, with their bytes by rank."""
-    out = {}
-    for name, x in arrays.items():
-        raw = np.diff(x, prepend=x.dtype.type(0)) if name == "keys" else x
-        if x.dtype.itemsize > 1:
-            raw = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, x.dtype.itemsize).T)
-        out[name] = (x.dtype.str, len(x), pa.compress(raw.tobytes(), codec="zstd", asbytes=True))
-    return pickle.dumps(out)
-
-
-def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    out = {}
-    for name, (kind, n, packed) in pickle.loads(data).items():
-        kind = np.dtype(kind)
-        raw = np.frombuffer(pa.decompress(packed, decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True) if n else b"", np.uint8)
-        if kind.itemsize > 1:
-            raw = np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).reshape(-1)
-        x = raw.view(kind)
-        out[name] = np.cumsum(x, dtype=kind) if name == "keys" else x
-    return out
-
-
 def fold_of(doc_id: int | None, folds: int = 7, held_out: int = 2, deleted: int = 5) -> int:
     """A text's part, by the crc32 of its id as text; a null id counts as an empty text."""
     rest = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
@@ -96,7 +75,7 @@ def _tokenise(block_bytes: int):
             flat[np.arange(len(ids)) + doc] = ids  # an end follows each text
             docs = [i for h in held for i in h[0]]
             known = np.array([0 if i is None else i for i in docs], np.int64)
-            payload = _pack(
+            payload = pack(
                 docs=known, null=np.array([i is None for i in docs], np.uint8), folds=np.array([fold_of(i) for i in docs], np.uint8),
                 ends=np.cumsum(counts + 1), words=np.append(hashes, _END), ids=flat,
             )
@@ -144,7 +123,7 @@ class Counted:
 
     @classmethod
     def of(cls, payload: bytes) -> Counted:
-        x = _unpack(payload)
+        x = unpack(payload)
         ids, ends, folds = x["ids"], x["ends"], x["folds"]
         lengths = np.diff(ends, prepend=0)
         doc = np.repeat(np.arange(len(ends), dtype=np.int32), lengths)
@@ -152,56 +131,77 @@ class Counted:
         before[1:] = ids[:-1]
         before[ends - lengths] = -1
         hashes = np.append(x["words"], _START)  # number -1 is the start
-        token = _mix(hashes[before] * _A + hashes[ids] * _B + _A)
+        # bigrams are told apart by 54 bits: a hundredth of the gap to their number even in a corpus of 10^12 of them
+        token = _mix(hashes[before] * _A + hashes[ids] * _B + _A) >> np.uint64(64 - PAIR_BITS)
         fold = folds[doc]
-        order = np.argsort(token)
+        order = np.argsort(token).astype(np.int32)
         ordered = token[order]
+        del token
         first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        rank = np.cumsum(first) - 1
         pair = np.empty(len(ids), np.int32)
-        pair[order] = rank
-        n = int(rank[-1]) + 1
+        pair[order] = np.cumsum(first, dtype=np.int32) - 1
+        n = int(first.sum())
         pairs = [np.bincount(pair[fold == f], minlength=n) for f in (KEPT, DELETED)]
         words = [np.bincount(ids[fold == f], minlength=len(x["words"])) for f in (KEPT, DELETED)]
         return cls(x["docs"], x["null"], folds, ends, ids, doc, before, _mix(x["words"] ^ _B), words, ordered[first], pairs, pair)
 
-    def answered(self, system, path: str, block: int) -> Counted:
+    def answered(self, paths: tuple[str, str], block: int) -> Counted:
         """The counts of all blocks in place of the block's own, where other blocks have the key, too."""
-        import pyarrow.parquet as pq
         from pyarrow import fs
 
         order = np.argsort(self.word_keys)
-        for file in system.get_file_info(fs.FileSelector(f"{path}/block={block}", allow_not_found=True)):
-            if not file.path.endswith(".parquet"):
-                continue
-            with system.open_input_file(file.path) as source:
-                for payload in pq.ParquetFile(source).read(["payload"]).column(0).to_pylist():
-                    x = _unpack(payload)
-                    if x["kind"][0]:
-                        at = np.searchsorted(self.keys, x["keys"])
-                        counts = self.pairs
-                    else:
-                        at = order[np.searchsorted(self.word_keys[order], x["keys"])]
-                        counts = self.words
-                    counts[0][at], counts[1][at] = x["kept"], x["deleted"]
+        for kind, path in enumerate(paths):
+            for x in _answers(*fs.FileSystem.from_uri(path), block):
+                if kind:
+                    at, counts = np.searchsorted(self.keys, x["keys"]), self.pairs
+                else:
+                    at, counts = order[np.searchsorted(self.word_keys[order], x["keys"])], self.words
+                counts[0][at], counts[1][at] = x["kept"], x["deleted"]
         return self
 
 
-def _ask(parts: int):
+def _answers(system, path: str, block: int) -> Iterator[dict[str, np.ndarray]]:
+    """The answers to a block, from its own folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for file in system.get_file_info(fs.FileSelector(f"{path}/block={block}", allow_not_found=True)):
+        if file.path.endswith(".parquet"):
+            with system.open_input_file(file.path) as source:
+                for some in pq.ParquetFile(source).iter_batches(8, columns=["payload"]):
+                    yield from map(unpack, some.column(0).to_pylist())
+
+
+def _ask(parts: int, kind: int, path: str | None = None):
+    """A block's questions, for words (kind 0) or bigrams (1). With answers on words at ``path``, bigrams with a word that no
+    other block has aren't asked for: no other block can have them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, payload in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
             c = Counted.of(payload)
             order = np.argsort(c.word_keys)
-            edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
-            for kind, keys, kept, deleted in ((0, c.word_keys[order], *(w[order] for w in c.words)), (1, c.keys, *c.pairs)):
-                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                rows = []
-                for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if b > a:
-                        rows.append((part, block, _pack(kind=np.array([kind], np.uint8), keys=keys[a:b], kept=kept[a:b].astype(np.uint32), deleted=deleted[a:b].astype(np.uint32))))
-                for k in range(0, len(rows), 64):
-                    columns = zip(*rows[k : k + 64], strict=True)
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "block", "payload"])
+            if kind:
+                from pyarrow import fs
+
+                shared = np.zeros(len(c.word_keys) + 1, bool)
+                shared[-1] = True  # the start
+                for x in _answers(*fs.FileSystem.from_uri(path), block):
+                    shared[order[np.searchsorted(c.word_keys[order], x["keys"])]] = True
+                wanted = np.zeros(len(c.keys), bool)
+                wanted[c.pair[shared[c.before] & shared[c.ids]]] = True
+                keys, kept, deleted = c.keys[wanted], *(x[wanted] for x in c.pairs)
+            else:
+                keys, kept, deleted = c.word_keys[order], *(w[order] for w in c.words)
+            del c
+            edges = np.array([(k << (PAIR_BITS if kind else 64)) // parts for k in range(1, parts)], np.uint64)
+            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+            rows = []
+            for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if b > a:
+                    rows.append((part, block, pack(kind=np.array([kind], np.uint8), keys=keys[a:b], kept=kept[a:b].astype(np.uint32), deleted=deleted[a:b].astype(np.uint32))))
+            for k in range(0, len(rows), 64):
+                columns = zip(*rows[k : k + 64], strict=True)
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "block", "payload"])
 
     return run
 
@@ -238,7 +238,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])).tolist() if len(at) else []
             out = []
             for a, b in zip(cuts, [*cuts[1:], len(at)][: len(cuts)], strict=True):
-                payload = _pack(kind=np.array([kind], np.uint8), keys=key[a:b], kept=kept[a:b], deleted=deleted[a:b])
+                payload = pack(kind=np.array([kind], np.uint8), keys=key[a:b], kept=kept[a:b], deleted=deleted[a:b])
                 out.append((int(at[a]), payload, None, None, None, None, None, None))
             for k in range(0, len(out), 64):
                 yield batch_of(out[k : k + 64])
@@ -248,7 +248,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if p != part:
             yield from done(rows)
             part, rows = p, []
-        rows.append((b, _unpack(payload)))
+        rows.append((b, unpack(payload)))
     yield from done(rows)
 
 
@@ -257,15 +257,12 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0).astype(np.int64)
 
 
-def _held_out_cells(path: str, kept_total: int, kept_kinds: int, kept_starts: int):
+def _held_out_cells(paths: tuple[str, str], kept_total: int, kept_kinds: int, kept_starts: int):
     """Counts of held-out tokens by bucket and by the ratios of both estimates to the uniform one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, folder = fs.FileSystem.from_uri(path)
         for block, payload in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
-            c = Counted.of(payload).answered(system, folder, block)
+            c = Counted.of(payload).answered(paths, block)
             on = np.flatnonzero(c.folds[c.doc] == DELETED)
             word = c.words[0]
             context = np.where(c.before[on] < 0, kept_starts, word[c.before[on]])
@@ -307,32 +304,32 @@ def learn_weights(cells: list[tuple[int, int, int, int]], rounds: int = 100) ->
     return weights
 
 
-def _score(path: str, weights: np.ndarray, total: int, kinds: int, starts: int):
+def _score(paths: tuple[str, str], weights: np.ndarray, total: int, kinds: int, starts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, folder = fs.FileSystem.from_uri(path)
         for block, payload in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
-            c = Counted.of(payload).answered(system, folder, block)
-            word = c.words[0] + c.words[1]
-            count = word[c.ids]
-            context = np.where(c.before < 0, starts, word[c.before])
-            pair = (c.pairs[0] + c.pairs[1])[c.pair]
-            w = weights[np.minimum(_bucket(context), BUCKETS - 1)]
-            p = w[:, 0] * (pair / np.maximum(context, 1)) + w[:, 1] * (count / max(total, 1)) + w[:, 2] / (kinds + 1)
+            c = Counted.of(payload).answered(paths, block)
+            word, both = c.words[0] + c.words[1], c.pairs[0] + c.pairs[1]
             n = len(c.ends)
-            base = np.bincount(c.doc, np.log10(count + 1.0), n)
+            base, score, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+            for k in range(0, len(c.ids), CHUNK):  # arrays of a chunk's tokens only
+                ids, before, doc = c.ids[k : k + CHUNK], c.before[k : k + CHUNK], c.doc[k : k + CHUNK]
+                count, context = word[ids], np.where(before < 0, starts, word[before])
+                w = weights[np.minimum(_bucket(context), BUCKETS - 1)]
+                p = w[:, 0] * (both[c.pair[k : k + CHUNK]] / np.maximum(context, 1)) + w[:, 1] * (count / max(total, 1)) + w[:, 2] / (kinds + 1)
+                base += np.bincount(doc, np.log10(count + 1.0), n)
+                score += np.bincount(doc, np.log10(p), n)
+                known += np.bincount(doc[count > 0], minlength=n)
             tokens = np.diff(c.ends, prepend=0)
             columns = (
-                (pa.array(c.docs, pa.int64(), mask=c.null.astype(bool))), pa.array(c.folds == HELD_OUT), pa.array(tokens, pa.int64()), pa.array(np.bincount(c.doc[count > 0], minlength=n), pa.int64()),
-                pa.array(base - tokens * np.log10(float(total + kinds + 1))), pa.array(np.bincount(c.doc, np.log10(p), n)),
+                (pa.array(c.docs, pa.int64(), mask=c.null.astype(bool))), pa.array(c.folds == HELD_OUT), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
+                pa.array(base - tokens * np.log10(float(total + kinds + 1))), pa.array(score),
             )
             yield pa.record_batch(list(columns), names=[x.split()[0] for x in _SCORES.split(", ")])
 
     return run
 
 
-def interpolated_scores(docs: DataFrame, block_bytes: int = 24 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def interpolated_scores(docs: DataFrame, block_bytes: int = 10 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores every text with an interpolated bigram model of the training texts.
 
     Training texts are those whose id's crc32, as text, modulo 7 is not 2; of these, those with 5 are held out while
@@ -346,15 +343,17 @@ def interpolated_scores(docs: DataFrame, block_bytes: int = 24 << 20, key: str =
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     blocks = written(rows.mapInArrow(_tokenise(block_bytes), _BLOCKS), "blocks")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * blocks.count())
-    asked = blocks.mapInArrow(_ask(parts), _ASKED).repartition(parts, "part").sortWithinPartitions("part")
-    answers = asked.mapInArrow(_answer, _ANSWERS)
-    # one file for each block: the exchange is by block
-    path = write_table(answers.repartition(parts, "block"), "answers", "block")
+    paths: list[str] = []
+    for kind in (0, 1):
+        asked = blocks.mapInArrow(_ask(parts, kind, paths[0] if kind else None), _ASKED).repartition(parts, "part").sortWithinPartitions("part")
+        # one file for each block: the exchange is by block
+        paths.append(write_table(asked.mapInArrow(_answer, _ANSWERS).repartition(parts, "block"), "answers", "block"))
+    path, both = paths[0], (paths[0], paths[1])
     totals = docs.sparkSession.read.schema(_ANSWERS).parquet(path).where("block = -1")
     names = ["kept", "deleted", "kinds", "kept_kinds", "starts_kept", "starts_deleted"]
     kept, deleted, kinds, kept_kinds, starts_kept, starts_deleted = (x or 0 for x in totals.agg(*[F.sum(n) for n in names]).first())
-    cells = blocks.mapInArrow(_held_out_cells(path, kept, kept_kinds, starts_kept), _CELLS).groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+    cells = blocks.mapInArrow(_held_out_cells(both, kept, kept_kinds, starts_kept), _CELLS).groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     # at most a row for each pair of ratios in each bucket, whatever the corpus
     weights = learn_weights([tuple(r) for r in cells.collect()])
-    scored = blocks.mapInArrow(_score(path, weights, kept + deleted, kinds, starts_kept + starts_deleted), _SCORES)
+    scored = blocks.mapInArrow(_score(both, weights, kept + deleted, kinds, starts_kept + starts_deleted), _SCORES)
     return scored.select(F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(kept + deleted).cast("long").alias("train_tokens"), "base_score", "score")

@@ -393,7 +393,7 @@ def test_components_of_a_long_chain(spark):
 def test_licenses_by_brute_force(spark):
     files = [
         (1, "a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"), (2, "a/b/x", "some text"), (3, "a/b/c/y", None),
-        (4, "a/b/c/COPYING", "Licensed under the Apache License, Version 2.0"), (5, "z/q", "words here\nReleased under the MIT License.\nmore words"), (6, "z/r", "words only"), (7, "top", "All rights reserved!\n" + "w " * 9000),
+        (4, "a/b/c/COPYING", "Licensed under the Apache License, Version 2.0"), (5, "z/q", "many words of another kind stand here, before it\nReleased under the MIT License.\nand so do several others, which nobody licensed"), (6, "z/r", "words only"), (7, "top", "All rights reserved!\n" + "w " * 9000),
         (8, "a/b/c/d/e", "a licence of no known kind at all, with many more words"), (9, "", ""), (10, "a/b/x2", "some text"),
     ]
     from shelfmetrics.llm import licenses
