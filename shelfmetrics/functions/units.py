@@ -35,11 +35,9 @@ ALIASES = [
 ]
 
 
-def _by_unit(unit: Column, values: dict, other: object = None) -> Column:
-    out = F.lit(other)
-    for name, value in values.items():
-        out = F.when(unit == name, F.lit(value)).otherwise(out)
-    return out
+def _by_unit(unit: Column, values: dict) -> Column:
+    # a lookup names the unit's expression once, where a case for each unit would copy it
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), unit)
 
 
 def factor(unit: Column) -> Column:
@@ -53,11 +51,15 @@ def dimension(unit: Column) -> Column:
 
 def canonical_unit(written: Column) -> Column:
     """The unit that a way of writing it names; null if none."""
-    text = F.lower(F.trim(written))
-    out = F.lit(None).cast("string")
-    for pattern, unit in reversed(ALIASES):
-        out = F.when(text.rlike(f"(?U)^(?:{pattern})$"), unit).otherwise(out)
-    return out
+
+    def named(text: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for pattern, unit in reversed(ALIASES):
+            out = F.when(text.rlike(f"(?U)^(?:{pattern})$"), unit).otherwise(out)
+        return out
+
+    # the lambda's variable stands for the text, which is thus computed once
+    return F.get(F.transform(F.array(F.lower(F.trim(written))), named), F.lit(0))
 
 
 def agree(a: Column, b: Column, tolerance: float) -> Column:
