@@ -216,7 +216,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     Pages are sorted by host and URL path, and each is paired with the pages just before and after it on its host.
     Their lines of text are aligned by longest common subsequence; what a page shares with either neighbour is
-    template, and goes. Structure decides what differencing can't: see ``main_text``.
+    template, and goes. Pages without lines are nobody's neighbours. Structure decides what differencing can't: see ``main_text``.
 
     Neighbours are found on line hashes alone, by range partitions of (host, path): a host's size doesn't matter. The
     first and last rows of each range partition, two a partition, give its neighbours across partitions.
@@ -232,7 +232,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.col(page).alias("html"), F.col(url).alias("url"))
     order = ["host", "path", "page_id"]
     parts = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    light = rows.select("page_id", "host", "path", "html").mapInArrow(_hash_lines, _LINES).dropDuplicates(["page_id"])
+    light = rows.select("page_id", "host", "path", "html").mapInArrow(_hash_lines, _LINES).where(F.size("hashes") > 0).dropDuplicates(["page_id"])
     ranged = light.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     sorted_pages = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "page-lines").withColumn("_part", F.shiftright("_at", 33))
 
