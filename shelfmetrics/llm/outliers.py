@@ -132,9 +132,18 @@ def _estimate_columns(p: int) -> list[str]:
     return [f"_m{i}" for i in range(p)] + [f"_l{i}{k}" for i in range(p) for k in range(i + 1)]
 
 
+def _sent(groups: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table with a row for each group, counted, and sent to all executors if there are at most ``most``.
+
+    So a hot group's rows stay where they are. With more groups they are joined by a shuffle, which splits hot keys.
+    """
+    groups = written(groups, "groups")
+    return F.broadcast(groups) if groups.count() <= most else groups
+
+
 def _measured(rows: DataFrame, fits: DataFrame, keys: list[str], p: int) -> DataFrame:
     d = _distance([F.col(f"_x{i}") for i in range(p)], [F.col(f"_m{i}") for i in range(p)], [[F.col(f"_l{i}{k}") for k in range(i + 1)] for i in range(p)])
-    return rows.join(fits.select(*keys, *_estimate_columns(p)), keys).withColumn("_d", d).drop(*_estimate_columns(p))
+    return rows.join(_sent(fits.select(*keys, *_estimate_columns(p))), keys).withColumn("_d", d).drop(*_estimate_columns(p))
 
 
 def chi_square_quantile(share: float, p: int) -> float:
@@ -211,7 +220,7 @@ def verdicts(stats: DataFrame, keep_share: float, quantile: float, least_distanc
     keys = ["_level", "_a", "_b"]
 
     centres = scoped.groupBy(*keys).agg(*[F.percentile_approx(x, 0.5, 2000).alias(f"_m{i}") for i, x in enumerate(xs)])
-    spread = scoped.join(centres, keys).groupBy(*keys).agg(
+    spread = scoped.join(_sent(centres), keys).groupBy(*keys).agg(
         *[F.first(f"_m{i}").alias(f"_m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(f"_x{i}") - F.col(f"_m{i}")), 0.5, 2000).alias(f"_v{i}") for i in range(p)]
     )
     scale = 1.4826  # a normal's deviation over its median deviation
@@ -225,7 +234,7 @@ def verdicts(stats: DataFrame, keep_share: float, quantile: float, least_distanc
     for _ in range(rounds):
         near = _measured(scoped, fits, keys, p)
         cuts = near.groupBy(*keys).agg(F.percentile_approx("_d", keep_share, 2000).alias("_cut"))
-        fits = written(_factored(_sums(near.join(cuts, keys), keys, p, F.col("_d") <= F.col("_cut")), keys, p, floor).select(*keys, *_estimate_columns(p)), "fits")
+        fits = written(_factored(_sums(near.join(_sent(cuts), keys), keys, p, F.col("_d") <= F.col("_cut")), keys, p, floor).select(*keys, *_estimate_columns(p)), "fits")
     middles = _measured(scoped, fits, keys, p).groupBy(*keys).agg(F.percentile_approx("_d", 0.5, 2000).alias("_middle"))
     fits = written(fits.join(middles, keys), "fits")
 
@@ -234,6 +243,6 @@ def verdicts(stats: DataFrame, keep_share: float, quantile: float, least_distanc
     d = _distance([F.col(x) for x in xs], [F.col(f"_m{i}") for i in range(p)], [[F.col(f"_l{i}{k}") for k in range(i + 1)] for i in range(p)])
     scaled = F.when(~F.col("base_failed"), d / F.greatest(F.col("_middle"), F.lit(1e-6)) * chi_square_quantile(0.5, p))
     cutoff = max(chi_square_quantile(quantile, p), least_distance)
-    out = stats.join(mapped, ["_lang", "_source"], "left").withColumn("distance", scaled)
+    out = stats.join(_sent(mapped), ["_lang", "_source"], "left").withColumn("distance", scaled)
     out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
     return out.select(*[c for c in stats.columns if not c.startswith("_")], "distance", "kept")
