@@ -7,12 +7,15 @@ import pickle
 import numpy as np
 import pyarrow as pa
 
+#: Names of arrays that ascend.
+SORTED = frozenset({"keys", "sets"})
+
 
 def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes; sorted keys are stored as gaps, with their bytes by rank."""
+    """Arrays as compressed bytes; what is named as sorted is stored as gaps, with bytes by rank."""
     out = {}
     for name, x in arrays.items():
-        raw = np.diff(x, prepend=x.dtype.type(0)) if name == "keys" else x
+        raw = np.diff(x, prepend=x.dtype.type(0)) if name in SORTED else x
         if x.dtype.itemsize > 1:
             raw = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, x.dtype.itemsize).T)
         out[name] = (x.dtype.str, len(x), pa.compress(raw.tobytes(), codec="zstd", asbytes=True))
@@ -27,5 +30,5 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
         if kind.itemsize > 1:
             raw = np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).reshape(-1)
         x = raw.view(kind)
-        out[name] = np.cumsum(x, dtype=kind) if name == "keys" else x
+        out[name] = np.cumsum(x, dtype=kind) if name in SORTED else x
     return out

@@ -4,7 +4,8 @@ Sets x and y with a Jaccard similarity of at least t differ in at most (1 - t) /
 cut into bands; a pair belongs to the band of its smaller set, and in band j it differs in at most k_j elements. All
 shingles are hashed into m segments. If e segments are compared as they are and d segments up to one difference, and
 e + 2 d > k_j, some segment must pass, for a segment that fails its test holds one difference or two. A set is indexed
-by its segments' hashes, and in the d segments also by the hashes with each one shingle left out.
+by its segments' hashes, and in the d segments also by the hashes with each one shingle left out. How many segments of
+either kind there are, and how many more so that small ones need no key, is settled by cost (``allocate``).
 
 What passes is verified on whole texts. Links are kept as they come; components are found by contraction.
 """
@@ -22,11 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import pack, unpack
 from .common import ASCII_LOWER, WORD_RE, written
 from .tokens import batches_of
 
 _SETS = "id long, n long, h1 long, h2 long"
-_KEYS = "id long, key long"
+_KEYS = "part int, kind int, payload binary"
+_SHARED = "key long, id long, first long, members long"
+KEY_BITS = 46  # equal keys of unlike sets only cost a comparison, so keys are short
 _FINE = 4  # parts of a segment that tell how far two sets differ
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -80,28 +84,42 @@ class Band:
     differences: int  # k: the most in which a pair can differ
     segments: int
     deletions: int  # how many segments are indexed with one shingle left out, too
+    slack: int  # how many segments more than the pigeonhole needs; that many segments without a key are borne
 
 
 def allocate(low: int, high: int, t: Fraction, sets: int) -> Band:
     """The band's cheapest allocation: keys to index for a set, and sets that it will meet in small segments.
 
-    With expected segment size s, a segment holds so few shingles that unlike sets agree on it with a chance of about
-    e^-s (1 + s); that times the band's number of sets is what a set meets there, at a hundredth of a key's cost.
+    Unlike sets agree on segments without shingles, and often on those with one. So there are z segments more than
+    needed: linked sets agree on 1 + z, of which z may be such small ones. A set with at most z small segments indexes
+    none of them; if both sets of a pair have more, both index all. Where sets are so small that this doesn't pay, z is 0
+    and all are indexed. With expected segment size s, sets meet in segments of two at a hundredth of e^-s s^2 / 2 of the
+    band's sets, at a hundredth of a key's cost each.
     """
     largest = int(high / t)
     k = int((1 - t) / (1 + t) * (high + largest))
     options = []
     for d in range(0, (k + 1) // 2 + 1):
-        m = k + 1 - d
+        m, z = k + 1 - d, 0
+        for _ in range(30):
+            s = low / (m + z)
+            small = math.exp(-s) * (1 + s)
+            wanted = math.ceil((m + z) * small + 3.3 * math.sqrt((m + z) * small))
+            if wanted <= z:
+                break
+            z = wanted
+            if z > m:
+                z = 0
+                break
+        m += z
         s = high / m
-        small = math.exp(-s) * (1 + s)
-        smaller = small + math.exp(-s) * s * s / 2
         keys = (m - d) + d * (1 + s)
-        options.append((keys + 0.01 * sets * ((m - d) * small + d * smaller), d))
+        meets = math.exp(-s) * (s * s / 200 if z else 1 + s)
+        options.append((keys + 0.01 * sets * m * meets, d, z))
         if d > 4 and options[-1][0] > 2 * min(options)[0]:
             break
-    d = min(options)[1]
-    return Band(low, high, largest, k, k + 1 - d, d)
+    _, d, z = min(options)
+    return Band(low, high, largest, k, k + 1 - d + z, d, z)
 
 
 def edges_of(t: Fraction, largest: int) -> list[int]:
@@ -120,10 +138,16 @@ def keys_of(s: np.ndarray, band: Band, number: int) -> np.ndarray:
     sums = np.zeros(band.segments, np.uint64)
     np.add.at(sums, segment, value)
     salt = mix(np.arange(band.segments, dtype=np.uint64) + np.uint64(number << 32) + _A)
-    keys = mix(sums ^ salt)
+    cut = np.uint64(64 - KEY_BITS)
+    keys = mix(sums ^ salt) >> cut
+    if band.slack:
+        small = np.bincount(segment, minlength=band.segments) < 2
+        small[: band.deletions] = False
+        if small.sum() <= band.slack:
+            keys = keys[~small]
     if band.deletions:
         near = segment < band.deletions
-        keys = np.unique(np.concatenate([keys, mix((sums[segment[near]] - value[near]) ^ salt[segment[near]])]))
+        keys = np.unique(np.concatenate([keys, mix((sums[segment[near]] - value[near]) ^ salt[segment[near]]) >> cut]))
     return keys
 
 
@@ -153,20 +177,83 @@ def _schemes(size: int, starts: list[int], bands: list[Band]) -> list[int]:
     return [j for j in (own, own - 1) if 0 <= j < len(bands) and bands[j].differences and size <= bands[j].largest]
 
 
-def _index(n: int, starts: list[int], bands: list[Band]):
+def _index(n: int, starts: list[int], bands: list[Band], parts: int):
+    """The keys of sets, sorted and in slices by key range, with how many of a batch's sets have each and the smallest id.
+
+    The others with a key travel apart, so that a key that a third of all sets have is a row a batch where keys meet.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in batches_of(b, 1, 4 << 20)):
-            ids, keys = [], []
-            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
+        edges = np.array([(k << KEY_BITS) // parts for k in range(1, parts)], np.uint64)
+        for batch in (x for b in batches for x in batches_of(b, 1, 16 << 20)):
+            ids = np.sort(batch.column(0).to_numpy())
+            place, keys = np.argsort(batch.column(0).to_numpy(), kind="stable"), []
+            rank = np.empty(len(ids), np.uint32)
+            rank[place] = np.arange(len(ids), dtype=np.uint32)
+            owners = []
+            for i, s in zip(rank.tolist(), shingle_sets(batch.column(1), n), strict=True):
                 for j in _schemes(len(s), starts, bands) if len(s) else ():
                     keys.append(keys_of(s, bands[j], j))
-                    ids.append(np.full(len(keys[-1]), i, np.int64))
-            if keys:
-                yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys).view(np.int64))], names=["id", "key"])
+                    owners.append(np.full(len(keys[-1]), i, np.uint32))
+            if not keys:
+                continue
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            del keys, owners
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            again = np.concatenate([[False], (key[1:] == key[:-1])])
+            firsts = np.flatnonzero(~again)
+            many = np.diff(np.append(firsts, len(key))).astype(np.uint32)
+            rows = []
+            for kind, k, o, m in ((0, key[firsts], owner[firsts], many), (1, key[again], owner[again], None)):
+                cuts = [0, *np.searchsorted(k, edges).tolist(), len(k)]
+                for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if b > a:
+                        used, local = np.unique(o[a:b], return_inverse=True)
+                        extra = {"many": m[a:b]} if kind == 0 else {}
+                        rows.append((part, kind, pack(keys=k[a:b], owner=local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), sets=ids[used], **extra)))
+            for k in range(0, len(rows), 64):
+                columns = zip(*rows[k : k + 64], strict=True)
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "kind", "payload"])
 
     return run
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of each key that several have, with the key's smallest id and its number of sets; parts come one after another."""
+
+    def done(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        own = [unpack(p) for kind, p in rows if kind == 0]
+        if not own:
+            return
+        key, ids = np.concatenate([x["keys"] for x in own]), np.concatenate([x["sets"][x["owner"]] for x in own])
+        many = np.concatenate([x["many"] for x in own]).astype(np.int64)
+        order = np.lexsort((ids, key))
+        key, ids, many = key[order], ids[order], many[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        members = np.add.reduceat(many, starts)
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+        distinct, first = key[starts], ids[starts]
+
+        def shared(keys: np.ndarray, at: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+            on = members[at] > 1
+            columns = (keys[on].view(np.int64), of[on], first[at[on]], members[at[on]])
+            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["key", "id", "first", "members"])
+
+        yield shared(key, run, ids)
+        for payload in (p for kind, p in rows if kind == 1):
+            x = unpack(payload)
+            yield shared(x["keys"], np.searchsorted(distinct, x["keys"]), x["sets"][x["owner"]])
+
+    part, rows = None, []
+    for p, kind, payload in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+        if p != part:
+            yield from done(rows)
+            part, rows = p, []
+        rows.append((kind, payload))
+    yield from done(rows)
+
+
 def linked(x: np.ndarray, y: np.ndarray, t: Fraction) -> bool:
     """Whether |x and y| / |x or y| is t or more, in whole numbers."""
     low, high = sorted((len(x), len(y)))
@@ -195,6 +282,44 @@ def _verify(n: int, t: Fraction):
     return run
 
 
+def _histograms(n: int):
+    """How many of a set's shingles fall into each of 256 bins, a byte each, full at 255."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in batches_of(b, 1)):
+            sets = shingle_sets(batch.column(1), n)
+            bins = [np.bincount((mix(s + _B) >> np.uint64(56)).astype(np.int64), minlength=256).clip(max=255).astype(np.uint8).tobytes() for s in sets]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(bins, pa.binary())]
+            yield pa.record_batch(columns, names=["id", "n", "bins"])
+
+    return run
+
+
+def _near(t: Fraction):
+    """Pairs that sizes and histograms allow: sets differ in at least as many shingles as their histograms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                sizes = [part.column(c).to_numpy() for c in (2, 4)]
+                bins = [np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for c in (3, 5)]
+                apart, both = np.abs(bins[0] - bins[1]).sum(1, dtype=np.int64), sizes[0] + sizes[1]
+                fits = np.minimum(*sizes) * t.denominator >= np.maximum(*sizes) * t.numerator
+                keep[k : k + 4096] = fits & (apart * (t.denominator + t.numerator) <= both * (t.denominator - t.numerator))
+            on = pa.array(np.flatnonzero(keep))
+            yield pa.record_batch([batch.column(0).take(on), batch.column(1).take(on)], names=["a", "b"])
+
+    return run
+
+
+def _possible(pairs: DataFrame, bins: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs worth their texts; histograms are a thirteenth of an average text."""
+    x, y = (bins.select(F.col("id").alias(c), F.col("n").alias(f"_n{c}"), F.col("bins").alias(f"_bins{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "_na", "_binsa", "_nb", "_binsb").mapInArrow(_near(t), "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFrame:
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("_x")), texts.select(F.col("id").alias("b"), F.col("text").alias("_y"))
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "_x", "_y").mapInArrow(_verify(n, t), "a long, b long"), "links")
@@ -312,12 +437,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: str = "9/10", key
     bands = [allocate(a, b - 1, t, counted.get(j + 1, 0) + counted.get(j + 2, 0)) for j, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True))]
 
     alone = _without(rows.where("id IS NOT NULL"), repeated, "left_anti")
-    keys = written(alone.mapInArrow(_index(n, starts, bands), _KEYS), "keys")
-    met = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("members")).where("first < last")
-    shared = written(keys.join(met.drop("last"), "key"), "shared")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = alone.mapInArrow(_index(n, starts, bands, parts), _KEYS).repartition(parts, "part").sortWithinPartitions("part")
+    shared = written(keys.mapInArrow(_meet, _SHARED), "shared")
     texts = written(_without(alone, shared.select("id").distinct(), "left_semi").dropDuplicates(["id"]), "texts")
     stars = shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(stars, texts, n, t)
+    bins = written(texts.mapInArrow(_histograms(n), "id long, n long, bins binary"), "histograms")
+    links = _verified(_possible(stars, bins, t), texts, n, t)
     labels = components(links)
 
     named = shared.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
@@ -330,10 +456,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: str = "9/10", key
     placed = left.join(profiles, ["id", "key"]).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     grouped = spread.select("key", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "chunk", "id", "n", "label", "band", "profile")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["key", "first", "second", "band"]
     candidates = grouped.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_compare(bands), "a long, b long").distinct()
-    more = _verified(candidates, texts, n, t)
+    more = _verified(_possible(candidates, bins, t), texts, n, t)
     labels = components(links.unionByName(more))
 
     named_classes = classes.join(labels, F.col("class_id") == F.col("id"), "left").select("n", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"), "copies")
