@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, WORD_RE
 from .tokens import batches_of
 
-_EDGE = ".,;:!?\"'()[]{}"
+#: All ASCII marks, and those of Unicode's Latin-1, general punctuation and CJK and full-width blocks.
+_EDGE = string.punctuation + "¡§«¶·»¿" + "".join(map(chr, [*range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x3001, 0x3004), *range(0x3008, 0x3012), 0xFF01, 0xFF08, 0xFF09, 0xFF0C, 0xFF0E, 0xFF1A, 0xFF1B, 0xFF1F]))
 _HITS = "doc_id long, item_id long, passage long, bm25 double, question_overlap double, answer_overlap double"
 
 
@@ -37,6 +39,12 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return (question, answer) if len(question) >= 5 and len(answer) >= 5 else (terms_of(text), [])
 
 
+def is_short(answer: list[str], overlap: float, n: int) -> bool:
+    """Whether one altered word could take so many of an answer's runs that fewer than ``overlap`` are left."""
+    runs = len(shingles(answer, n))
+    return runs - min(n, runs) < overlap * runs
+
+
 def shingles(words: list[str], n: int) -> set[tuple[str, ...]]:
     """Runs of n words; a shorter list as one."""
     return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
@@ -143,13 +151,16 @@ def _find(index: BM25Index, threshold: float, overlap: float, n: int):
     step = index.longest
     share, starts, sizes, list_items, list_weights = index.essential(threshold / 2)
     questions = [(shingles(q, n), shingles(a, n)) for q, a in index.parts]
+    # short answers are tested by words, each as often as it stands in the answer
+    number_of = {t: k for k, t in enumerate(index.terms)}
+    by_words = [Counter(number_of[t] for t in a) if is_short(a, overlap, n) else None for _, a in index.parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in batches_of(b, 1)):
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
             words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
             coded = words.flatten().dictionary_encode()
-            distinct = pc.ascii_trim(coded.dictionary, _EDGE)
+            distinct = pc.utf8_trim(coded.dictionary, _EDGE)
             term = pc.fill_null(pc.index_in(distinct, index.term_array), len(index.terms)).to_numpy()
             # words of punctuation only must not count as places; others do, known or not
             coded_at = coded.indices.to_numpy()
@@ -173,10 +184,14 @@ def _find(index: BM25Index, threshold: float, overlap: float, n: int):
             place, key = np.unique((doc * span + passage) * n_items + item, return_inverse=True)
             bound = np.bincount(key, weight, len(place)) + share[place % n_items]
             rows: dict[tuple[int, int], tuple[float, int]] = {}
+            word_share: dict[tuple[int, int], float] = {}
             for k in np.unique(place[bound >= threshold - 1e-9] // n_items).tolist():
                 d, begin = k // span, places[k // span] + k % span * step
                 known = set(number[begin : min(begin + width, places[d + 1])].tolist()) - {len(index.terms)}
                 for hit, score in index.search({index.terms[t] for t in known}, threshold):
+                    if (answer_words := by_words[hit]) is not None:
+                        share_here = sum(c for t, c in answer_words.items() if t in known) / answer_words.total()
+                        word_share[d, hit] = max(share_here, word_share.get((d, hit), 0.0))
                     if score > rows.get((d, hit), (0.0, 0))[0]:
                         rows[d, hit] = score, int(k % span * step)
             out, held = [], {}
@@ -185,6 +200,8 @@ def _find(index: BM25Index, threshold: float, overlap: float, n: int):
                 if d not in held:
                     held[d] = shingles(terms_of(texts[int(d)].as_py()), n)
                 question, answer = (len(s & held[d]) / len(s) if s else None for s in questions[item])
+                if (d, item) in word_share:
+                    answer = max(answer or 0.0, word_share[d, item])
                 if (question or 0.0) >= overlap and (answer is None or answer >= overlap):
                     out.append((keys[d], index.ids[item], at, score, question, answer))
             if out:
@@ -203,7 +220,8 @@ def contaminated(
     lies whole in one. Each passage queries a BM25 index of the items; block-max WAND retrieves all items that score
     ``threshold`` of their own full score. WAND's first bound is taken for all passages at once, item by item: what the
     passage's words of rarer lists give the item, plus all that the common lists could. A pair stays if the document has ``overlap`` of the ``n``-word runs of the
-    item's question, and of its answer where it has one.
+    item's question, and of its answer where it has one. An answer so short that one altered word could take more runs
+    than that allows also passes if one retrieved passage has ``overlap`` of its words; answer_overlap is then the larger share.
 
     The index is sent to the executors, so the items are taken in blocks of at most ``block_bytes`` of text, each
     with an index and a pass over the documents of its own: any number of items works, with bounded memory. Item

@@ -215,6 +215,25 @@ def test_decontamination_odd_and_empty(spark, odd):
     assert decontamination.contaminated(odd, none_of(items)).count() == 0
 
 
+def test_decontamination_of_marked_and_altered_passages(spark):
+    question = [f"q{k}" for k in range(24)]
+    answers = {size: [f"a{size}w{k}" for k in range(size)] for size in (5, 8, 20, 28)}
+    items = [(size, " ".join(question) + "\n" + " ".join(a)) for size, a in answers.items()]
+    docs, want = [], set()
+    for mark in ("%%%", "$$$", "&&&", "#", "*", "|", "<>", "…", "”"):
+        docs.append((len(docs), f"before {' '.join([*question, *answers[5]])}{mark} after"))
+        want.add((len(docs) - 1, 5))
+    for size, answer in answers.items():
+        for altered in range(size):
+            docs.append((len(docs), " ".join(["before", *question, *answer[:altered], "other", *answer[altered + 1 :], "after"])))
+            want.add((len(docs) - 1, size))
+    # another answer to the same question is no item, nor are an answer's words far from the question
+    docs.append((len(docs), " ".join([*question, "v w x y z"])))
+    docs.append((len(docs), " ".join([*question, *["far"] * 500, *answers[5][:4]])))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(*frames).collect()} == want
+
+
 # quality rules
 
 
