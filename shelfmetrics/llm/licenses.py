@@ -4,12 +4,15 @@ licence. DataFrame functions only.
 
 from __future__ import annotations
 
+import json
 import math
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ASCII_LOWER, ascii_lower, written
 
 # Short and opening forms of public licences by SPDX id, as they stand in headers and licence files.
 TEMPLATES = [
@@ -32,22 +35,45 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal"),
     ("LicenseRef-All-Rights-Reserved", "All rights reserved"),
 ]
+
+def _full_texts() -> list[tuple[str, str]]:
+    """Whole licence texts by SPDX id. The AGPL's is made of the GPL's: its names and its section 13 tell them apart."""
+    texts = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in Path(__file__).with_name("license_texts").glob("*.txt")}
+    network = (
+        "Remote Network Interaction. If you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network an opportunity to "
+        "receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge"
+    )
+    named = texts["GPL-3.0"].replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC").replace("GNU General Public", "GNU Affero General Public")
+    return sorted({**texts, "AGPL-3.0": f"{named}\n{network}"}.items())
+
+
+FULL_TEXTS = _full_texts()
+TEMPLATES += FULL_TEXTS
+#: Function words, which any English text has; they tell no licence and would liken long prose to full texts.
+STOP = ["a", "an", "and", "are", "as", "at", "be", "for", "from", "if", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "which", "with"]
 #: Every template has one of these, and a line without one is no licence; they spare the scan the other lines.
 ANCHOR = r"(?i)licen[sc]e|rights reserved|copyright|permission|redistribut"
 _SPLIT = r"[^\p{L}\p{N}.\-]+"
 
 
 def _terms(text: Column) -> Column:
-    """Lower-cased words of letters, digits, dots and hyphens, without dots and hyphens at their ends."""
-    bare = F.transform(F.split(ascii_lower(text), _SPLIT), lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", ""))
-    return F.filter(bare, lambda w: w != "")
+    """Lower-cased words of letters, digits, dots and hyphens, without dots and hyphens at their ends; no function words."""
+    bare = F.transform(F.split(ascii_lower(text), _SPLIT), lambda w: F.btrim(w, F.lit(".-")))
+    return F.filter(bare, lambda w: ~w.isin("", *STOP))
 
 
 def _template_terms(text: str) -> list[str]:
     import re
 
-    bare = [w.strip(".-") for w in re.split(r"[^\w.\-]+", text.lower())]
-    return [w for w in bare if w]
+    bare = [w.strip(".-") for w in re.split(r"(?:[^\w.\-]|_)+", text.translate(ASCII_LOWER))]
+    return [w for w in bare if w and w not in STOP]
+
+
+def _counts(terms: Column) -> Column:
+    """Each word of a sorted array with its number, in time linear in the array."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda k: (k == 0) | (F.get(terms, k) != F.get(terms, k - 1)))
+    pairs = F.zip_with(starts, F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(terms))), lambda k, end: F.struct(k.alias("k"), end.alias("end")))
+    return F.transform(pairs, lambda p: F.struct(F.get(terms, p["k"]).alias("w"), (p["end"] - p["k"]).alias("c")))
 
 
 def _folders(path: Column) -> Column:
@@ -63,45 +89,50 @@ def scan_licenses(
 
     Every line of every text that has an anchor word is compared with all templates by the cosine of TF-IDF vectors, where
     document frequencies of the templates' terms are counted over all texts and other terms weigh as if one text had
-    them. A file's own licence is that of its best line at ``threshold`` or more. A file is a licence file if all its
-    lines together reach the threshold. A file without a licence of its own takes that of the nearest folder, from its own
+    them; function words don't count. A file's own licence is that of its best line at ``threshold`` or more. A file is a licence file if all its
+    lines together, however long, reach the threshold; its licence is what they give together. A file without a licence of its own takes that of the nearest folder, from its own
     up to the root, that has a licence file; of several in one folder, the one with the best cosine, then the smallest id.
 
     Returns key, path, license, cosine (null if none), via (header, file, inherited, none) and folder (of the inherited). Null
     or empty texts have no licence of their own; a null path is a file in the root. Repeated rows are judged alike, one row
     for each. No rows: no rows. Extra columns are ignored. Equal keys should be equal rows.
     """
-    templates = templates or TEMPLATES
+    spark, templates = files.sparkSession, templates or TEMPLATES
     rows = files.select(F.col(key).alias("_key"), F.coalesce(F.col(path), F.lit("")).alias("_path"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     vocabulary = sorted({w for _, t in templates for w in _template_terms(t)})
     # at most a row for each term of the templates comes to the driver
-    held = F.array_intersect(F.array_distinct(_terms(F.col("_text"))), F.array(*[F.lit(w) for w in vocabulary]))
+    held = F.array_distinct(F.filter(_terms(F.col("_text")), lambda w: w.isin(vocabulary)))
     counted = {r[0]: r[1] for r in rows.select(F.explode(held).alias("w")).groupBy("w").count().collect()}
     total = rows.count()
     weight = {w: math.log((total + 1) / (counted.get(w, 0) + 1)) + 1 for w in vocabulary}
     other = math.log((total + 1) / 2) + 1
-    weights = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, weight[w])])
 
     scanned = rows.where(F.col("_text").rlike(ANCHOR))
     lines = scanned.select("_key", "_path", F.explode(F.filter(F.split("_text", "\n"), lambda x: x.rlike(ANCHOR))).alias("part"), F.lit(False).alias("whole"))
-    # a licence file's text is mostly template, so it can't be many times the longest template's length
-    longest = max(len(t) for _, t in templates)
-    wholes = scanned.where(F.length("_text") <= 20 * longest).select("_key", "_path", F.col("_text").alias("part"), F.lit(True).alias("whole"))
-    parts = lines.unionByName(wholes).withColumn("terms", _terms(F.col("part"))).where(F.size("terms") > 0)
-    parts = parts.withColumn("kinds", F.array_distinct("terms"))
-    weigh = lambda w: F.coalesce(F.try_element_at(weights, w), F.lit(other))
-    vector = F.transform("kinds", lambda w: F.struct(w.alias("w"), (F.size(F.filter("terms", lambda x: x == w)) * weigh(w)).alias("x")))
-    parts = written(parts.select("_key", "_path", "whole", vector.alias("vector")), "license-parts")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v["x"] * v["x"]))
-    cosines = []
-    for k, (name, body) in enumerate(templates):
-        terms = _template_terms(body)
-        own = {w: terms.count(w) * weight[w] for w in terms}
+    wholes = scanned.select("_key", "_path", F.col("_text").alias("part"), F.lit(True).alias("whole"))
+    parts = lines.unionByName(wholes).withColumn("terms", F.array_sort(_terms(F.col("part")))).where(F.size("terms") > 0)
+    parts = written(parts.select("_key", "_path", "whole", F.monotonically_increasing_id().alias("_part"), _counts(F.col("terms")).alias("counts")), "license-parts")
+    # a row for each term: its weight and what each template's unit vector has of it
+    shares: dict[str, list[dict]] = {}
+    for k, (_, body) in enumerate(templates):
+        own = {w: n * weight[w] for w, n in Counter(_template_terms(body)).items()}
         size = math.sqrt(sum(x * x for x in own.values()))
-        table = F.create_map(*[F.lit(x) for w in sorted(own) for x in (w, own[w] / size)])
-        cosines.append(F.struct((_dot(table) / norm).alias("cosine"), F.lit(-k).alias("order"), F.lit(name).alias("license")))
-    judged = parts.select("_key", "_path", "whole", F.array_max(F.array(*cosines)).alias("best")).where(F.col("best.cosine") >= threshold)
-    own = written(judged.groupBy("_key", "_path").agg(F.max("best").alias("best"), F.max("whole").alias("is_file")), "licenses")
+        for w, x in own.items():
+            shares.setdefault(w, []).append({"k": k, "y": x / size})
+    listed = json.dumps([{"w": w, "x": weight[w], "shares": shares[w]} for w in vocabulary])
+    weights = written(spark.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<w: string, x: double, shares: array<struct<k: int, y: double>>>>"))), "license-weights")
+    # each part's products with all templates, and its squared length as that with template -1
+    part = ["_key", "_path", "whole", "_part"]
+    counts = parts.select(*part, F.inline("counts")).join(F.broadcast(weights), "w", "left").withColumn("v", F.col("c") * F.coalesce("x", F.lit(other)))
+    length = F.array(F.struct(F.lit(-1).alias("k"), F.col("v").alias("y")))
+    products = counts.select(*part, "v", F.inline(F.concat(length, F.coalesce("shares", F.array().cast("array<struct<k: int, y: double>>")))))
+    products = products.groupBy(*part, "k").agg(F.sum(F.col("v") * F.col("y")).alias("product"))
+    all_of = products.groupBy(*part).agg(F.sqrt(F.max(F.when(F.col("k") == -1, F.col("product")))).alias("length"), F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "product"))).alias("products"))
+    names = F.array(*[F.lit(name) for name, _ in templates])
+    # rounded, as the order of a sum must not decide between equal parts
+    cosines = F.transform("products", lambda p: F.struct(F.round(p["product"] / F.col("length"), 12).alias("cosine"), (-p["k"]).alias("order"), F.get(names, p["k"]).alias("license")))
+    judged = all_of.select("_key", "_path", "whole", F.array_max(cosines).alias("best")).where(F.col("best.cosine") >= threshold)
+    own = written(judged.groupBy("_key", "_path").agg(F.max(F.struct("whole", "best")).alias("top")).select("_key", "_path", "top.best", F.col("top.whole").alias("is_file")), "licenses")
 
     # folders with licence files, then each folder's nearest; both have a row for each folder
     near = F.get(_folders(F.col("_path")), F.lit(0))
@@ -120,10 +151,6 @@ def scan_licenses(
     )
 
 
-def _dot(table: Column) -> Column:
-    return F.aggregate("vector", F.lit(0.0), lambda a, v: a + v["x"] * F.coalesce(F.try_element_at(table, v["w"]), F.lit(0.0)))
-
-
 def _sent(small: DataFrame, most: int) -> DataFrame:
     """A table, written and counted, and sent to all executors only if it has at most ``most`` rows."""
     small = written(small, "licenses")
@@ -139,24 +166,23 @@ def brute_licenses(rows: list[tuple[int, str, str | None]], templates: list[tupl
     idf = lambda w: math.log((len(rows) + 1) / (df.get(w, 0) + 1)) + 1 if w in vocabulary else math.log((len(rows) + 1) / 2) + 1
 
     def vector(text: str) -> dict[str, float]:
-        terms = _template_terms(text)
-        return {w: terms.count(w) * idf(w) for w in terms}
+        return {w: n * idf(w) for w, n in Counter(_template_terms(text)).items()}
 
     def best(text: str) -> tuple[float, int, str]:
         v, scores = vector(text), []
         for k, (name, body) in enumerate(templates):
             t = vector(body)
             size = math.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in t.values()))
-            scores.append((sum(x * t.get(w, 0) for w, x in v.items()) / size if size else 0.0, -k, name))
+            scores.append((round(sum(x * t.get(w, 0) for w, x in v.items()) / size, 12) if size else 0.0, -k, name))
         return max(scores)
 
     own, files = {}, {}
     for i, path, text in rows:
         found = [best(x) for x in (text or "").split("\n") if re.search(ANCHOR, x)]
-        whole = best(text) if text and re.search(ANCHOR, text) and len(text) <= 20 * max(len(t) for _, t in templates) else (0.0, 0, "")
+        whole = best(text) if text and re.search(ANCHOR, text) else (0.0, 0, "")
         found = [f for f in [*found, whole] if f[0] >= threshold]
         if found:
-            own[i] = max(found)
+            own[i] = whole if whole[0] >= threshold else max(found)
             if whole[0] >= threshold:
                 folder = "/".join(path.split("/")[:-1])
                 files[folder] = max(files.get(folder, (0.0, 0, "")), (own[i][0], -i, own[i][2]))

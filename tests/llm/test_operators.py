@@ -424,6 +424,25 @@ def test_licenses_by_brute_force(spark):
     assert got == {r["doc_id"]: (r["license"], {"header": "own", "file": "own"}.get(r["via"], r["via"])) for r in licenses.scan_licenses(df.repartition(5), most_sent=0).collect()}
 
 
+def test_licenses_of_full_texts(spark):
+    from pathlib import Path
+
+    from shelfmetrics.llm import licenses
+
+    full = dict(licenses.FULL_TEXTS)
+    files, want = [], {}
+    for k, name in enumerate(full):
+        # as repositories hold them: a notice of their own above the text
+        files += [(2 * k, f"{k}/LICENSE", f"Example project\nCopyright 2020 Some Body\n\n{full[name]}"), (2 * k + 1, f"{k}/src/main.c", "int main")]
+        want |= {2 * k: (name, "file"), 2 * k + 1: (name, "inherited")}
+    prose = Path(licenses.__file__).parents[2].joinpath("README.md").read_text() * 4
+    files += [(100, "prose/about", f"{prose}\nlicense"), (101, "prose/b", "some text")]
+    want |= {100: (None, "none"), 101: (None, "none")}
+    assert len(full["GPL-3.0"]) > 20000 and len(prose) > 20000
+    got = {r["doc_id"]: (r["license"], r["via"]) for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == want
+
+
 def test_licenses_odd_and_empty(odd):
     from shelfmetrics.llm import licenses
 
