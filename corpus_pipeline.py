@@ -3,6 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet and reads it again as the
 next stage's docs. All stages but the last return the columns of documents. Near-duplicates are documents whose sets
 of five-word shingles have a Jaccard similarity of at least 0.8.
+
+Decisions are about rows: documents with a null id, or one id for several rows, are judged by their texts like all others.
 """
 
 from __future__ import annotations
@@ -15,36 +17,42 @@ from shelfmetrics.llm.decontamination import clean_of, contaminated
 from shelfmetrics.llm.jaccard import jaccard_components
 from shelfmetrics.llm.outliers import mcd_outliers
 from shelfmetrics.llm.packing import pack
-from shelfmetrics.llm.quality import classify
+from shelfmetrics.llm.quality import kept_documents
 from shelfmetrics.llm.tokens import public_vocabulary
 
 
-def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose ids are kept, all columns, by a join on the id."""
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+def _numbered(docs: DataFrame, tag: str) -> DataFrame:
+    """The documents with a unique id for each row, _row; written, so that every use sees the same ids."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), tag)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier keeps: neither junk nor toxic."""
-    scores = classify(docs, table(spark, sf_dir, "labels"), sample_rows=8000, labelled_rows=6000)
-    return _rows_of(docs, scores.where("kept"))
+    """Documents that the weak-label classifier keeps: neither junk nor toxic. Null ids and repeated rows stay if their texts pass."""
+    return kept_documents(docs, table(spark, sf_dir, "labels"), sample_rows=8000, labelled_rows=6000)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
+    """Documents that pass the base rules and are no outliers of their language and source, null ids and repeated rows included."""
     return mcd_outliers(docs).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    groups = jaccard_components(docs, n=5, threshold="4/5")
-    return _rows_of(docs, groups.where("component_id = doc_id"))
+    """One document of each group of near-duplicates, the one with the smallest id, of equal ids any one.
+
+    Repeated rows are near-duplicates of each other. A null id comes after all others. Empty texts are nobody's duplicates.
+    """
+    rows = _numbered(docs, "near-duplicate-rows")
+    groups = jaccard_components(rows, n=5, threshold="4/5", key="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark"), threshold=0.7, overlap=0.8, n=5)
-    return clean_of(docs, hits).select(*docs.columns)
+    """Documents without a benchmark item; of rows with one id, or with none, those that hold an item go."""
+    rows = _numbered(docs, "decontamination-rows")
+    hits = contaminated(rows, table(spark, sf_dir, "benchmark"), threshold=0.7, overlap=0.8, n=5, key="_row")
+    return clean_of(rows, hits, key="_row").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -248,6 +248,19 @@ def _score(weights: tuple[np.ndarray, np.ndarray], bits: int):
     return run
 
 
+def _keep(weights: tuple[np.ndarray, np.ndarray], bits: int, text: int):
+    """The rows that the scorers keep, all columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in batches_of(b, text)):
+            read = read_batch(batch.column(text))
+            dense, words = dense_of(read), hashed_words(read, bits)
+            junk, toxic = (_bad(read, dense, w, bits, words) for w in weights)
+            yield batch.filter(pa.array((1 - junk >= 0.5) & (toxic < 0.5)))
+
+    return run
+
+
 def _fit(rows: DataFrame, chosen: DataFrame, bits: int, targets: list) -> tuple:
     """Scorers for the chosen rows, of which there are at most a sample's number; a target maps the chosen rows' table to [0, 1]."""
     sample = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -263,6 +276,26 @@ def _smallest_hashes(rows: DataFrame, most: int, tag: str) -> DataFrame:
     return written(rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), tag)
 
 
+def _scorers(rows: DataFrame, labels: DataFrame | None, sample_rows: int, labelled_rows: int, bits: int, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of the scorers for junk and for toxic language, learnt from rows (doc_id, text)."""
+    fits: tuple = (None, None)
+    if labels is not None:
+        known = labels.select(F.col(key).cast("long").alias("doc_id"), "quality", "toxic").where("quality IS NOT NULL AND toxic IS NOT NULL")
+        here = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+        fits = _fit(rows, _smallest_hashes(here, labelled_rows, "labelled"), bits, [lambda t: t["quality"] == 0, lambda t: t["toxic"] == 1])
+    votes = written(rows.mapInArrow(_label(fits, bits), _VOTES), "votes")
+    targets = []
+    for column, names, prior in (("junk", JUNK_LABELLERS, 0.15), ("toxic", TOXIC_LABELLERS, 0.1)):
+        patterns = {r[0]: r[1] for r in votes.groupBy(column).count().collect()}  # bounded by the number of labellers
+        share, accuracy = fit_labellers(patterns, len(names), prior)
+        coded = np.array([["-gb".index(c) for c in k] for k in patterns]).reshape(-1, len(names))
+        model = dict(zip(patterns, pattern_posterior(coded, share, accuracy).tolist(), strict=True))
+        targets.append(lambda t, column=column, model=model: t[column].map(model))
+    weights = _fit(rows, _smallest_hashes(votes, sample_rows, "sample"), bits, targets)
+    none = np.zeros((1 << bits) + len(DENSE), np.float32)
+    return tuple(none if w is None else w for w in weights)
+
+
 def classify(
     docs: DataFrame, labels: DataFrame | None = None, sample_rows: int = 8000, labelled_rows: int = 6000, bits: int = 18, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -280,20 +313,14 @@ def classify(
     no rows. Extra columns are ignored.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    fits: tuple = (None, None)
-    if labels is not None:
-        known = labels.select(F.col(key).cast("long").alias("doc_id"), "quality", "toxic").where("quality IS NOT NULL AND toxic IS NOT NULL")
-        here = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
-        fits = _fit(rows, _smallest_hashes(here, labelled_rows, "labelled"), bits, [lambda t: t["quality"] == 0, lambda t: t["toxic"] == 1])
-    votes = written(rows.mapInArrow(_label(fits, bits), _VOTES), "votes")
-    targets = []
-    for column, names, prior in (("junk", JUNK_LABELLERS, 0.15), ("toxic", TOXIC_LABELLERS, 0.1)):
-        patterns = {r[0]: r[1] for r in votes.groupBy(column).count().collect()}  # bounded by the number of labellers
-        share, accuracy = fit_labellers(patterns, len(names), prior)
-        coded = np.array([["-gb".index(c) for c in k] for k in patterns]).reshape(-1, len(names))
-        model = dict(zip(patterns, pattern_posterior(coded, share, accuracy).tolist(), strict=True))
-        targets.append(lambda t, column=column, model=model: t[column].map(model))
-    weights = _fit(rows, _smallest_hashes(votes, sample_rows, "sample"), bits, targets)
-    none = np.zeros((1 << bits) + len(DENSE), np.float32)
-    scored = rows.mapInArrow(_score(tuple(none if w is None else w for w in weights), bits), _SCORES)
+    scored = rows.mapInArrow(_score(_scorers(rows, labels, sample_rows, labelled_rows, bits, key), bits), _SCORES)
     return scored.withColumn("kept", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)).withColumnRenamed("doc_id", key)
+
+
+def kept_documents(
+    docs: DataFrame, labels: DataFrame | None = None, sample_rows: int = 8000, labelled_rows: int = 6000, bits: int = 18, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The documents that ``classify`` keeps, all columns kept. Each row is judged by its own text and needs no key."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    weights = _scorers(rows, labels, sample_rows, labelled_rows, bits, key)
+    return docs.mapInArrow(_keep(weights, bits, docs.columns.index(text)), docs.schema)

@@ -1,5 +1,10 @@
+from collections import Counter
+
+from pyspark.sql import functions as F
+from test_operators import ODD
+
 import corpus_pipeline
-from shelfmetrics.llm import jaccard, registry
+from shelfmetrics.llm import jaccard, quality, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,6 +27,40 @@ def test_stages_keep_the_schema_and_take_effect(spark):
     assert packed.select("doc_id").distinct().count() == counts[-1]
 
 
+def test_stages_judge_rows_without_ids_and_repeated_rows(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    of = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    odd = spark.createDataFrame([*ODD, (None, "no id here"), (None, None)], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.lit(1).cast("long")})
+    mixed = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id"))).select(*odd.columns)
+    mixed = corpus_pipeline.written(mixed.unionByName(odd).unionByName(docs.select(*odd.columns).where("doc_id = 1")), "mixed")
+
+    # all rows of a kept text stay, with or without an id
+    got, labels = of(stages["quality classifier"](spark, mixed, SF)), spark.read.parquet(f"{SF}/labels.parquet")
+    alike = Counter((r["doc_id"], r["kept"]) for r in quality.classify(mixed, labels, sample_rows=8000, labelled_rows=6000).collect())
+    assert Counter(i for i, _ in got.elements()) == Counter({i: n for (i, kept), n in alike.items() if kept}) and got.total() < mixed.count()
+    assert any(i is None for i, _ in got)
+
+    got = of(stages["quality rules"](spark, mixed, SF))
+    assert any(i is None for i, _ in got)
+
+    rows = of(mixed)
+    got = of(stages["n-gram Jaccard join"](spark, mixed, SF))
+    sets = {k: t for k, t in enumerate(rows.elements())}
+    want = jaccard.brute_components([(k, t) for k, (_, t) in sets.items()], 5, "4/5")
+    groups = {}
+    for k, (_, component) in want.items():
+        groups.setdefault(component, []).append(sets[k])
+    smallest = [min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups.values()]
+    assert Counter(i for i, _ in got.elements()) == Counter(smallest) and not got - rows
+    assert got[8, "w " * 30000] == 1 and got[ODD[3]] == 1 and not got[4, "a b c"] and not got[5, "a b c"] and got[None, "no id here"] == 1 and got[0, None] == 1
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    some = odd.unionByName(odd.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(item)})).unionByName(odd.limit(1).withColumns({"doc_id": F.lit(4).cast("long"), "text": F.lit(item)}))
+    assert of(stages["benchmark decontamination"](spark, some, SF)) == of(odd)
+    assert stages["packing"](spark, some, SF).where("start = 0").count() == some.count()
+
+
 def test_every_operator_has_a_query():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
