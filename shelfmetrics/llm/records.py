@@ -2,7 +2,7 @@
 
 A record file is a run of frames. A frame is the payload's length (unsigned 64-bit, little-endian), the masked
 CRC-32C of those eight bytes (unsigned 32-bit), the payload, and the payload's masked CRC-32C. A payload is a text's key
-(signed 64-bit), the width of an id in bytes (one byte: 2 or 4) and the ids, little-endian. The mask rotates a checksum
+(signed 64-bit), the width of an id in bytes (one byte: 2 or 4, plus 128 for a null key) and the ids, little-endian. The mask rotates a checksum
 right by 15 bits and adds a constant, so that checksums of data that hold checksums stay sound.
 
 The index of a file is a Parquet table with a row for each record: file, slot, key, offset, length. With it any record
@@ -26,6 +26,8 @@ from .tokens import batches_of, encoder
 #: Fixed values of the public record format: the reversed Castagnoli polynomial and the mask's constant.
 POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
 _HEAD, _KEY = "<QI", "<qB"
+#: In the width's byte: the key is null (and stored as 0).
+_NULL = 0x80
 _INDEX = "file string, slot long, key long, offset long, length long, n_tokens long"
 _BACK = "key long, file string, slot long, n_tokens long, ids_crc32 long"
 
@@ -182,7 +184,7 @@ def _write_partition(vocabulary: str, folder: str, eos: int):
             flat, ends = encode(batch.column(1))
             keys, parts = batch.column(0).to_pylist(), np.split(flat, ends[:-1])
             ids = [np.append(p, eos).astype(f"<u{width}") for p in parts]
-            data, lengths = frame([struct.pack(_KEY, k, width) + x.tobytes() for k, x in zip(keys, ids, strict=True)])
+            data, lengths = frame([struct.pack(_KEY, k or 0, width | _NULL * (k is None)) + x.tobytes() for k, x in zip(keys, ids, strict=True)])
             out.write(data)
             n = len(keys)
             columns = ([name] * n, range(slot, slot + n), keys, offset + np.cumsum(lengths) - lengths, lengths, [len(x) for x in ids])
@@ -204,7 +206,7 @@ def write_records(docs: DataFrame, vocabulary: str, eos: int = 0, folder: str |
     end, so a lost executor leaves no half file under a file's name. Returns the folder (by default a new one in
     the shared folder) and the index, which is itself a written table beside the files.
 
-    Null or empty text: a record with ``eos`` alone. Keys must not be null. Equal keys are written in the order of their
+    Null or empty text: a record with ``eos`` alone. Null keys come first and are read back as null. Equal keys are written in the order of their
     texts. No rows: no files and an empty index. Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -224,6 +226,7 @@ def _read_files(folder: str, chunk: int):
             keys, counts, sums = [], [], []
             for p in payloads:
                 key, width = struct.unpack_from(_KEY, p)
+                key, width = None if width & _NULL else key, width & ~_NULL
                 ids = np.frombuffer(p, f"<u{width}", offset=struct.calcsize(_KEY)).astype("<u4")
                 keys.append(key)
                 counts.append(len(ids))

@@ -348,6 +348,20 @@ def test_records_round_trip(spark, documents):
         assert len(records.unframe(f.read(entry["length"]))) == 1
 
 
+def test_records_with_null_keys(spark, odd):
+    docs = odd.unionByName(odd.where("doc_id IS NULL")).unionByName(odd.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    folder, index = records.write_records(docs.repartition(3), tokens.public_vocabulary())
+    got = records.with_starts(records.read_records(spark, folder, index)).orderBy("start").collect()
+    encoder, start = tokens.PieceEncoder(tokens.public_vocabulary()), 0
+    rows = sorted(((i, t or "") for i, t in rows_of(docs)), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    assert len(got) == len(rows) and [r["key"] for r in got] == [i for i, _ in rows]
+    for r, (_, text) in zip(got, rows, strict=True):
+        ids = np.array([*encoder._whole([text])[0], 0], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert index.where("key IS NULL").count() == 3
+
+
 def test_records_empty(spark, odd):
     folder, index = records.write_records(none_of(odd), tokens.public_vocabulary())
     assert records.read_records(spark, folder, index).count() == 0
