@@ -79,18 +79,25 @@ def _pack_partition(path: str, size: int, bound: int, eos: int):
     return run
 
 
-def _merge_open(size: int, bound: int, schema: str):
-    """Best fit, again with a bound, over whole leftover windows, the fullest first."""
+_MERGED = "window long, into long, shift long, total long, open boolean"
+
+
+def _merge_open(size: int, bound: int):
+    """Best fit over whole leftover windows, the fullest first, all of them open; the ``bound`` emptiest stay open after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(((f, w) for b in batches for w, f in zip(*(c.to_pylist() for c in b.columns[:2]), strict=True)), reverse=True)
         if not rows:
             return
-        windows, out, names = OpenWindows(size, bound, 0), [], {}
+        windows, out, names, totals = OpenWindows(size, len(rows), 0), [], {}, {}
         for fill, window in rows:
-            into, offset = windows.place(fill)
-            out.append((window, names.setdefault(into, window), offset))
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+            place, offset = windows.place(fill)
+            into = names.setdefault(place, window)
+            totals[into] = offset + fill
+            out.append((window, into, offset))
+        still = set(sorted((w for w, t in totals.items() if t < size), key=lambda w: (totals[w], w))[:bound])
+        columns = [*zip(*out, strict=True), [totals[i] for _, i, _ in out], [i in still for _, i, _ in out]]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.bool_()], strict=True)], names=[x.split()[0] for x in _MERGED.split(", ")])
 
     return run
 
@@ -101,7 +108,8 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, bound: int = 64, eo
     Texts longer than a window are cut into full windows and a rest. Each partition keeps ``bound`` windows open: a
     piece goes into the one that it fills best; when none has room, the fullest is emitted. What is open at the
     end of all partitions is merged: the leftover windows of ``merge`` neighbouring partitions meet in one
-    task, as window numbers and fills only, and are packed whole by the same rule.
+    task, as window numbers and fills only, and are packed whole, the fullest first, each into the window that it fills
+    best. The ``bound`` emptiest windows of each such group meet once more, those of ``merge`` neighbouring groups in one task.
 
     Returns key, start, length, ids_crc32 (of the piece's ids as little-endian unsigned 32-bit integers), doc_tokens,
     sequence_id (unique, not gapless), offset. Null or empty text: one piece that is the
@@ -111,8 +119,11 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, bound: int = 64, eo
     pieces = written(rows.mapInArrow(_pack_partition(vocabulary, size, bound, eos), _PIECES), "pieces")
     left = pieces.where("open").groupBy("window").agg(F.max("fill").alias("fill"), (F.shiftright(F.first("window"), 32) / merge).cast("long").alias("group"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "window long, into long, shift long"
-    merged = left.select("window", "fill", "group").repartition(parts, "group").mapInArrow(_merge_open(size, bound, schema), schema)
+    merged = written(left.select("window", "fill", "group").repartition(parts, "group").mapInArrow(_merge_open(size, bound), _MERGED), "merged")
+    still = merged.where("open").groupBy("into").agg(F.max("total").alias("fill")).select(F.col("into").alias("window"), "fill", (F.shiftright("into", 32) / (merge * merge)).cast("long").alias("group"))
+    again = still.repartition(parts, "group").mapInArrow(_merge_open(size, bound), _MERGED).select(F.col("window").alias("into"), F.col("into").alias("_into"), F.col("shift").alias("_shift"))
+    merged = merged.select("window", "into", "shift").join(again, "into", "left")
+    merged = merged.select("window", F.coalesce("_into", "into").alias("into"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift"))
     closed = pieces.where("NOT open").select("*", F.col("window").alias("sequence_id"))
     moved = pieces.where("open").join(merged, "window").withColumn("offset", F.col("offset") + F.col("shift"))
     out = closed.drop("window", "open").unionByName(moved.withColumn("sequence_id", F.col("into")).drop("window", "open", "into", "shift"))

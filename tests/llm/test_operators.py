@@ -312,6 +312,18 @@ def test_open_windows_are_bounded():
         assert len(windows.free) <= 3
 
 
+def test_leftover_windows_meet(spark):
+    # more windows over half full than a partition keeps open, and as many leftovers that fit
+    docs = spark.createDataFrame([(k, "a " * 5) for k in range(64)], "doc_id long, text string").repartition(16)
+    got = packing.pack(docs, tokens.public_vocabulary(), bound=4, merge=4).toPandas()
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == list(np.cumsum(g.length) - g.length) and g.length.sum() <= 1024
+    assert len(got) == 64 and got.sequence_id.nunique() == 1
+    batch = pa.record_batch([pa.array(range(200)), pa.array([600] * 100 + [400] * 100)], names=["window", "fill"])
+    merged = next(packing._merge_open(1000, 64)(iter([batch]))).to_pydict()
+    assert len(set(merged["into"])) == 100 and set(merged["total"]) == {1000} and not any(merged["open"])
+
+
 def test_packing_odd_and_empty(odd):
     assert packing.pack(odd, tokens.public_vocabulary()).where("start = 0").count() == len(ODD) + 1
     assert packing.pack(none_of(odd), tokens.public_vocabulary()).count() == 0
