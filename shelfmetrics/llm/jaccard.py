@@ -2,11 +2,16 @@
 
 Sets x and y with a Jaccard similarity of at least t differ in at most (1 - t) / (1 + t) * (|x| + |y|) elements. Sizes are
 cut into bands; a pair belongs to the band of its smaller set, and in band j it differs in at most k_j elements. All
-shingles are hashed into m segments. If e segments are compared as they are and d segments up to one difference, and
-e + 2 d > k_j, some segment must pass, for a segment that fails its test holds one difference or two. A set is indexed
-by its segments' hashes, and in the d segments also by the hashes with each one shingle left out.
+shingles are hashed into segments. If e segments are compared as they are (score 1) and d segments up to one difference
+(score 2), and the scores' sum e + 2 d is k_j + 1, some segment must pass, for one that fails its test holds as many
+differences as its score. A set is indexed by its segments' hashes, and in the d segments also by the hashes with each one shingle left out.
 
-What passes is verified on whole texts. Links are kept as they come; components are found by contraction.
+Two things are known of a set before any of its keys moves. Shingles that no other set has can only differ; a set of
+which more than 1 - t are such has no link at all, and is not indexed. Else, with r of them, what it shares with a partner
+differs in r elements less, so the set may leave out segments of a total score of r; and those of the band's k_j that its
+size leaves unused. It leaves out those with the longest lists: of empty segments and of common passages.
+
+What passes is verified on whole sets. Links are kept as they come; components are found by contraction.
 """
 
 from __future__ import annotations
@@ -15,18 +20,22 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD_RE, written
+from .arrays import pack, unpack
+from .common import ASCII_LOWER, WORD_RE, write_table, written
 from .tokens import batches_of
 
 _SETS = "id long, n long, h1 long, h2 long"
-_KEYS = "id long, key long"
+_KEYS = "id long, key long, group long, slot long, spare int"
+_ASKED = "slice int, block long, payload binary"
+_MEMBERS = "id long, n long, lone long, shared binary"
 _FINE = 4  # parts of a segment that tell how far two sets differ
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -112,19 +121,27 @@ def edges_of(t: Fraction, largest: int) -> list[int]:
     return out
 
 
-def keys_of(s: np.ndarray, band: Band, number: int) -> np.ndarray:
-    """The set's keys in a band's scheme."""
+def keys_of(s: np.ndarray, band: Band, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set's keys in a band's scheme, and of each the segment's place times two, plus one where the segment's score is two."""
     spread = mix(s ^ mix(np.array([number], np.uint64) + _B))
     segment = (spread % np.uint64(band.segments * _FINE)).astype(np.int64) // _FINE
     value = mix(spread + _A)
     sums = np.zeros(band.segments, np.uint64)
     np.add.at(sums, segment, value)
     salt = mix(np.arange(band.segments, dtype=np.uint64) + np.uint64(number << 32) + _A)
-    keys = mix(sums ^ salt)
+    place = np.arange(band.segments)
+    keys, slots = mix(sums ^ salt), place * 2 + (place < band.deletions)
     if band.deletions:
         near = segment < band.deletions
-        keys = np.unique(np.concatenate([keys, mix((sums[segment[near]] - value[near]) ^ salt[segment[near]])]))
-    return keys
+        keys = np.concatenate([keys, mix((sums[segment[near]] - value[near]) ^ salt[segment[near]])])
+        keys, at = np.unique(keys, return_index=True)
+        slots = np.concatenate([slots, segment[near] * 2 + 1])[at]
+    return keys, slots
+
+
+def spare_of(size: int, lone: int, band: Band, t: Fraction) -> int:
+    """The score that a set may leave out: its lone shingles, and the differences that its size can't make of the band's."""
+    return lone + int((1 - t) / (1 + t) * ((band.high if size <= band.high else band.largest) - size))
 
 
 def profile_of(s: np.ndarray, band: Band, number: int) -> np.ndarray:
@@ -153,16 +170,146 @@ def _schemes(size: int, starts: list[int], bands: list[Band]) -> list[int]:
     return [j for j in (own, own - 1) if 0 <= j < len(bands) and bands[j].differences and size <= bands[j].largest]
 
 
-def _index(n: int, starts: list[int], bands: list[Band]):
+def _blocks(block_bytes: int):
+    """Adds to rows the number of their block, of about ``block_bytes`` of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, size = TaskContext.get().partitionId() << 32, 0
+        for batch in (x for b in batches for x in batches_of(b, 1, min(block_bytes, 4 << 20))):
+            yield pa.record_batch([*batch.columns, pa.array(np.full(batch.num_rows, number, np.int64))], names=["id", "text", "block"])
+            size += batch.nbytes
+            if size >= block_bytes:
+                number, size = number + 1, 0
+
+    return run
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The runs of rows of one block in each batch."""
+    for batch in batches:
+        blocks = batch.column(2).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                part = pa.record_batch([pa.concat_arrays([c.slice(a, b - a)]) for c in batch.columns], names=batch.schema.names)
+                yield from ((int(blocks[a]), x) for x in batches_of(part, 1, 4 << 20))
+
+
+def _ask(n: int, bits: int, slices: int):
+    """Each block's distinct shingles, cut to ``bits`` bits, in slices, with a mark on those that several of its own sets have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        edges = np.array([(k << bits) // slices for k in range(1, slices)], np.uint64)
+
+        def questions(block: int) -> Iterator[pa.RecordBatch]:
+            keys = np.sort(np.concatenate(held))
+            held.clear()
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            many = (np.diff(np.append(starts, len(keys))) > 1).astype(np.uint8)
+            keys = keys[starts]
+            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+            rows = [(k, block, pack(keys=keys[a:b], many=many[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            for k in range(0, len(rows), 256):
+                columns = zip(*rows[k : k + 256], strict=True)
+                yield pa.record_batch([pa.array(x, c) for x, c in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slice", "block", "payload"])
+
+        last = None
+        for block, batch in _by_block(batches):
+            if block != last and held:
+                yield from questions(last)
+            last = block
+            held += [(mix(s) >> np.uint64(64 - bits)) for s in shingle_sets(batch.column(1), n) if len(s)]
+        if held:
+            yield from questions(last)
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each slice, what of each block's shingles several sets have."""
+
+    def answers(rows: list[tuple[int, dict]]) -> Iterator[pa.RecordBatch]:
+        keys = np.sort(np.concatenate([x["keys"] for _, x in rows] + [x["keys"][x["many"] > 0] for _, x in rows]))
+        shared = np.unique(keys[1:][keys[1:] == keys[:-1]])
+        for block, x in rows:
+            at = np.searchsorted(shared, x["keys"])
+            own = x["keys"][shared[np.minimum(at, len(shared) - 1)] == x["keys"]] if len(shared) else shared
+            if len(own):
+                columns = [[block >> 32], [block], [pack(keys=own)]]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["home", "block", "payload"])
+
+    last, rows = None, []
+    for part, block, payload in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+        if part != last and rows:
+            yield from answers(rows)
+            rows = []
+        last = part
+        rows.append((block, unpack(payload)))
+    if rows:
+        yield from answers(rows)
+
+
+def _answered(path: str, block: int) -> np.ndarray:
+    """The block's shingles that several sets have, sorted; from the shared folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(path)
+    found = [np.empty(0, np.uint64)]
+    for file in system.get_file_info(fs.FileSelector(f"{path}/home={block >> 32}", allow_not_found=True)):
+        if file.path.endswith(".parquet"):
+            with system.open_input_file(file.path) as source:
+                for some in pq.ParquetFile(source).iter_batches(64, columns=["block", "payload"]):
+                    some = some.filter(pc.equal(some.column(0), block))
+                    found += [unpack(x)["keys"] for x in some.column(1).to_pylist()]
+    return np.sort(np.concatenate(found))
+
+
+def _reduce(n: int, bits: int, t: Fraction, path: str):
+    """The sets that can have a link, without the shingles that nobody else has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in batches_of(b, 1, 4 << 20)):
-            ids, keys = [], []
-            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
-                for j in _schemes(len(s), starts, bands) if len(s) else ():
-                    keys.append(keys_of(s, bands[j], j))
-                    ids.append(np.full(len(keys[-1]), i, np.int64))
-            if keys:
-                yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys).view(np.int64))], names=["id", "key"])
+        last, common = None, np.empty(0, np.uint64)
+        for block, batch in _by_block(batches):
+            if block != last:
+                last, common = block, _answered(path, block)
+            rows = []
+            if len(common):
+                for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
+                    own = mix(s) >> np.uint64(64 - bits)
+                    shared = s[common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own]
+                    if len(s) and len(shared) * t.denominator >= len(s) * t.numerator:
+                        rows.append((i, len(s), len(s) - len(shared), shared.tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "n", "lone", "shared"])
+
+    return run
+
+
+def _set(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def _index(t: Fraction, starts: list[int], bands: list[Band], level: int):
+    """Keys of members (id, n, lone, shared, group): those of two groups, or of two levels, are never equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in batches_of(b, 3, 4 << 20)):
+            out = []
+            for i, n, lone, shared, group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for j in _schemes(n, starts, bands):
+                    keys, slots = keys_of(_set(shared), bands[j], j + (level << 12))
+                    if group:
+                        keys = mix(keys ^ mix(np.array([group], np.int64).view(np.uint64) + _B))
+                    k = len(keys)
+                    spare = np.full(k, spare_of(n, lone, bands[j], t), np.int32)
+                    out.append((np.full(k, i, np.int64), keys.view(np.int64), np.full(k, group, np.int64), slots.astype(np.int64) | j << 32, spare))
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "key", "group", "slot", "spare"])
 
     return run
 
@@ -176,40 +323,38 @@ def linked(x: np.ndarray, y: np.ndarray, t: Fraction) -> bool:
     return common * t.denominator >= (low + high - common) * t.numerator
 
 
-def _verify(n: int, t: Fraction):
+def _verify(t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if len(held) > 2000:
-                held.clear()
-            sets: list[dict[int, np.ndarray]] = []
-            for ids, column in ((a, 2), (b, 3)):
-                fresh = {i: k for k, i in enumerate(ids) if i not in held}
-                texts = batch.column(column).take(pa.array(list(fresh.values()), pa.int64()))
-                held.update(zip(fresh, shingle_sets(texts, n), strict=True))
-            sets = [held[i] for i in a], [held[i] for i in b]
-            keep = [k for k, (x, y) in enumerate(zip(*sets, strict=True)) if linked(x, y, t)]
-            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+            keep, first, x = [], None, np.empty(0, np.uint64)
+            for k, (a, n, m, own, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5)), strict=True)):
+                if a != first:
+                    first, x = a, _set(own)
+                y = _set(other)
+                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+                if common * t.denominator >= (n + m - common) * t.numerator:
+                    keep.append(k)
+            yield pa.record_batch([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFrame:
-    x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("_x")), texts.select(F.col("id").alias("b"), F.col("text").alias("_y"))
-    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "_x", "_y").mapInArrow(_verify(n, t), "a long, b long"), "links")
+def _verified(pairs: DataFrame, members: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) that are linked. b's set travels first: in a star, a is the one that many pairs have."""
+    x, y = (members.select(F.col("id").alias(c), F.col("n").alias(f"_n{c}"), F.col("shared").alias(f"_s{c}")) for c in "ab")
+    both = pairs.join(y, "b").join(x, "a").select("a", "b", "_na", "_nb", "_sa", "_sb")
+    return written(both.mapInArrow(_verify(t), "a long, b long").distinct(), "links")
 
 
-def _profiles(n: int, starts: list[int], bands: list[Band]):
+def _profiles(starts: list[int], bands: list[Band]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in batches_of(b, 1)):
+        for batch in (x for b in batches for x in batches_of(b, 3)):
             rows = []
-            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
-                keys = {j: set(keys_of(s, bands[j], j).view(np.int64).tolist()) for j in _schemes(len(s), starts, bands)} if len(s) else {}
-                rows += [(i, len(s), j, profile_of(s, bands[j], j).tobytes(), list(k)) for j, k in keys.items()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            for i, n, lone, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(i, n, lone, j, profile_of(_set(shared), bands[j], j).tobytes()) for j in _schemes(n, starts, bands)]
+            kinds = (*[pa.int64()] * 4, pa.binary())
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n", "band", "profile", "keys"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n", "lone", "band", "profile"])
 
     return run
 
@@ -224,26 +369,26 @@ def _compare(bands: list[Band]):
             if len(rows) < 2:
                 return
             _, first, second, band = group
-            ids, sizes, labels, chunks = (np.array([r[k] for r in rows]) for k in range(4))
-            profiles = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+            ids, sizes, lone, labels, chunks = (np.array([r[k] for r in rows]) for k in range(5))
+            profiles = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
             left, right = np.flatnonzero(chunks == first), np.flatnonzero(chunks == second)
             for p in left.tolist():
                 others = right[(labels[right] != labels[p]) & (ids[right] > ids[p])] if first == second else right[labels[right] != labels[p]]
                 low, high = np.minimum(sizes[others], sizes[p]), np.maximum(sizes[others], sizes[p])
                 b = bands[band]
                 others = others[(high <= b.largest) & (low <= b.high)]
-                differ = (profiles[others] != profiles[p]).sum(1)
+                differ = (profiles[others] != profiles[p]).sum(1) + lone[others] + lone[p]
                 others = others[differ <= b.differences]
                 if len(others):
                     x, y = np.minimum(ids[others], ids[p]), np.maximum(ids[others], ids[p])
                     yield pa.record_batch([pa.array(x), pa.array(y)], names=["a", "b"])
 
         for batch in batches:
-            for key, first, second, chunk, i, size, label, band, profile in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, first, second, chunk, i, size, alone, label, band, profile in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, first, second, band) != group:
                     yield from flush()
                     group, rows = (key, first, second, band), []
-                rows.append((i, size, label, chunk, profile))
+                rows.append((i, size, alone, label, chunk, profile))
         yield from flush()
 
     return run
@@ -280,15 +425,58 @@ def _without(df: DataFrame, ids: DataFrame, how: str, most: int = 2_000_000) ->
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, "id", how)
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, threshold: str = "9/10", key: str = "doc_id", text: str = "text", chunk: int = 256) -> DataFrame:
+def _members(rows: DataFrame, shingles: int, n: int, t: Fraction, block_bytes: int, slice_keys: int) -> DataFrame:
+    """Rows (id, text) as sets (id, n, lone, shared), where a link is possible: the size, the number of shingles that no other
+    row has, and the others' hashes.
+
+    Tasks send each block's sorted distinct shingles, cut to as many bits as tell nearly all apart, as gaps: some two bytes a
+    shingle. Shingles cut to equal bits count as shared, which loses nothing. A slice of the shingles, of about
+    ``slice_keys``, answers which are shared; a block's answers are read from the shared folder.
+    """
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = written(rows.mapInArrow(_blocks(block_bytes), "id long, text string, block long"), "blocks")
+    bits, slices = min(60, shingles.bit_length() + 6), max(parts, shingles // slice_keys)
+    asked = blocks.mapInArrow(_ask(n, bits, slices), _ASKED).repartition(slices, "slice").sortWithinPartitions("slice")
+    answers = asked.mapInArrow(_answer, "home long, block long, payload binary")
+    # one file for each task of blocks
+    path = write_table(answers.repartition(parts, "home").sortWithinPartitions("home", "block"), "shared-shingles", "home")
+    return written(blocks.mapInArrow(_reduce(n, bits, t, path), _MEMBERS), "members")
+
+
+def _met(keys: DataFrame) -> DataFrame:
+    """The keys that several ids have, with the smallest of them and their number."""
+    met = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("members")).where("first < last")
+    return keys.join(met.drop("last"), "key")
+
+
+def _allocated(keys: DataFrame) -> DataFrame:
+    """What is left of the keys that ids share when each set leaves out, of each band's segments, those with the longest lists,
+    as far as their scores fit into what it may spare."""
+    scheme = ["id", "group", "spare", "band"]
+    by_set = _met(keys).withColumn("band", F.shiftright("slot", 32)).repartition("id").groupBy(*scheme, "slot").agg(F.max("members").alias("cost"), F.collect_list("key").alias("keys"))
+    score = 1 + F.col("slot").bitwiseAND(F.lit(1))
+    costly = Window.partitionBy(*scheme).orderBy(F.desc("cost"), "slot").rowsBetween(Window.unboundedPreceding, 0)
+    kept = by_set.withColumn("_sum", F.sum(score).over(costly)).where("_sum > spare")
+    return written(kept.select("id", "band", F.explode("keys").alias("key")).distinct(), "keys")
+
+
+def jaccard_components(
+    docs: DataFrame, n: int = 3, threshold: str = "9/10", key: str = "doc_id", text: str = "text", chunk: int = 256, levels: int = 4, block_bytes: int = 24 << 20, slice_keys: int = 2_000_000
+) -> DataFrame:
     """Groups documents by the links of their sets of distinct ``n``-word shingles.
 
     1. Documents with equal sets are one class, held by its smallest id: copies are never paired.
-    2. Classes are indexed by their bands' keys, as allocated for the number of sets in each band.
-    3. In each key, every class is verified against the smallest; that joins groups of near copies along a star.
-    4. Keys whose classes are still in different components are compared in full, in chunks of about ``chunk`` classes, by
-       profiles that bound the difference from below; what remains is verified. So no link between different components
-       is lost, and links inside a component need not be found.
+    2. Sets with too many shingles of their own are out; of the others, only shared shingles go on.
+    3. Sets are indexed by their bands' keys, as allocated for the number of sets in each band, and leave out those with
+       the longest lists, as the module says.
+    4. In each key, every set is verified against the smallest; that joins groups of near copies along a star.
+    5. Keys whose sets are still in different components are compared in full, by profiles that bound the difference from
+       below, where that takes at most ``chunk`` squared pairs between components. The sets of larger keys are indexed
+       anew, by a partition of their own for each key, as a linked pair agrees in a segment of every partition; so lists get
+       shorter by the chance of a segment's value on each of ``levels`` levels. What is left is compared in chunks.
+
+    So no link between different components is lost, and links inside a component need not be found.
 
     Returns key, n_shingles (the set's size), component_id (the smallest key reachable by links, itself included),
     class_id (the smallest key with the same set) and size (documents in the component). Words are runs of
@@ -303,38 +491,43 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: str = "9/10", key
     known = sets.where("id IS NOT NULL AND n > 0")
     classes = written(known.groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")), "classes")
     repeated = known.join(classes.where("copies > 1"), ["n", "h1", "h2"]).where("id <> class_id").select("id").distinct()
-    largest = classes.agg(F.max("n")).first()[0] or 0
+    alone = _without(rows.where("id IS NOT NULL"), repeated, "left_anti")
+    members = _members(alone, int(classes.agg(F.sum("n")).first()[0] or 0), n, t, block_bytes, slice_keys)
 
-    starts = edges_of(t, largest)
+    starts = edges_of(t, members.agg(F.max("n")).first()[0] or 0)
     edge = F.array(*[F.lit(s) for s in starts])
     # a row for each band, of which there are as many as the logarithm of the largest set
-    counted = {r[0]: r[1] for r in classes.groupBy(F.size(F.filter(edge, lambda e: e <= F.col("n"))).alias("band")).count().collect()}
+    counted = {r[0]: r[1] for r in members.groupBy(F.size(F.filter(edge, lambda e: e <= F.col("n"))).alias("band")).count().collect()}
     bands = [allocate(a, b - 1, t, counted.get(j + 1, 0) + counted.get(j + 2, 0)) for j, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True))]
 
-    alone = _without(rows.where("id IS NOT NULL"), repeated, "left_anti")
-    keys = written(alone.mapInArrow(_index(n, starts, bands), _KEYS), "keys")
-    met = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("members")).where("first < last")
-    shared = written(keys.join(met.drop("last"), "key"), "shared")
-    texts = written(_without(alone, shared.select("id").distinct(), "left_semi").dropDuplicates(["id"]), "texts")
-    stars = shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(stars, texts, n, t)
-    labels = components(links)
-
-    named = shared.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select("key")
-    left = written(named.join(open_keys, "key").select("key", "id", "label", "members"), "open")
-    needed = left.select("id").distinct()
-    profiles = _without(texts, needed, "left_semi").mapInArrow(_profiles(n, starts, bands), "id long, n long, band long, profile binary, keys array<long>")
-    profiles = profiles.select("id", "n", "band", "profile", F.explode("keys").alias("key"))
-    chunks = F.ceil(F.col("members") / chunk)
-    placed = left.join(profiles, ["id", "key"]).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks))
+    groups = members.withColumn("group", F.lit(0).cast("long"))
+    links, compared = [], []
+    for level in range(levels):
+        keys = _allocated(written(groups.mapInArrow(_index(t, starts, bands, level), _KEYS), "index"))
+        shared = written(_met(keys), "shared")
+        links.append(_verified(shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), members, t))
+        labels = components(_all(links))
+        named = shared.join(labels, "id", "left").select("key", "id", "band", F.coalesce("component", "id").alias("label"))
+        counts = named.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").alias("members"), F.sum(F.col("count") * F.col("count")).alias("squares"))
+        pairs = counts.select("key", "members", ((F.col("members") * F.col("members") - F.col("squares")) / 2).alias("pairs")).where("pairs > 0")
+        opened = written(named.join(pairs, "key"), "open")
+        large = opened.where(F.col("pairs") > chunk * chunk)
+        if level + 1 == levels or large.isEmpty():
+            compared.append(opened)
+            break
+        compared.append(opened.where(F.col("pairs") <= chunk * chunk))
+        groups = members.join(large.select("id", F.col("key").alias("group")).distinct(), "id").select(*members.columns, "group")
+
+    left = _all(compared)
+    profiles = _without(members, left.select("id").distinct(), "left_semi").mapInArrow(_profiles(starts, bands), "id long, n long, lone long, band long, profile binary")
+    chunks = F.when(F.col("pairs") <= chunk * chunk, 1).otherwise(F.ceil(F.col("members") / chunk)).cast("long")
+    placed = left.join(profiles, ["id", "band"]).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    grouped = spread.select("key", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "chunk", "id", "n", "label", "band", "profile")
+    grouped = spread.select("key", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "chunk", "id", "n", "lone", "label", "band", "profile")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["key", "first", "second", "band"]
     candidates = grouped.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_compare(bands), "a long, b long").distinct()
-    more = _verified(candidates, texts, n, t)
-    labels = components(links.unionByName(more))
+    labels = components(_all([*links, _verified(candidates, members, t)]))
 
     named_classes = classes.join(labels, F.col("class_id") == F.col("id"), "left").select("n", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"), "copies")
     sizes = named_classes.groupBy("component_id").agg(F.sum("copies").alias("size"))
@@ -350,6 +543,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: str = "9/10", key
     )
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def brute_components(rows: list[tuple[int, str | None]], n: int, threshold: str) -> dict[int, tuple[int, int]]:
     """By comparing all pairs of word tuples: id to (set size, component). For small fixtures in tests."""
     t, sets = Fraction(threshold), {}

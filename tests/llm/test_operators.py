@@ -397,8 +397,9 @@ def test_jaccard_by_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for n, threshold in ((3, "9/10"), (5, "4/5")):
         want = jaccard.brute_components(rows, n, threshold)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df.repartition(5), n, threshold, chunk=8).collect()}
-        assert got == want
+        for limits in ({}, {"chunk": 1, "levels": 3, "block_bytes": 1 << 10, "slice_keys": 500}):
+            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df.repartition(5), n, threshold, **limits).collect()}
+            assert got == want
 
 
 def test_jaccard_deletion_neighbourhoods_lose_nothing():
@@ -415,8 +416,20 @@ def test_jaccard_deletion_neighbourhoods_lose_nothing():
             base = [random.getrandbits(60) for _ in range(size)]
             x, y = (np.sort(np.array(base[: random.randint(size - 4, size)] + [random.getrandbits(60) for _ in range(random.randint(0, 3))], np.uint64)) for _ in range(2))
             if jaccard.linked(x, y, t) and not np.array_equal(x, y):
-                keys = [{int(k) for j in jaccard._schemes(len(s), starts, bands) for k in jaccard.keys_of(s, bands[j], j)} for s in (x, y)]
-                assert keys[0] & keys[1]
+                # each set leaves out what it may: its own shingles, and the segments that the other might have needed most
+                common, kept = np.intersect1d(x, y), []
+                for s in (x, y):
+                    kept.append(set())
+                    for j in jaccard._schemes(len(s), starts, bands):
+                        keys, slots = jaccard.keys_of(common, bands[j], j)
+                        spare = jaccard.spare_of(len(s), len(s) - len(common), bands[j], t)
+                        left_out = set()
+                        for slot in random.sample(sorted(set(slots.tolist())), len(set(slots.tolist()))):
+                            if spare >= 1 + slot % 2:
+                                spare -= 1 + slot % 2
+                                left_out.add(slot)
+                        kept[-1] |= {int(k) for k, slot in zip(keys, slots, strict=True) if int(slot) not in left_out}
+                assert kept[0] & kept[1]
 
 
 def test_jaccard_odd_and_empty(odd):
