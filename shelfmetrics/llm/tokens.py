@@ -24,15 +24,16 @@ class PieceEncoder:
     The byte-level pre-tokenizer never joins characters across a single space that stands before a character
     that is not white space, and it keeps a lone newline, or each of two, apart. So texts whose white space is
     only such spaces and newlines are cut at spaces, and their pieces are encoded on their own and kept, at
-    about ``cache`` of them; when there are more the store starts anew with those of the batch at hand. All other texts go to the tokenizer
-    whole. Both ways give the same ids. Special tokens in a text are ordinary text.
+    about ``cache`` of them; when there are more the store starts anew with those of the batch at hand. All other texts, and those in which an
+    added token of the vocabulary stands, go to the tokenizer whole. Both ways give the ids of the library's plain ``encode``.
     """
 
     def __init__(self, path: str, cache: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.not_plain = "|".join([_NOT_PLAIN, *added])
         self.newline = self._whole(["\n"])[0][0]
         self.marks = {m: self._whole([m])[0][0] for m in ",."}
         # byte-level models write a byte that can't be seen as the next free character from U+0100 on
@@ -116,7 +117,7 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the ends of each text's ids in it. Null texts are empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, _NOT_PLAIN)
+        odd = pc.match_substring_regex(texts, self.not_plain)
         mark, none = pa.scalar("\x01", pa.large_string()), pa.scalar("", pa.large_string())
         marked = pc.binary_join_element_wise(mark, pc.if_else(odd, none, texts), none)
         cut = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
