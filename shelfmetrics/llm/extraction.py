@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ _MARKS = frozenset(
     "bottombar sidebar aside widget widgets related recommended comments comment respond replies cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social toolbar pagination pager skip copyright disclaimer".split()
 )
+#: Elements whose lines are an article's running text; what stands in an article otherwise may be a template's.
+_RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption".split())
 _REPLIES = frozenset("comment comments reply replies related recommended sponsored".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -40,7 +45,7 @@ _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}
 
 _LINES = "page_id long, host string, path string, hashes array<long>"
 _SHARED = "page_id long, shared array<int>"
-_TEXT = "page_id long, url string, text string, n_chars long"
+_TEXT = "page_id long, url string, text string, n_chars long, n_structure long, n_shared long"
 
 
 @dataclass
@@ -48,6 +53,7 @@ class Line:
     text: str
     inside: bool  # in an article or main element
     around: bool  # in an element, or under a name, that marks what surrounds an article
+    running: bool  # in a paragraph, heading, list, quotation or table cell
 
 
 def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
@@ -76,8 +82,9 @@ def lines_of(page: str | None) -> list[Line]:
     """
     page = page or ""
     out: list[Line] = []
-    # open elements: tag, article depth, surrounding depth, unseen depth
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+    # open elements: tag, article depth, surrounding depth, unseen depth, running depth
+    stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]
+    is_open: Counter[str] = Counter()
     buffer: list[str] = []
 
     def flush() -> None:
@@ -86,7 +93,7 @@ def lines_of(page: str | None) -> list[Line]:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text and not stack[-1][3]:
-                out.append(Line(text, stack[-1][1] > 0, stack[-1][2] > 0))
+                out.append(Line(text, stack[-1][1] > 0, stack[-1][2] > 0, stack[-1][4] > 0))
 
     at, n = 0, len(page)
     while at < n:
@@ -100,11 +107,16 @@ def lines_of(page: str | None) -> list[Line]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if page[at - 1] != ">":
+            # a quotation mark without its fellow: the tag ends at the next end of one
+            at = page.find(">", at) + 1 or n
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if depth:
-                if any(s[0] in _BLOCK or s[2:] != stack[depth - 1][2:] for s in stack[depth:]):
+            if is_open[tag]:
+                # what is searched through is closed, so each element is seen once
+                depth = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag)
+                if any(s[0] in _BLOCK or s[2:4] != stack[depth - 1][2:4] for s in stack[depth:]):
                     flush()
+                is_open.subtract(s[0] for s in stack[depth:])
                 del stack[depth:]
             elif tag in _BLOCK:
                 flush()
@@ -117,71 +129,109 @@ def lines_of(page: str | None) -> list[Line]:
         if tag in _VOID:
             continue
         if tag in _BLOCK and stack[-1][0] == "p" or tag in _CLOSED_BY and stack[-1][0] in _CLOSED_BY[tag]:
-            stack.pop()
+            is_open[stack.pop()[0]] -= 1
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
         if m[3].rstrip().endswith("/") and tag not in _BLOCK:
             continue
-        _, inside, around, unseen = stack[-1]
+        _, inside, around, unseen, running = stack[-1]
         is_around, hidden = _marked(tag, m[3], inside > 0)
         if is_around or hidden:
             flush()
-        stack.append((tag, inside + (tag in ("article", "main")), around + is_around, unseen + (hidden or tag in _NEVER)))
+        stack.append((tag, inside + (tag in ("article", "main")), around + is_around, unseen + (hidden or tag in _NEVER), running + (tag in _RUNNING)))
+        is_open[tag] += 1
     flush()
     return out
 
 
-def shared_lines(a: list[int], b: list[int]) -> list[int]:
+def shared_lines(a: list[int], b: list[int], most_bits: int = 1 << 26) -> list[int]:
     """The places in ``a`` of a longest common subsequence with ``b``.
 
-    Common ends are cut off first. The middle takes the sequence that bit-parallel rows give, in
-    |a| * |b| / 64 steps and with one word of |b| bits kept for each line of ``a``.
+    Lines that the other page lacks, and common ends, are cut off first. The rest takes |a| * |b| / 64 steps of bit-parallel
+    rows. Up to ``most_bits`` the rows are kept and traced back; beyond, ``a`` is cut in half, and ``b`` where the halves' sequences are longest together.
     """
+    common = set(a) & set(b)
+    places = [k for k, v in enumerate(a) if v in common]
+    x, y = [a[k] for k in places], [v for v in b if v in common]
     head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
+    while head < min(len(x), len(y)) and x[head] == y[head]:
         head += 1
     tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
         tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    places: dict[int, int] = {}
+    found, todo = [*range(head), *range(len(x) - tail, len(x))], [(head, len(x) - tail, head, len(y) - tail)]
+    while todo:
+        i, j, p, q = todo.pop()
+        if i == j or p == q:
+            continue
+        if j - i == 1 or (j - i) * (q - p) <= most_bits:
+            found += [i + k for k in _traced(x[i:j], y[p:q])]
+            continue
+        mid = (i + j) // 2
+        before, after = _lengths(x[i:mid], y[p:q]), _lengths(x[mid:j][::-1], y[p:q][::-1])
+        cut = p + int((before + after[::-1]).argmax())
+        todo += [(i, mid, p, cut), (mid, j, cut, q)]
+    return [places[k] for k in sorted(found)]
+
+
+def _places(y: list[int]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
     for k, v in enumerate(y):
-        places[v] = places.get(v, 0) | 1 << k
+        out.setdefault(v, []).append(k)
+    return out
+
+
+def _rows(x: list[int], y: list[int]) -> Iterator[int]:
+    """For each line of x a row of bits: a zero bit k says that the sequence of x up to it gets longer at y[k]."""
+    places, masks = _places(y), {}
     full = (1 << len(y)) - 1
-    rows, row = [], full
+    row = full
     for v in x:
-        rows.append(row)
-        step = row & places.get(v, 0)
+        if v not in masks and len(places.get(v, ())) > 1:
+            masks[v] = sum(1 << k for k in places[v])
+        step = row & (masks[v] if v in masks else 1 << places[v][0] if v in places else 0)
         row = ((row + step) | (row - step)) & full
-    # a zero bit k says that the sequence gets longer at y[k]
+        yield row
+
+
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """The length of a longest common subsequence of x with each beginning of y."""
+    row = deque(_rows(x, y), 1).pop()
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(y) // 8), "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _traced(x: list[int], y: list[int]) -> list[int]:
+    """The places in x of the sequence, by keeping all rows."""
+    rows = [(1 << len(y)) - 1, *_rows(x, y)]
+    places = _places(y)
     found, j = [], len(y)
-    length = lambda r, upto: upto - (r & (1 << upto) - 1).bit_count()
+    length = lambda row, upto: upto - (row & (1 << upto) - 1).bit_count()
     for i in range(len(x) - 1, -1, -1):
-        now = length(row, j)
-        if length(rows[i], j) < now:
-            match = places[x[i]] & (1 << j) - 1
+        if length(rows[i], j) < length(rows[i + 1], j):
             # the last place that still leaves a sequence one shorter before it
-            j = match.bit_length() - 1
-            found.append(head + i)
-        row = rows[i]
-    return [*range(head), *reversed(found), *range(len(a) - tail, len(a))]
+            j = places[x[i]][bisect_left(places[x[i]], j) - 1]
+            found.append(i)
+    return found
 
 
-def main_text(lines: list[Line], shared: set[int]) -> str:
-    """The article's lines.
+def main_text(lines: list[Line], shared: set[int]) -> tuple[str, int, int]:
+    """The article's lines, and how many others structure and differencing have deleted.
 
-    Lines of surrounding elements go. Where the page has an article element, it holds the text, and a shared line in
-    it stays: pages of a host repeat sentences and whole articles, which are text all the same. Elsewhere, shared
-    lines go, unless that leaves nothing, as for two copies of a page.
+    Lines of surrounding elements go. Where the page has an article element, lines outside of it go, and in it those shared lines
+    that are not running text: pages of a host repeat sentences and whole articles in paragraphs, which are text all the same. Elsewhere, all shared
+    lines go. Differencing that leaves nothing, as for two copies of a page, deletes nothing.
     """
-    kept = [(k, x) for k, x in enumerate(lines) if not x.around]
-    if any(x.inside for _, x in kept):
-        kept = [(k, x) for k, x in kept if x.inside]
+    kept = [k for k, x in enumerate(lines) if not x.around]
+    if any(lines[k].inside for k in kept):
+        kept = [k for k in kept if lines[k].inside]
+        own = [k for k in kept if lines[k].running or k not in shared]
     else:
-        kept = [(k, x) for k, x in kept if k not in shared] or kept
-    return "\n".join(x.text for _, x in kept)
+        own = [k for k in kept if k not in shared]
+    own = own or kept
+    return "\n".join(lines[k].text for k in own), len(lines) - len(kept), len(kept) - len(own)
 
 
 def _hash(text: str) -> int:
@@ -206,9 +256,10 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, urls, pages, shared = (c.to_pylist() for c in batch.columns)
-        texts = [main_text(lines_of(p), set(s or ())).encode("utf-8", "replace").decode() for p, s in zip(pages, shared, strict=True)]
-        columns = ((ids, pa.int64()), (urls, pa.string()), (texts, pa.string()), ([len(t) for t in texts], pa.int64()))
-        yield pa.record_batch([pa.array(c, k) for c, k in columns], names=["page_id", "url", "text", "n_chars"])
+        found, structure, differencing = zip(*(main_text(lines_of(p), set(s or ())) for p, s in zip(pages, shared, strict=True)), strict=True) if ids else ([], [], [])
+        texts = [t.encode("utf-8", "replace").decode() for t in found]
+        columns = ((ids, pa.int64()), (urls, pa.string()), (texts, pa.string()), ([len(t) for t in texts], pa.int64()), (structure, pa.int64()), (differencing, pa.int64()))
+        yield pa.record_batch([pa.array(c, k) for c, k in columns], names=[x.split()[0] for x in _TEXT.split(", ")])
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -221,7 +272,8 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     Neighbours are found on line hashes alone, by range partitions of (host, path): a host's size doesn't matter. The
     first and last rows of each range partition, two a partition, give its neighbours across partitions.
 
-    Returns page_id, url, text (lines joined by a newline; empty if none), n_chars (code points). Null or empty html: an
+    Returns page_id, url, text (lines joined by a newline; empty if none), n_chars (code points), n_structure and n_shared (lines
+    that structure and differencing have deleted). Null or empty html: an
     empty text. Null URL: host and path are empty. Equal URLs are ordered by page_id and pair like others. Null ids and
     repeated ids: rows with an equal id must be equal pages, else either's decisions may serve both; a page with a null id
     is not compared. No rows: no rows. Extra columns are ignored.
