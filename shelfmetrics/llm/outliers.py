@@ -17,16 +17,12 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
-def _repeated_words(hashes: Column) -> Column:
-    """How many words lie in a window of eight that occurs at two or more places of the text.
-
-    Windows are compared by 64-bit hashes. Sorted with their places, equal ones are neighbours; the places of those
-    that repeat, sorted again, are intervals of eight words whose union is counted.
-    """
-    last = F.size(hashes) - WINDOW
-    places = F.when(last >= 1, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(places, lambda i: F.struct(F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]).alias("h"), i.alias("i")))
-    return F.array_sort(windows)
+def _windows(hashes: Column) -> Column:
+    """A hash of each window of eight words: pairs, pairs of pairs and pairs of these."""
+    out = hashes
+    for step in (1, 2, 4):
+        out = F.zip_with(out, F.slice(out, F.lit(step + 1), F.size(out)), lambda a, b: F.xxhash64(a, b))
+    return F.slice(out, F.lit(1), F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0)))
 
 
 def _union_of(places: Column) -> Column:
@@ -44,28 +40,32 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     base = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", words(F.col(text)))
     base = base.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    base = base.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    # a text without a repeated word has no repeated window, which spares most short texts the sort
-    base = base.withColumn("_windows", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), _repeated_words(F.col("_hashes"))))
+    base = base.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_windows", _windows(F.col("_hashes")))
+    # sorted with their places, equal windows are neighbours; most texts have none, which a look at the distinct ones tells
+    sorted_windows = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    base = base.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), sorted_windows))
     twice = F.filter(
-        "_windows",
-        lambda w, k: (F.get("_windows", k - 1)["h"] == w["h"]) & (k > 0) | F.coalesce(F.get("_windows", k + 1)["h"] == w["h"], F.lit(False)),
+        "_sorted",
+        lambda w, k: (F.get("_sorted", k - 1)["h"] == w["h"]) & (k > 0) | F.coalesce(F.get("_sorted", k + 1)["h"] == w["h"], F.lit(False)),
     )
-    base = base.withColumn("_places", F.array_sort(F.transform(twice, lambda w: w["i"])))
-    squeezed = F.regexp_replace("_text", r"[\x20\x09-\x0D]+", "")
+    base = base.withColumn("_places", F.array_sort(F.transform(twice, lambda w: w["i"]))).withColumn("_squeezed", F.translate("_text", "\x20\x09\x0a\x0b\x0c\x0d", ""))
     return base.select(
         *docs.columns,
         F.size("_words").cast("long").alias("n_words"),
-        F.length(squeezed).cast("long").alias("word_chars"),
+        F.length("_squeezed").cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_union_of(F.col("_places")), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(F.array_distinct("_hashes")).cast("long").alias("n_distinct"),
-        F.length(F.regexp_replace(squeezed, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace(squeezed, r"[\p{L}\p{N}]+", "")).cast("long").alias("n_marks"),
+        F.length(F.regexp_replace("_squeezed", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("_squeezed", r"[\p{L}\p{N}]+", "")).cast("long").alias("n_marks"),
     )
 
 
+#: A text's rates scatter by its length: their variance is that of long texts times 1 + SHORT / words.
+SHORT = 100.0
+
+
 #: The transformed statistics. Rates are pulled towards a usual value by a few words' weight, as short texts scatter.
 def vector(w: Column | None = None) -> list[Column]:
     n = F.col("n_words").cast("double")
@@ -80,26 +80,28 @@ def vector(w: Column | None = None) -> list[Column]:
     ]
 
 
-def _distance(x: list[Column], centre: list[Column], lower: list[list[Column]]) -> Column:
-    """The squared Mahalanobis distance by forward substitution with the covariance's Cholesky factor."""
+def _distance(p: int) -> Column:
+    """The squared Mahalanobis distance by forward substitution with the covariance's Cholesky factor, scaled by the text's length."""
+    x, centre = [F.col(f"_x{i}") for i in range(p)], [F.col(f"_m{i}") for i in range(p)]
+    lower = [[F.col(f"_l{i}{k}") for k in range(i + 1)] for i in range(p)]
     solved: list[Column] = []
     for i in range(len(x)):
         rest = x[i] - centre[i]
         for k in range(i):
             rest = rest - lower[i][k] * solved[k]
         solved.append(rest / lower[i][i])
-    return sum((s * s for s in solved[1:]), solved[0] * solved[0])
+    return F.col("_w") * sum((s * s for s in solved[1:]), solved[0] * solved[0])
 
 
 def _factored(sums: DataFrame, keys: list[str], p: int, floor: float) -> DataFrame:
-    """From a group's sums: centre, Cholesky factor column by column, and the log determinant.
+    """From a group's weighted sums: centre, Cholesky factor column by column, and the log determinant.
 
     The least variance ``floor`` keeps the estimate from collapsing where a statistic is constant.
     """
     n = F.col("_n").cast("double")
     out = sums.select(
-        *keys, "_n", *[(F.col(f"_s{i}") / n).alias(f"_m{i}") for i in range(p)],
-        *[(F.col(f"_q{i}{k}") / n - F.col(f"_s{i}") / n * (F.col(f"_s{k}") / n) + (F.lit(floor) if i == k else F.lit(0.0))).alias(f"_c{i}{k}") for i in range(p) for k in range(i + 1)],
+        *keys, "_n", *[(F.col(f"_s{i}") / F.col("_weight")).alias(f"_m{i}") for i in range(p)],
+        *[((F.col(f"_q{i}{k}") - F.col(f"_s{i}") / F.col("_weight") * F.col(f"_s{k}")) / n + (F.lit(floor) if i == k else F.lit(0.0))).alias(f"_c{i}{k}") for i in range(p) for k in range(i + 1)],
     )
     for k in range(p):
         rest = F.col(f"_c{k}{k}")
@@ -123,8 +125,9 @@ def _sums(rows: DataFrame, keys: list[str], p: int, where: Column) -> DataFrame:
     pick = lambda c: F.sum(F.when(where, c))
     return rows.groupBy(*keys).agg(
         F.sum(F.when(where, 1).otherwise(0)).alias("_n"),
-        *[pick(F.col(f"_x{i}")).alias(f"_s{i}") for i in range(p)],
-        *[pick(F.col(f"_x{i}") * F.col(f"_x{k}")).alias(f"_q{i}{k}") for i in range(p) for k in range(i + 1)],
+        pick(F.col("_w")).alias("_weight"),
+        *[pick(F.col("_w") * F.col(f"_x{i}")).alias(f"_s{i}") for i in range(p)],
+        *[pick(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{k}")).alias(f"_q{i}{k}") for i in range(p) for k in range(i + 1)],
     )
 
 
@@ -142,8 +145,7 @@ def _sent(groups: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def _measured(rows: DataFrame, fits: DataFrame, keys: list[str], p: int) -> DataFrame:
-    d = _distance([F.col(f"_x{i}") for i in range(p)], [F.col(f"_m{i}") for i in range(p)], [[F.col(f"_l{i}{k}") for k in range(i + 1)] for i in range(p)])
-    return rows.join(_sent(fits.select(*keys, *_estimate_columns(p))), keys).withColumn("_d", d).drop(*_estimate_columns(p))
+    return rows.join(_sent(fits.select(*keys, *_estimate_columns(p))), keys).withColumn("_d", _distance(p)).drop(*_estimate_columns(p))
 
 
 def chi_square_quantile(share: float, p: int) -> float:
@@ -166,10 +168,9 @@ def chi_square_quantile(share: float, p: int) -> float:
 def mcd_outliers(
     docs: DataFrame,
     keep_share: float = 0.75,
-    quantile: float = 0.999999,
-    least_distance: float = 100.0,
-    rounds: int = 4,
-    floor: float = 4e-3,
+    quantile: float = 1 - 1e-12,
+    rounds: int = 12,
+    floor: float = 1e-3,
     least_group: int = 60,
     key: str = "doc_id",
     lang: str = "lang",
@@ -178,10 +179,11 @@ def mcd_outliers(
 ) -> DataFrame:
     """Rejects documents whose statistics lie far from the bulk of their language and source.
 
-    For each (lang, source), the minimum covariance determinant: from the medians and median deviations, rounds of
-    concentration take the ``keep_share`` of rows nearest by Mahalanobis distance and estimate centre and covariance
-    from them anew, which lowers the determinant each time. Distances are scaled so that their median is that of a
-    chi-square with as many degrees as statistics; a document goes beyond ``quantile`` and ``least_distance``. Groups with
+    For each (lang, source), the minimum covariance determinant: from the medians and median deviations, concentration
+    steps take the ``keep_share`` of rows nearest by Mahalanobis distance and estimate centre and covariance
+    from them anew, which lowers the determinant each time, until it moves in no group, or ``rounds`` are done. Short texts' rates scatter, so a row's
+    deviations are scaled by its length (``SHORT``) in estimates and distances alike. Distances are scaled so that their median is that of a
+    chi-square with as many degrees as statistics; a document goes beyond that distribution's ``quantile``, which lies far out as texts' tails are heavier. Groups with
     fewer than ``least_group`` rows use their language's estimate, and languages with as few that of all rows.
 
     Documents that fail the base rules (under 20 words, or over 30 % of words in repeated windows) are rejected and
@@ -194,16 +196,16 @@ def mcd_outliers(
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_marks", "base_failed", "distance", "kept"]
     plain = docs.drop(*[c for c in made if c in docs.columns])
     stats = text_statistics(plain, text).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return verdicts(stats, keep_share, quantile, least_distance, rounds, floor, least_group, lang, source)
+    return verdicts(stats, keep_share, quantile, rounds, floor, least_group, lang, source)
 
 
-def verdicts(stats: DataFrame, keep_share: float, quantile: float, least_distance: float, rounds: int, floor: float, least_group: int, lang: str, source: str) -> DataFrame:
+def verdicts(stats: DataFrame, keep_share: float, quantile: float, rounds: int, floor: float, least_group: int, lang: str, source: str) -> DataFrame:
     """Adds distance and kept to rows with the statistics and base_failed."""
     v = vector()
     p = len(v)
-    stats = written(stats.withColumns({f"_x{i}": c for i, c in enumerate(v)} | {"_lang": F.coalesce(lang, F.lit("\x00")), "_source": F.coalesce(source, F.lit("\x00"))}), "statistics")
+    stats = written(stats.withColumns({f"_x{i}": c for i, c in enumerate(v)} | {"_w": F.col("n_words") / (F.col("n_words") + SHORT), "_lang": F.coalesce(lang, F.lit("\x00")), "_source": F.coalesce(source, F.lit("\x00"))}), "statistics")
     xs = [f"_x{i}" for i in range(p)]
-    good = stats.where("NOT base_failed").select("_lang", "_source", *xs).distinct()
+    good = stats.where("NOT base_failed").select("_lang", "_source", "_w", *xs).distinct()
     # small groups use a wider one's estimate; counts are a row for each group
     counts = good.groupBy("_lang", "_source").agg(F.count("*").alias("_rows"))
     by_lang = counts.groupBy("_lang").agg(F.sum("_rows").alias("_lang_rows"))
@@ -214,14 +216,14 @@ def verdicts(stats: DataFrame, keep_share: float, quantile: float, least_distanc
         good.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in range(3)])))
         .join(F.broadcast(used), "_level", "left_semi")  # three rows at most
         .select(
-            F.when(F.col("_level") >= 1, F.col("_lang")).otherwise("").alias("_a"), F.when(F.col("_level") == 2, F.col("_source")).otherwise("").alias("_b"), "_level", *xs
+            F.when(F.col("_level") >= 1, F.col("_lang")).otherwise("").alias("_a"), F.when(F.col("_level") == 2, F.col("_source")).otherwise("").alias("_b"), "_level", "_w", *xs
         )
     )
     keys = ["_level", "_a", "_b"]
 
     centres = scoped.groupBy(*keys).agg(*[F.percentile_approx(x, 0.5, 2000).alias(f"_m{i}") for i, x in enumerate(xs)])
     spread = scoped.join(_sent(centres), keys).groupBy(*keys).agg(
-        *[F.first(f"_m{i}").alias(f"_m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(f"_x{i}") - F.col(f"_m{i}")), 0.5, 2000).alias(f"_v{i}") for i in range(p)]
+        *[F.first(f"_m{i}").alias(f"_m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(f"_x{i}") - F.col(f"_m{i}")) * F.sqrt("_w"), 0.5, 2000).alias(f"_v{i}") for i in range(p)]
     )
     scale = 1.4826  # a normal's deviation over its median deviation
     fits = written(
@@ -231,18 +233,20 @@ def verdicts(stats: DataFrame, keep_share: float, quantile: float, least_distanc
         ),
         "fits",
     )
+    fits = fits.withColumn("_det", F.lit(math.inf))
     for _ in range(rounds):
         near = _measured(scoped, fits, keys, p)
         cuts = near.groupBy(*keys).agg(F.percentile_approx("_d", keep_share, 2000).alias("_cut"))
-        fits = written(_factored(_sums(near.join(_sent(cuts), keys), keys, p, F.col("_d") <= F.col("_cut")), keys, p, floor).select(*keys, *_estimate_columns(p)), "fits")
+        last, fits = fits, written(_factored(_sums(near.join(_sent(cuts), keys), keys, p, F.col("_d") <= F.col("_cut")), keys, p, floor).select(*keys, *_estimate_columns(p), "_det"), "fits")
+        moved = fits.join(last.select(*keys, F.col("_det").alias("_last")), keys).where(F.abs(F.col("_det") - F.col("_last")) > 1e-6)
+        if moved.isEmpty():
+            break
     middles = _measured(scoped, fits, keys, p).groupBy(*keys).agg(F.percentile_approx("_d", 0.5, 2000).alias("_middle"))
     fits = written(fits.join(middles, keys), "fits")
 
     home = F.when(F.col("_level") >= 1, F.col("_lang")).otherwise(""), F.when(F.col("_level") == 2, F.col("_source")).otherwise("")
     mapped = written(levels.select("_lang", "_source", "_level", home[0].alias("_a"), home[1].alias("_b")).join(fits, keys).drop(*keys), "fits")
-    d = _distance([F.col(x) for x in xs], [F.col(f"_m{i}") for i in range(p)], [[F.col(f"_l{i}{k}") for k in range(i + 1)] for i in range(p)])
-    scaled = F.when(~F.col("base_failed"), d / F.greatest(F.col("_middle"), F.lit(1e-6)) * chi_square_quantile(0.5, p))
-    cutoff = max(chi_square_quantile(quantile, p), least_distance)
+    scaled = F.when(~F.col("base_failed"), _distance(p) / F.greatest(F.col("_middle"), F.lit(1e-6)) * chi_square_quantile(0.5, p))
     out = stats.join(_sent(mapped), ["_lang", "_source"], "left").withColumn("distance", scaled)
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi_square_quantile(quantile, p)))
     return out.select(*[c for c in stats.columns if not c.startswith("_")], "distance", "kept")
