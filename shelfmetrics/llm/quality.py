@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .tokens import batches_of
 
 _EDGE = ".,;:!?\"'()[]{}*#$%&|<>~_-"
@@ -28,10 +28,17 @@ CONTEMPT = frozenset(
 )
 MALICE = frozenset("hate hateful bastard bastards bitch bitches asshole assholes slut whore cunt retard retarded fuck fucking shit damn hass arschloch salaud connard odio cabrón mierda".split())
 
-#: Labellers that overlap: each kind of junk, and of toxic language, is seen by several. All but the last of either
-#: group are rules; the last is fitted on a bounded sample of labelled rows.
+#: Wishes of harm, and curses with letters masked.
+THREAT = r"(?i)\b(?:kill yourself|kys|go die|drop dead|hope you die|(?:i|we)(?:'ll| will) (?:kill|hurt|find|beat) you|you (?:should|will|deserve to) (?:die|suffer|burn))\b"
+MASKED = r"(?i)\b(?:f[*#@$%]{1,3}k|f[*#@$%]{3}|sh[*#@$%!]t|s[*#@$%]{2}t|b[*#@$%!]tch|b[*#@$%]{4}|c[*#@$%]{2}t|a[*#@$%]{2}hole)"
+
+#: Labellers that overlap, none a function of others: each kind of junk, and of toxic language, is seen by several. Those called fitted learn from a bounded
+#: sample of labelled rows, the others are rules. No rule can know the insults of any language; so toxic language has two fitted
+#: labellers, of which one knows words, word beginnings and rates, and one word beginnings alone.
 JUNK_LABELLERS = ("tails", "symbols", "marks", "capitals", "upper letters", "exclaims", "repeats", "variety", "bare marks", "plain", "fitted")
-TOXIC_LABELLERS = ("mockery", "contempt", "malice", "density", "kinds", "fitted")
+TOXIC_LABELLERS = ("mockery", "contempt", "malice", "threats", "masked", "fitted", "fitted beginnings")
+#: What each fitted labeller learns: of which labels, by which features.
+FITTED = (("quality", "all"), ("toxic", "all"), ("toxic", "beginnings"))
 DENSE = ("tail", "symbols", "marks", "capitals", "upper", "exclaim", "adjacent", "variety", "bare", "bias")
 _VOTES = "doc_id long, junk string, toxic string"
 _FEATURES = "doc_id long, features array<int>, dense array<float>"
@@ -100,15 +107,15 @@ def dense_of(b: Batch) -> np.ndarray:
     )
 
 
-def votes_of(b: Batch, dense: np.ndarray, junk_fit: np.ndarray, toxic_fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def votes_of(b: Batch, dense: np.ndarray, junk_fit: np.ndarray, toxic_fit: np.ndarray, toxic_beginnings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The labellers' votes, 1 bad, 0 good, -1 none, in the order of JUNK_LABELLERS and of TOXIC_LABELLERS.
 
     A rule says nothing where it sees nothing: a text without symbols may be junk of another kind.
     """
     d = dict(zip(DENSE, dense.T, strict=True))
     says = lambda bad, good=False: np.where(bad, 1, np.where(good, 0, -1))
-    fitted = lambda p: says(p > 0.7, p < 0.3)  # noqa: E731  nan, without a fit: none
-    plain = (d["tail"] < 0.02) & (d["symbols"] < 0.01) & (d["marks"] < 0.08) & (d["capitals"] < 0.1) & (d["adjacent"] < 0.05) & (d["variety"] < 0.3) & (b.counts >= 20)
+    fitted = lambda p, bad=0.7, good=0.3: says(p > bad, p < good)  # noqa: E731  nan, without a fit: none
+    plain = (d["tail"] < 0.02) & (d["symbols"] < 0.01) & (d["marks"] < 0.08) & (d["capitals"] < 0.1) & (d["adjacent"] < 0.05) & (d["variety"] < 0.3) & (b.counts > 0)
     junk = [
         says(d["tail"] > 0.12),
         says(d["symbols"] > 0.02),
@@ -123,43 +130,53 @@ def votes_of(b: Batch, dense: np.ndarray, junk_fit: np.ndarray, toxic_fit: np.nd
         fitted(junk_fit),
     ]
     hits = [b.per_text(pc.is_in(b.bare, pa.array(sorted(kind), b.bare.type)).to_numpy(zero_copy_only=False).astype(float)) for kind in (MOCKERY, CONTEMPT, MALICE)]
-    total, kinds = sum(hits), sum(h > 0 for h in hits)
-    toxic = [*(says(h > 0) for h in hits), says((total > 1) & (total > 0.002 * b.counts)), says((kinds > 1) | (total > 2)), fitted(toxic_fit)]
+    seen = lambda pattern: says(pc.match_substring_regex(b.texts, pattern).to_numpy(zero_copy_only=False))
+    toxic = [*(says(h > 0) for h in hits), seen(THREAT), seen(MASKED), fitted(toxic_fit, 0.5, 0.05), fitted(toxic_beginnings, 0.5, 0.05)]
     return np.stack(junk, 1), np.stack(toxic, 1)
 
 
 def fit_labellers(patterns: dict[str, int], labellers: int, bad_prior: float, rounds: int = 100) -> tuple[float, np.ndarray]:
-    """Expectation-maximisation of the share of bad rows and of each labeller's accuracy.
+    """Expectation-maximisation of the share of bad rows and of each labeller's votes by class.
 
     ``patterns`` counts vote patterns, one character a labeller: b bad, g good, - none. There are at most 3 to the power of
-    labellers, whatever the number of rows. A labeller that votes is right with its accuracy, whichever the class; that
-    it says nothing tells nothing. Accuracies start at 0.9 and are drawn there by a twentieth of all rows, so that a
-    labeller without company keeps it.
+    labellers, whatever the number of rows. Labellers vote independently given the class; that one says nothing is an outcome
+    like the others, as it says more of a labeller that sees most bad rows. A labeller starts with nine right votes in ten, and a two-hundredth of all
+    rows speaks for that throughout, so that one without company keeps it. Returns the share, and the chances [class (good, bad), labeller, vote (none, good, bad)].
     """
-    keys = sorted(patterns)
-    votes = np.array([["-gb".index(c) for c in k] for k in keys]).reshape(-1, labellers)
-    weight = np.array([patterns[k] for k in keys], float)
-    prior, accuracy, pull = bad_prior, np.full(labellers, 0.9), 0.05 * weight.sum() + 1
+    votes, weight = _coded(patterns, labellers), np.array([patterns[k] for k in patterns], float)
+    total = weight.sum()
+    voted = ((votes > 0) * weight[:, None]).sum(0) / max(total, 1)
+    begin = np.stack([np.stack([1 - voted, *((voted * 0.9, voted * 0.1)[::step])], 1) for step in (1, -1)]) + 1e-4
+    begin /= begin.sum(2, keepdims=True)
+    prior, chances, pull = bad_prior, begin, 0.005 * total + 1
     for _ in range(rounds):
-        bad = pattern_posterior(votes, prior, accuracy)
-        prior = float(np.clip(((weight * bad).sum() + bad_prior * pull) / (weight.sum() + pull), 1e-3, 0.5))
-        right = ((votes == 2) * bad[:, None] + (votes == 1) * (1 - bad)[:, None]) * weight[:, None]
-        voted = (votes > 0) * weight[:, None]
-        accuracy = np.clip((right.sum(0) + 0.9 * pull) / (voted.sum(0) + pull), 0.55, 0.99)
-    return prior, accuracy
+        bad = pattern_posterior(votes, prior, chances)
+        prior = float(np.clip(((weight * bad).sum() + bad_prior * pull) / (total + pull), 1e-3, 0.5))
+        counts = np.stack([np.stack([((votes == v) * (weight * row)[:, None]).sum(0) for v in range(3)], 1) for row in (1 - bad, bad)]) + pull * begin
+        chances = np.maximum(counts / counts.sum(2, keepdims=True), 1e-4)
+    return prior, chances
+
+
+def accuracies(share: float, chances: np.ndarray) -> np.ndarray:
+    """How often each labeller is right when it votes."""
+    joint = chances * np.array([1 - share, share])[:, None, None]
+    return (joint[0, :, 1] + joint[1, :, 2]) / joint[:, :, 1:].sum((0, 2))
+
 
+def _coded(patterns: Iterable[str], labellers: int) -> np.ndarray:
+    return np.array([["-gb".index(c) for c in k] for k in patterns], np.int64).reshape(-1, labellers)
 
-def pattern_posterior(votes: np.ndarray, prior: float, accuracy: np.ndarray) -> np.ndarray:
+
+def pattern_posterior(votes: np.ndarray, prior: float, chances: np.ndarray) -> np.ndarray:
     """The chance that a row is bad, for votes coded 0 none, 1 good, 2 bad."""
-    trust = np.log(accuracy) - np.log1p(-accuracy)
-    odds = np.log(prior) - np.log1p(-prior) + ((votes == 2) * trust - (votes == 1) * trust).sum(1)
-    return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+    each = np.log(chances[:, np.arange(votes.shape[1]), votes]).sum(2)
+    return 1 / (1 + np.exp(-np.clip(np.log(prior) - np.log1p(-prior) + each[1] - each[0], -40, 40)))
 
 
 def hashed_words(b: Batch, bits: int, share: float = 0.007) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) pairs, by text: its distinct words, and beginnings of four and five letters that many of its words have.
 
-    A beginning counts from two words and ``share`` of all on: families of words with one stem show whatever their endings.
+    Words have the first 2 ** bits buckets, beginnings the next. A beginning counts from two words and ``share`` of all on: families of words with one stem show whatever their endings.
     """
     import xxhash
 
@@ -176,40 +193,43 @@ def hashed_words(b: Batch, bits: int, share: float = 0.007) -> tuple[np.ndarray,
         bucket = buckets(begin.dictionary, n)[begin.indices.to_numpy()]
         longer = (lengths > n)[b.codes]
         found, many = distinct(doc[longer] | bucket[b.codes[longer]])
-        pairs.append(found[(many >= 2) & (many >= share * b.counts[found >> 32])])
+        pairs.append(found[(many >= 2) & (many >= share * b.counts[found >> 32])] | 1 << bits)
     both = distinct(np.concatenate(pairs))[0]
-    return both >> 32, both & mask
+    return both >> 32, both & (mask << 1 | 1)
 
 
 def train(features: list[np.ndarray], dense: np.ndarray, target: np.ndarray, bits: int, l1: float = 2e-4, rounds: int = 300) -> np.ndarray:
     """Logistic regression with soft targets and an L1 penalty on hashed words, by proximal steps over all rows.
 
-    Step lengths follow each weight's gradient history. Returns the weights of the buckets, then of DENSE.
+    Step lengths follow each weight's gradient history, from a tenth on for words: with longer steps the loss jumps for hundreds of
+    rounds, and rounding errors decide which weights come out. Returns the weights of the buckets, then of DENSE.
     """
-    size, n = 1 << bits, len(target)
+    size, n = 2 << bits, len(target)
     lengths = np.fromiter(map(len, features), np.int64, n)
-    index = np.concatenate([*features, np.empty(0, np.int64)]).astype(np.int64)
+    used, index = np.unique(np.concatenate([*features, np.empty(0, np.int64)]).astype(np.int64), return_inverse=True)
     row = np.repeat(np.arange(n), lengths)
-    w, v = np.zeros(size), np.zeros(dense.shape[1])
-    gw2, gv2 = np.full(size, 1e-8), np.full(dense.shape[1], 1e-8)
+    w, v = np.zeros(len(used)), np.zeros(dense.shape[1])
+    gw2, gv2 = np.full(len(used), 1e-8), np.full(dense.shape[1], 1e-8)
     for _ in range(rounds):
         z = np.bincount(row, w[index], n) + dense @ v
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) / n
-        gw, gv = np.bincount(index, error[row], size), error @ dense + 1e-5 * v
+        gw, gv = np.bincount(index, error[row], len(used)), error @ dense + 1e-5 * v
         gw2 += gw**2
         gv2 += gv**2
-        step = 0.5 / np.sqrt(gw2)
+        step = 0.1 / np.sqrt(gw2)
         w = w - step * gw
         w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(step, 50) * l1, 0)
         v = v - 0.5 / np.sqrt(gv2) * gv
-    return np.concatenate([w, v])
+    out = np.zeros(size)
+    out[used] = w
+    return np.concatenate([out, v])
 
 
 def _bad(read: Batch, dense: np.ndarray, weights: np.ndarray | None, bits: int, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The chance of the bad class by a linear scorer; nan without one."""
     if weights is None:
         return np.full(len(read.counts), np.nan)
-    z = np.bincount(words[0], weights[words[1]], len(read.counts)) + dense @ weights[1 << bits :]
+    z = np.bincount(words[0], weights[words[1]], len(read.counts)) + dense @ weights[2 << bits :]
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -262,13 +282,20 @@ def _keep(weights: tuple[np.ndarray, np.ndarray], bits: int, text: int):
 
 
 def _fit(rows: DataFrame, chosen: DataFrame, bits: int, targets: list) -> tuple:
-    """Scorers for the chosen rows, of which there are at most a sample's number; a target maps the chosen rows' table to [0, 1]."""
+    """Scorers for the chosen rows, of which there are at most a sample's number.
+
+    A target maps the chosen rows' table to values in [0, 1], and comes with the kind of features to learn from.
+    """
     sample = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    table = sample.mapInArrow(_features(bits), _FEATURES).join(chosen, "doc_id").orderBy("doc_id").toPandas()
+    table = sample.mapInArrow(released(_features(bits)), _FEATURES).join(chosen, "doc_id").orderBy("doc_id").toPandas()
     if not len(table):
         return (None,) * len(targets)
-    features, dense = [np.asarray(x) for x in table["features"]], np.stack(table["dense"].tolist()).astype(float)
-    return tuple(train(features, dense, np.asarray(target(table), float), bits).astype(np.float32) for target in targets)
+    out, features, dense = [], [np.asarray(x) for x in table["features"]], np.stack(table["dense"].tolist()).astype(float)
+    for target, kind in targets:
+        own = features if kind == "all" else [f[f >= 1 << bits] for f in features]
+        rates = dense if kind == "all" else dense * (np.array(DENSE) == "bias")
+        out.append(train(own, rates, np.asarray(target(table), float), bits).astype(np.float32))
+    return tuple(out)
 
 
 def _smallest_hashes(rows: DataFrame, most: int, tag: str) -> DataFrame:
@@ -278,21 +305,20 @@ def _smallest_hashes(rows: DataFrame, most: int, tag: str) -> DataFrame:
 
 def _scorers(rows: DataFrame, labels: DataFrame | None, sample_rows: int, labelled_rows: int, bits: int, key: str) -> tuple[np.ndarray, np.ndarray]:
     """The weights of the scorers for junk and for toxic language, learnt from rows (doc_id, text)."""
-    fits: tuple = (None, None)
+    fits: tuple = (None,) * len(FITTED)
     if labels is not None:
         known = labels.select(F.col(key).cast("long").alias("doc_id"), "quality", "toxic").where("quality IS NOT NULL AND toxic IS NOT NULL")
         here = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
-        fits = _fit(rows, _smallest_hashes(here, labelled_rows, "labelled"), bits, [lambda t: t["quality"] == 0, lambda t: t["toxic"] == 1])
-    votes = written(rows.mapInArrow(_label(fits, bits), _VOTES), "votes")
+        bad = {"quality": lambda t: t["quality"] == 0, "toxic": lambda t: t["toxic"] == 1}
+        fits = _fit(rows, _smallest_hashes(here, labelled_rows, "labelled"), bits, [(bad[what], kind) for what, kind in FITTED])
+    votes = written(rows.mapInArrow(released(_label(fits, bits)), _VOTES), "votes")
     targets = []
     for column, names, prior in (("junk", JUNK_LABELLERS, 0.15), ("toxic", TOXIC_LABELLERS, 0.1)):
         patterns = {r[0]: r[1] for r in votes.groupBy(column).count().collect()}  # bounded by the number of labellers
-        share, accuracy = fit_labellers(patterns, len(names), prior)
-        coded = np.array([["-gb".index(c) for c in k] for k in patterns]).reshape(-1, len(names))
-        model = dict(zip(patterns, pattern_posterior(coded, share, accuracy).tolist(), strict=True))
-        targets.append(lambda t, column=column, model=model: t[column].map(model))
+        model = dict(zip(patterns, pattern_posterior(_coded(patterns, len(names)), *fit_labellers(patterns, len(names), prior)).tolist(), strict=True))
+        targets.append((lambda t, column=column, model=model: t[column].map(model), "all"))
     weights = _fit(rows, _smallest_hashes(votes, sample_rows, "sample"), bits, targets)
-    none = np.zeros((1 << bits) + len(DENSE), np.float32)
+    none = np.zeros((2 << bits) + len(DENSE), np.float32)
     return tuple(none if w is None else w for w in weights)
 
 
@@ -301,7 +327,7 @@ def classify(
 ) -> DataFrame:
     """Scores every document for quality and for toxic language.
 
-    Labellers vote on every whole text: rules, and one of each group that is fitted on at most ``labelled_rows`` rows of
+    Labellers vote on every whole text: rules, and some that are fitted on at most ``labelled_rows`` rows of
     labels (key, quality, toxic), where these are given. For junk and for toxic language apart, expectation-maximisation
     over the counts of vote patterns of all documents gives the labellers' accuracies. The posteriors label a sample of
     at most ``sample_rows`` documents, and train two linear scorers over hashed words, frequent word beginnings and rates.
@@ -313,7 +339,7 @@ def classify(
     no rows. Extra columns are ignored.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scored = rows.mapInArrow(_score(_scorers(rows, labels, sample_rows, labelled_rows, bits, key), bits), _SCORES)
+    scored = rows.mapInArrow(released(_score(_scorers(rows, labels, sample_rows, labelled_rows, bits, key), bits)), _SCORES)
     return scored.withColumn("kept", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)).withColumnRenamed("doc_id", key)
 
 
@@ -323,4 +349,4 @@ def kept_documents(
     """The documents that ``classify`` keeps, all columns kept. Each row is judged by its own text and needs no key."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     weights = _scorers(rows, labels, sample_rows, labelled_rows, bits, key)
-    return docs.mapInArrow(_keep(weights, bits, docs.columns.index(text)), docs.schema)
+    return docs.mapInArrow(released(_keep(weights, bits, docs.columns.index(text))), docs.schema)
