@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine,
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is this machine, as in tests,
     a temporary folder is made, set in the session and removed when Python ends.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -54,6 +58,37 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, tag))
 
 
+def released(run: Callable[[Iterator], Iterator], encodes: bool = False) -> Callable[[Iterator], Iterator]:
+    """The same function for mapInArrow, which gives memory back to the system at its end: Python workers live on between tasks.
+
+    Tasks that don't encode texts also drop the encoder that an earlier one has left.
+    """
+
+    def go(batches: Iterator) -> Iterator:
+        from .tokens import encoder
+
+        if not encodes:
+            encoder.cache_clear()
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return go
+
+
+def _release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems than Linux have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
@@ -65,9 +100,3 @@ def words(text: Column) -> Column:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
-
-
-def input_parts(df: DataFrame, least: int = 1) -> int:
-    """Shuffle partitions for work that keeps most of the input: those of the session, or those of the input if more."""
-    spark = df.sparkSession
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())

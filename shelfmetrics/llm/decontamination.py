@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD_RE, written
+from .common import ASCII_LOWER, WORD_RE, released, written
 from .jaccard import mix
 from .tokens import batches_of
 
@@ -300,7 +300,7 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _indexes(items: DataFrame, block_bytes: int, common: float) -> Iterator[BM25Index]:
     """Indexes of blocks of items with the statistics of all items; one block is on the driver at a time."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    rows = written(rows.mapInArrow(_item_terms, "item_id long, text string, terms array<string>, length long").where("length > 0").withColumn("_row", F.monotonically_increasing_id()), "items")
+    rows = written(rows.mapInArrow(released(_item_terms), "item_id long, text string, terms array<string>, length long").where("length > 0").withColumn("_row", F.monotonically_increasing_id()), "items")
     n, mean = rows.agg(F.count("*"), F.avg("length")).first()
     term = rows.select("_row", F.explode("terms").alias("term"))
     frequency = term.groupBy("term").agg(F.count("*").alias("df"))
@@ -342,7 +342,7 @@ def contaminated(
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = docs.sparkSession.createDataFrame([], _HITS)
     for index in _indexes(items, block_bytes, 0.7 * threshold):
-        found = found.unionByName(rows.mapInArrow(_find(index, threshold, overlap, n), _HITS))
+        found = found.unionByName(rows.mapInArrow(released(_find(index, threshold, overlap, n)), _HITS))
     return found.withColumnRenamed("doc_id", key)
 
 

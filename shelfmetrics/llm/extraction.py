@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -284,7 +284,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.col(page).alias("html"), F.col(url).alias("url"))
     order = ["host", "path", "page_id"]
     parts = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    light = rows.select("page_id", "host", "path", "html").mapInArrow(_hash_lines, _LINES).where(F.size("hashes") > 0).dropDuplicates(["page_id"])
+    light = rows.select("page_id", "host", "path", "html").mapInArrow(released(_hash_lines), _LINES).where(F.size("hashes") > 0).dropDuplicates(["page_id"])
     ranged = light.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     sorted_pages = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "page-lines").withColumn("_part", F.shiftright("_at", 33))
 
@@ -300,6 +300,6 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     near = joined.select(
         "page_id", "hashes", F.when(before["host"] == F.col("host"), before["hashes"]).alias("before"), F.when(after["host"] == F.col("host"), after["hashes"]).alias("after")
     )
-    shared = near.mapInArrow(_difference, _SHARED)
+    shared = near.mapInArrow(released(_difference), _SHARED)
     decided = rows.join(shared, "page_id", "left").select("page_id", "url", "html", "shared")
-    return decided.mapInArrow(_extract, _TEXT)
+    return decided.mapInArrow(released(_extract), _TEXT)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import pack, unpack
-from .common import ASCII_LOWER, WORD_RE, write_table, written
+from .common import ASCII_LOWER, WORD_RE, released, write_table, written
 from .tokens import batches_of
 
 _SETS = "id long, n long, h1 long, h2 long"
@@ -343,7 +343,7 @@ def _verified(pairs: DataFrame, members: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) that are linked. b's set travels first: in a star, a is the one that many pairs have."""
     x, y = (members.select(F.col("id").alias(c), F.col("n").alias(f"_n{c}"), F.col("shared").alias(f"_s{c}")) for c in "ab")
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "_na", "_nb", "_sa", "_sb")
-    return written(both.mapInArrow(_verify(t), "a long, b long").distinct(), "links")
+    return written(both.mapInArrow(released(_verify(t)), "a long, b long").distinct(), "links")
 
 
 def _profiles(starts: list[int], bands: list[Band]):
@@ -435,13 +435,13 @@ def _members(rows: DataFrame, shingles: int, n: int, t: Fraction, block_bytes: i
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = written(rows.mapInArrow(_blocks(block_bytes), "id long, text string, block long"), "blocks")
+    blocks = written(rows.mapInArrow(released(_blocks(block_bytes)), "id long, text string, block long"), "blocks")
     bits, slices = min(60, shingles.bit_length() + 6), max(parts, shingles // slice_keys)
-    asked = blocks.mapInArrow(_ask(n, bits, slices), _ASKED).repartition(slices, "slice").sortWithinPartitions("slice")
-    answers = asked.mapInArrow(_answer, "home long, block long, payload binary")
+    asked = blocks.mapInArrow(released(_ask(n, bits, slices)), _ASKED).repartition(slices, "slice").sortWithinPartitions("slice")
+    answers = asked.mapInArrow(released(_answer), "home long, block long, payload binary")
     # one file for each task of blocks
     path = write_table(answers.repartition(parts, "home").sortWithinPartitions("home", "block"), "shared-shingles", "home")
-    return written(blocks.mapInArrow(_reduce(n, bits, t, path), _MEMBERS), "members")
+    return written(blocks.mapInArrow(released(_reduce(n, bits, t, path)), _MEMBERS), "members")
 
 
 def _met(keys: DataFrame) -> DataFrame:
@@ -487,7 +487,7 @@ def jaccard_components(
     """
     t = Fraction(threshold)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sets = written(rows.mapInArrow(_fingerprints(n), _SETS), "sets")
+    sets = written(rows.mapInArrow(released(_fingerprints(n)), _SETS), "sets")
     known = sets.where("id IS NOT NULL AND n > 0")
     classes = written(known.groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")), "classes")
     repeated = known.join(classes.where("copies > 1"), ["n", "h1", "h2"]).where("id <> class_id").select("id").distinct()
@@ -503,7 +503,7 @@ def jaccard_components(
     groups = members.withColumn("group", F.lit(0).cast("long"))
     links, compared = [], []
     for level in range(levels):
-        keys = _allocated(written(groups.mapInArrow(_index(t, starts, bands, level), _KEYS), "index"))
+        keys = _allocated(written(groups.mapInArrow(released(_index(t, starts, bands, level)), _KEYS), "index"))
         shared = written(_met(keys), "shared")
         links.append(_verified(shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), members, t))
         labels = components(_all(links))
@@ -519,14 +519,14 @@ def jaccard_components(
         groups = members.join(large.select("id", F.col("key").alias("group")).distinct(), "id").select(*members.columns, "group")
 
     left = _all(compared)
-    profiles = _without(members, left.select("id").distinct(), "left_semi").mapInArrow(_profiles(starts, bands), "id long, n long, lone long, band long, profile binary")
+    profiles = _without(members, left.select("id").distinct(), "left_semi").mapInArrow(released(_profiles(starts, bands)), "id long, n long, lone long, band long, profile binary")
     chunks = F.when(F.col("pairs") <= chunk * chunk, 1).otherwise(F.ceil(F.col("members") / chunk)).cast("long")
     placed = left.join(profiles, ["id", "band"]).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     grouped = spread.select("key", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "chunk", "id", "n", "lone", "label", "band", "profile")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["key", "first", "second", "band"]
-    candidates = grouped.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_compare(bands), "a long, b long").distinct()
+    candidates = grouped.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(released(_compare(bands)), "a long, b long").distinct()
     labels = components(_all([*links, _verified(candidates, members, t)]))
 
     named_classes = classes.join(labels, F.col("class_id") == F.col("id"), "left").select("n", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"), "copies")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import pack, unpack
-from .common import write_table, written
+from .common import released, write_table, written
 from .tokens import batches_of
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2  # learned from; learned from, and held out for the weights; scored only
@@ -341,19 +341,19 @@ def interpolated_scores(docs: DataFrame, block_bytes: int = 10 << 20, key: str =
     occur. No training texts: uniform probabilities. No rows: no rows. Extra columns are ignored.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = written(rows.mapInArrow(_tokenise(block_bytes), _BLOCKS), "blocks")
+    blocks = written(rows.mapInArrow(released(_tokenise(block_bytes)), _BLOCKS), "blocks")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * blocks.count())
     paths: list[str] = []
     for kind in (0, 1):
-        asked = blocks.mapInArrow(_ask(parts, kind, paths[0] if kind else None), _ASKED).repartition(parts, "part").sortWithinPartitions("part")
+        asked = blocks.mapInArrow(released(_ask(parts, kind, paths[0] if kind else None)), _ASKED).repartition(parts, "part").sortWithinPartitions("part")
         # one file for each block: the exchange is by block
-        paths.append(write_table(asked.mapInArrow(_answer, _ANSWERS).repartition(parts, "block"), "answers", "block"))
+        paths.append(write_table(asked.mapInArrow(released(_answer), _ANSWERS).repartition(parts, "block"), "answers", "block"))
     path, both = paths[0], (paths[0], paths[1])
     totals = docs.sparkSession.read.schema(_ANSWERS).parquet(path).where("block = -1")
     names = ["kept", "deleted", "kinds", "kept_kinds", "starts_kept", "starts_deleted"]
     kept, deleted, kinds, kept_kinds, starts_kept, starts_deleted = (x or 0 for x in totals.agg(*[F.sum(n) for n in names]).first())
-    cells = blocks.mapInArrow(_held_out_cells(both, kept, kept_kinds, starts_kept), _CELLS).groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+    cells = blocks.mapInArrow(released(_held_out_cells(both, kept, kept_kinds, starts_kept)), _CELLS).groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     # at most a row for each pair of ratios in each bucket, whatever the corpus
     weights = learn_weights([tuple(r) for r in cells.collect()])
-    scored = blocks.mapInArrow(_score(both, weights, kept + deleted, kinds, starts_kept + starts_deleted), _SCORES)
+    scored = blocks.mapInArrow(released(_score(both, weights, kept + deleted, kinds, starts_kept + starts_deleted)), _SCORES)
     return scored.select(F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(kept + deleted).cast("long").alias("train_tokens"), "base_score", "score")

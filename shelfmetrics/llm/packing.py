@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .tokens import batches_of, encoder
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, fill long, open boolean"
@@ -116,12 +116,12 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, bound: int = 64, eo
     ``eos``. Null or repeated keys are packed like any other. No rows: no rows. Extra columns are ignored.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = written(rows.mapInArrow(_pack_partition(vocabulary, size, bound, eos), _PIECES), "pieces")
+    pieces = written(rows.mapInArrow(released(_pack_partition(vocabulary, size, bound, eos), encodes=True), _PIECES), "pieces")
     left = pieces.where("open").groupBy("window").agg(F.max("fill").alias("fill"), (F.shiftright(F.first("window"), 32) / merge).cast("long").alias("group"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = written(left.select("window", "fill", "group").repartition(parts, "group").mapInArrow(_merge_open(size, bound), _MERGED), "merged")
+    merged = written(left.select("window", "fill", "group").repartition(parts, "group").mapInArrow(released(_merge_open(size, bound)), _MERGED), "merged")
     still = merged.where("open").groupBy("into").agg(F.max("total").alias("fill")).select(F.col("into").alias("window"), "fill", (F.shiftright("into", 32) / (merge * merge)).cast("long").alias("group"))
-    again = still.repartition(parts, "group").mapInArrow(_merge_open(size, bound), _MERGED).select(F.col("window").alias("into"), F.col("into").alias("_into"), F.col("shift").alias("_shift"))
+    again = still.repartition(parts, "group").mapInArrow(released(_merge_open(size, bound)), _MERGED).select(F.col("window").alias("into"), F.col("into").alias("_into"), F.col("shift").alias("_shift"))
     merged = merged.select("window", "into", "shift").join(again, "into", "left")
     merged = merged.select("window", F.coalesce("_into", "into").alias("into"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift"))
     closed = pieces.where("NOT open").select("*", F.col("window").alias("sequence_id"))

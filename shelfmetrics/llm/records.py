@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, released, written
 from .tokens import batches_of, encoder
 
 #: Fixed values of the public record format: the reversed Castagnoli polynomial and the mask's constant.
@@ -214,7 +214,7 @@ def write_records(docs: DataFrame, vocabulary: str, eos: int = 0, folder: str |
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     ranged = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
-    return folder, written(ranged.mapInArrow(_write_partition(vocabulary, folder, eos), _INDEX), "record-index")
+    return folder, written(ranged.mapInArrow(released(_write_partition(vocabulary, folder, eos), encodes=True), _INDEX), "record-index")
 
 
 def _read_files(folder: str, chunk: int):
@@ -247,7 +247,7 @@ def read_records(spark: SparkSession, folder: str, index: DataFrame, chunk: int
         F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("slot").alias("slot")
     )
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return runs.select("file", "begin", "end", "slot").repartition(parts, "file", "begin").mapInArrow(_read_files(folder, chunk), _BACK)
+    return runs.select("file", "begin", "end", "slot").repartition(parts, "file", "begin").mapInArrow(released(_read_files(folder, chunk)), _BACK)
 
 
 def with_starts(back: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ class PieceEncoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> PieceEncoder:
-    """One encoder for each Python worker."""
+    """One encoder for each Python worker, as long as its tasks encode."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return PieceEncoder(path)
 

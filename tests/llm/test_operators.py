@@ -166,8 +166,8 @@ def test_labeller_accuracies_are_found():
     for _ in range(20000):
         bad = random.random() < 0.2
         patterns["".join(("b" if bad == (random.random() < a) else "g") if random.random() < 0.8 else "-" for a in truth)] += 1
-    share, accuracy = quality.fit_labellers(patterns, 4, 0.15)
-    assert abs(share - 0.2) < 0.03 and np.abs(accuracy - truth).max() < 0.05
+    share, chances = quality.fit_labellers(patterns, 4, 0.15)
+    assert abs(share - 0.2) < 0.03 and np.abs(quality.accuracies(share, chances) - truth).max() < 0.05
 
 
 def test_classifier_on_held_out_labels(spark):
@@ -180,6 +180,66 @@ def test_classifier_on_held_out_labels(spark):
     assert junk.kept.mean() < 0.2
 
 
+def test_classifier_on_held_out_toxic_labels(spark):
+    """Toxic documents go in every language, whose insults no rule knows, and clean ones stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    toxic = got[got.toxic == 1]
+    assert toxic.kept.mean() < 0.05
+    assert all(len(g) > 10 and g.kept.mean() < 0.15 for _, g in toxic.groupby("lang"))
+    assert got[(got.quality == 1) & (got.toxic == 0)].kept.mean() > 0.995
+
+
+def test_training_does_not_hang_on_rounding():
+    random.seed(11)
+    features = [np.unique(np.array(random.choices(range(400), k=random.randint(1, 30)))) for _ in range(600)]
+    target = np.array([float(any(x < 6 for x in f)) for f in features])
+    dense = np.random.default_rng(0).random((600, len(quality.DENSE)))
+    a, b = (quality.train(features, dense, target + noise, 10) for noise in (0, np.random.default_rng(1).normal(0, 1e-12, 600)))
+    assert np.abs(a - b).max() < 1e-6
+    score = np.array([a[f].sum() for f in features]) + dense @ a[2 << 10 :]
+    assert ((score > 0) == (target > 0)).mean() > 0.97
+
+
+def test_labellers_are_no_functions_of_each_other():
+    texts = ["you idiot", "kill yourself now", "what the f**k", "scum and idiot", "hello there"]
+    read = quality.read_batch(pa.array(texts))
+    none = np.full(len(texts), np.nan)
+    _, toxic = quality.votes_of(read, quality.dense_of(read), none, none, none)
+    votes = dict(zip(quality.TOXIC_LABELLERS, (toxic == 1).T.tolist(), strict=True))
+    assert votes["mockery"] == [True, False, False, True, False] and votes["contempt"] == [False, False, False, True, False]
+    assert votes["threats"] == [False, True, False, False, False] and votes["masked"] == [False, False, True, False, False]
+
+
+def test_classifier_by_plain_expectation_maximisation():
+    """The fit over counts of patterns is that over single rows."""
+    random.seed(10)
+    rows = ["".join(random.choices("bg-", (0.2, 0.3, 0.5), k=3)) for _ in range(300)]
+    share, chances = quality.fit_labellers(Counter(rows), 3, 0.15, rounds=20)
+    pull, begin = 0.005 * len(rows) + 1, []
+    for good in (0.9, 0.1):
+        begin.append([])
+        for k in range(3):
+            voted = sum(r[k] != "-" for r in rows) / len(rows)
+            own = {"-": 1 - voted + 1e-4, "g": voted * good + 1e-4, "b": voted * (1 - good) + 1e-4}
+            begin[-1].append({v: x / sum(own.values()) for v, x in own.items()})
+    prior, model = 0.15, begin
+    for _ in range(20):
+        bad = []
+        for r in rows:
+            yes, no = prior, 1 - prior
+            for k, v in enumerate(r):
+                yes, no = yes * model[1][k][v], no * model[0][k][v]
+            bad.append(yes / (yes + no))
+        prior = min(max((sum(bad) + 0.15 * pull) / (len(rows) + pull), 1e-3), 0.5)
+        model = [[{v: sum(p if c else 1 - p for r, p in zip(rows, bad, strict=True) if r[k] == v) + pull * begin[c][k][v] for v in "-gb"} for k in range(3)] for c in (0, 1)]
+        model = [[{v: max(x / sum(own.values()), 1e-4) for v, x in own.items()} for own in side] for side in model]
+    assert abs(share - prior) < 1e-9 and np.allclose(chances, [[[own[v] for v in "-gb"] for own in side] for side in model])
+
+
+@pytest.mark.parametrize("labels", [[(k, 1, 1) for k in range(10)], [(k, 0, 0) for k in range(10)], [(1, 1, 0)], [(None, None, None)]])
+def test_classifier_of_one_class(spark, odd, labels):
+    assert quality.classify(odd, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == len(ODD) + 1
 def test_classifier_odd_and_empty(spark, odd):
     assert quality.classify(odd).count() == len(ODD) + 1
     labels = spark.createDataFrame([(2, 1, 0), (8, 0, 0), (99, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
@@ -351,6 +411,48 @@ def test_outliers_on_labels(spark):
     assert got[got.quality == 0].kept.mean() < 0.1
 
 
+def brute_distances(rows, keep_share=0.75, floor=1e-3):
+    """Concentration steps in plain matrices: rows of (weight, statistics) to scaled squared distances."""
+    w, x = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows])
+    at = lambda v, q: np.sort(v)[math.ceil(q * len(v)) - 1]
+    distinct = np.unique(np.array(rows), axis=0)
+    dw, dx = distinct[:, 0], distinct[:, 1:]
+    centre = np.array([at(c, 0.5) for c in dx.T])
+    s = np.array([max(1.4826 * at(abs(dx[:, i] - centre[i]) * np.sqrt(dw), 0.5), math.sqrt(floor)) for i in range(dx.shape[1])])
+    cov = np.diag(s**2)
+    measure = lambda w, x: w * np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+    for _ in range(12):
+        d = measure(dw, dx)
+        near = d <= at(d, keep_share)
+        centre = (dw[near, None] * dx[near]).sum(0) / dw[near].sum()
+        y = (dx[near] - centre) * np.sqrt(dw[near])[:, None]
+        cov = y.T @ y / near.sum() + floor * np.eye(dx.shape[1])
+    return measure(w, x) / at(measure(dw, dx), 0.5) * outliers.chi_square_quantile(0.5, dx.shape[1])
+
+
+def test_outliers_by_brute_force(spark):
+    """Groups of over 60 rows have estimates of their own, and the chi-square quantile decides."""
+    random.seed(9)
+    texts = []
+    for group, (length, marks) in enumerate([(6, "."), (9, "!,"), (4, "-")]):
+        for k in range(120):
+            words_here = ["".join(random.choices("abcdefghij", k=max(1, int(random.gauss(length, 2))))) + random.choice(["", "", marks]) for _ in range(random.choice([25, 60, 200, 400]))]
+            if k % 17 == 0:
+                words_here = [w.upper() + "%$" for w in words_here]
+            texts.append((len(texts), " ".join(words_here), "en", f"s{group}"))
+    texts += [(len(texts) + k, texts[5][1], "en", "s0") for k in range(200)]  # copies don't draw the estimate in
+    got = outliers.mcd_outliers(spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").repartition(4)).withColumn("_w", F.col("n_words") / (F.col("n_words") + outliers.SHORT))
+    got = got.select("doc_id", "source", "base_failed", "kept", "distance", "_w", *[c.alias(f"x{i}") for i, c in enumerate(outliers.vector())]).collect()
+    cutoff = outliers.chi_square_quantile(1 - 1e-12, 5)
+    assert 60 < cutoff < 75
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in got if r["source"] == source and not r["base_failed"]]
+        want = brute_distances([tuple(r[5:]) for r in own])
+        assert len(own) >= 100 and np.allclose([r["distance"] for r in own], want, rtol=1e-6)
+        assert [r["kept"] for r in own] == (want <= cutoff).tolist()
+        assert {r["doc_id"] for r in own if not r["kept"]} == {r["doc_id"] for r in own if r["doc_id"] < 360 and r["doc_id"] % 120 % 17 == 0}
+
+
 def test_outliers_odd_and_empty(odd):
     got = outliers.mcd_outliers(odd)
     assert got.count() == len(ODD) + 1 and "size" in got.columns
