@@ -72,14 +72,18 @@ def order_by_stars() -> list[Column]:
     return [F.col("average_rating").desc_nulls_last(), F.col("rating_number").desc_nulls_last(), F.col("parent_asin").asc()]
 
 
+def with_car(candidates: DataFrame, priors: DataFrame, by: str = "query") -> DataFrame:
+    """Adds C, m, source and car. Priors have a row for each set."""
+    scored = candidates.join(priors.select(by, "C", "m", "source"), by)
+    return scored.withColumn("car", car(F.col("average_rating"), F.col("rating_number"), F.col("C"), F.col("m")))
+
+
 def ranked(candidates: DataFrame, priors: DataFrame, by: str = "query", top: int | None = None) -> DataFrame:
     """Adds C, m, source, car and rank inside the set; only the first ``top`` if given.
 
-    Priors have a row for each set. With a top, rows beyond it are cut before the shuffle.
+    With a top, rows beyond it are cut before the shuffle.
     """
-    scored = candidates.join(priors.select(by, "C", "m", "source"), by)
-    scored = scored.withColumn("car", car(F.col("average_rating"), F.col("rating_number"), F.col("C"), F.col("m")))
-    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order_by_car())))
+    out = with_car(candidates, priors, by).withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order_by_car())))
     return out.where(F.col("rank") <= top) if top else out
 
 

@@ -1,67 +1,82 @@
 """Seeded samples: the same draw whatever the order or partitioning of the input.
 
-A draw is the standard library's, over sorted ids, so it needs a group's ids in one place: ids of candidate sets, which are
-bounded by the catalogue's matches, or of the priced pool, as ids alone. Titles are joined afterwards.
+A draw is the standard library's over sorted ids, whose choice of places depends on their number alone. So only counts of groups come to the
+driver, places are drawn there, and the rows at these places are found by the counts of sorted partitions.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def audit_sample(items: DataFrame, n: int = 200, seed: int = 20260930) -> DataFrame:
-    """A simple random sample of items: audit_id (from 1), then the items' columns. Only ids come to the driver."""
-    spark = items.sparkSession
-    ids = [r[0] for r in items.select("parent_asin").orderBy("parent_asin").toLocalIterator()]
-    picked = random.Random(seed).sample(ids, min(n, len(ids)))
-    rows = spark.createDataFrame(list(enumerate(picked, 1)), "audit_id int, parent_asin string")
-    return items.join(F.broadcast(rows), "parent_asin").select("audit_id", *items.columns)  # n rows
-
+def rows_at(df: DataFrame, order: list[str], places: list[int]) -> DataFrame:
+    """(audit_id, columns of df): the rows at these places of the sorted rows, numbered from 1 in the order of the list.
+
+    The rows' keys are range-partitioned and sorted; a partition's count, of which there is a row each, tells where it begins.
+    """
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
+    try:
+        counts = dict(ranged.groupBy(F.shiftright("_id", 33).alias("part")).count().collect())
+        starts = list(accumulate((counts[p] for p in sorted(counts)), initial=0))
+        names = sorted(counts)
+        chosen = []
+        for number, place in enumerate(places, 1):
+            at = max(k for k in range(len(names)) if starts[k] <= place)
+            chosen.append((number, (names[at] << 33) + place - starts[at]))
+        found = ranged.join(F.broadcast(spark.createDataFrame(chosen, "audit_id int, _id long")), "_id").select("audit_id", *df.columns)  # a sample
+        return spark.createDataFrame(found.collect(), found.schema)
+    finally:
+        ranged.unpersist()
 
-def _draw(seed_text: str, quotas: tuple[tuple[str, int], ...], shuffle: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        query = pdf["query"].iloc[0]
+def audit_sample(items: DataFrame, n: int = 200, seed: int = 20260930) -> DataFrame:
+    """A simple random sample of items: audit_id (from 1), then the items' columns."""
+    many = items.count()
+    drawn = rows_at(items.select("parent_asin"), ["parent_asin"], random.Random(seed).sample(range(many), min(n, many)))
+    return items.join(F.broadcast(drawn), "parent_asin").select("audit_id", *items.columns)  # n rows
+
+
+def _by_query(groups: DataFrame, queries: tuple[str, ...], seed_text: str, quotas: tuple[tuple[str, int], ...], shuffle: bool) -> DataFrame:
+    """(audit_id, query, parent_asin, title) of a draw for each query, from its groups in the order of the quotas, with one generator a query."""
+    rows = groups.dropDuplicates(["query", "grp", "parent_asin"])
+    counts = {(r[0], r[1]): r[2] for r in rows.groupBy("query", "grp").count().collect()}  # a row for each query and group
+    starts = dict(zip(sorted(counts), accumulate((counts[g] for g in sorted(counts)), initial=0), strict=False))
+    places: list[int] = []
+    for query in queries:
         rng = random.Random(seed_text.format(query=query))
-        picked: list[str] = []
+        own: list[int] = []
         for group, quota in quotas:
-            ids = sorted(pdf.loc[pdf["grp"] == group, "parent_asin"])
-            picked += rng.sample(ids, min(quota, len(ids)))
+            many = counts.get((query, group), 0)
+            own += [starts[query, group] + k for k in rng.sample(range(many), min(quota, many))]
         if shuffle:
-            rng.shuffle(picked)
-        return pd.DataFrame({"query": query, "pick": range(len(picked)), "parent_asin": picked})
-
-    return one
-
-
-def _numbered(groups: DataFrame, titles: DataFrame, queries: tuple[str, ...], draw) -> DataFrame:
-    picked = groups.groupBy("query").applyInPandas(draw, "query string, pick int, parent_asin string")
-    place = F.array_position(F.array(*[F.lit(q) for q in queries]), F.col("query"))
-    # some dozens of rows a query
-    rows = picked.withColumn("_place", place).orderBy("_place", "pick").coalesce(1).withColumn("audit_id", (F.monotonically_increasing_id() + 1).cast("int"))
-    return rows.join(titles.select("query", "parent_asin", "title").distinct(), ["query", "parent_asin"]).select("audit_id", "query", "parent_asin", "title")
+            rng.shuffle(own)
+        places += own
+    return rows_at(rows, ["query", "grp", "parent_asin"], places).select("audit_id", "query", "parent_asin", "title")
 
 
 def contamination_sample(matches: DataFrame, queries: tuple[str, ...], seed: int = 20261004, kept: int = 40, excluded: int = 20) -> DataFrame:
     """From each query's kept and excluded items, shuffled so that rows don't show which; short groups whole."""
-    groups = matches.select("query", "parent_asin", F.when(F.col("kept"), "kept").otherwise("excluded").alias("grp"))
-    return _numbered(groups, matches, queries, _draw(f"{seed}:{{query}}", (("kept", kept), ("excluded", excluded)), True))
+    groups = matches.select("query", "parent_asin", "title", F.when(F.col("kept"), "kept").otherwise("excluded").alias("grp"))
+    return _by_query(groups, queries, f"{seed}:{{query}}", (("kept", kept), ("excluded", excluded)), True)
 
 
 def recall_sample(lost: DataFrame, queries: tuple[str, ...], seed: int = 20261004, n: int = 20) -> DataFrame:
     """From each query's titles that the phrase rule loses, with a seed of its own."""
-    return _numbered(lost.select("query", "parent_asin", F.lit("lost").alias("grp")), lost, queries, _draw(f"{seed}:recall:{{query}}", (("lost", n),), False))
+    return _by_query(lost.select("query", "parent_asin", "title", F.lit("lost").alias("grp")), queries, f"{seed}:recall:{{query}}", (("lost", n),), False)
 
 
 def publication_sample(matches: DataFrame, queries: tuple[str, ...], seed: int = 20261004, n: int = 50) -> DataFrame:
     """At most n of each query's kept items."""
-    groups = matches.where("kept").select("query", "parent_asin", F.lit("kept").alias("grp"))
-    return _numbered(groups, matches, queries, _draw(f"{seed}:publication:{{query}}", (("kept", n),), False))
+    groups = matches.where("kept").select("query", "parent_asin", "title", F.lit("kept").alias("grp"))
+    return _by_query(groups, queries, f"{seed}:publication:{{query}}", (("kept", n),), False)
+
+
+def rows_per_query(sample: DataFrame) -> DataFrame:
+    """How many rows of a sample each query has."""
+    return sample.groupBy("query").agg(F.count("*").alias("n"))

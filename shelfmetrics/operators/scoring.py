@@ -79,13 +79,22 @@ def coverage(extracted: DataFrame) -> DataFrame:
     return extracted.groupBy(F.col("pack.dimension").alias("dimension"), "flag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dimension", "flag")
 
 
+def coverage_total(extracted: DataFrame) -> DataFrame:
+    """One row: items, those with a pack size, and their share."""
+    out = extracted.agg(F.count("*").alias("n_items"), F.count("pack").alias("extracted"))
+    return out.withColumn("coverage", F.try_divide("extracted", "n_items"))
+
+
 def membership_scores(labels: DataFrame, *by: str) -> DataFrame:
-    """Shares of labels (column in_set, yes or no) with Wilson intervals, by group; with and without unsure notes."""
+    """Shares of labels (column in_set, yes or no) with Wilson intervals, by group: of all labels (share, low, high), and without
+    those whose notes say UNCERTAIN (share_sure, low_sure, high_sure)."""
     yes = F.lower(F.trim(F.col("in_set"))) == "yes"
     sure = ~F.coalesce(F.col("notes").contains("UNCERTAIN"), F.lit(False))
     out = labels.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(yes).alias("yes"), F.count_if(sure).alias("n_sure"), F.count_if(sure & yes).alias("yes_sure"))
-    low, high = wilson(F.col("yes"), F.col("n"))
-    return out.withColumns({"share": F.try_divide("yes", "n"), "low": low, "high": high})
+    for k in ("", "_sure"):
+        low, high = wilson(F.col(f"yes{k}"), F.col(f"n{k}"))
+        out = out.withColumns({f"share{k}": F.try_divide(f"yes{k}", f"n{k}"), f"low{k}": low, f"high{k}": high})
+    return out
 
 
 def recall_loss(scores: DataFrame, group_sizes: DataFrame, by: str = "query") -> DataFrame:

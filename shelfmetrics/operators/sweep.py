@@ -21,9 +21,9 @@ def combinations(spark: SparkSession, priors: DataFrame, m_values: tuple[int, ..
     return grid.crossJoin(priors).select("combo", c.alias("C"), "m")  # one row of priors
 
 
-def sweep(items: DataFrame, top: int = 20) -> DataFrame:
+def sweep(items: DataFrame, top: int = 20, m_values: tuple[int, ...] = (25, 50, 120, 500), sources: tuple[str, ...] = ("C_simple", "C_weighted")) -> DataFrame:
     """The top of every combination: combo, rank and the item. The grid is a handful of rows and is sent to the items."""
-    grid = combinations(items.sparkSession, compute_priors(items))
+    grid = combinations(items.sparkSession, compute_priors(items), m_values, sources)
     scored = items.join(F.broadcast(grid)).withColumn("car", car(F.col("average_rating"), F.col("rating_number"), F.col("C"), F.col("m")))
     rank = F.row_number().over(Window.partitionBy("combo").orderBy(*order_by_car()))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("combo", "rank", "parent_asin", "title", "average_rating", "rating_number", "car")
@@ -36,12 +36,12 @@ def overlaps(tops: DataFrame) -> DataFrame:
     return pairs.join(a.join(b, "parent_asin").groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("shared"))
 
 
-def resolution(items: DataFrame) -> DataFrame:
+def resolution(items: DataFrame, m_values: tuple[int, ...] = (25, 50, 120, 500), sources: tuple[str, ...] = ("C_simple", "C_weighted")) -> DataFrame:
     """Distinct CAR values by combination, at nine and at two decimals, beside distinct stars and (stars, count) pairs.
 
     CAR depends on stars and count alone, so the pairs are made distinct before the grid multiplies them.
     """
-    grid = combinations(items.sparkSession, compute_priors(items))
+    grid = combinations(items.sparkSession, compute_priors(items), m_values, sources)
     pairs = items.select("average_rating", "rating_number").distinct()
     value = car(F.col("average_rating"), F.col("rating_number"), F.col("C"), F.col("m"))
     per_combo = (
@@ -66,9 +66,9 @@ def star_overlap(items: DataFrame, tops: DataFrame, top: int = 20) -> DataFrame:
     return shared.groupBy("combo").agg(F.count("_star").alias("shared")).join(F.broadcast(median))  # top rows, and one
 
 
-def rank_table(tops: DataFrame) -> DataFrame:
+def rank_table(tops: DataFrame, combos: list[str] | None = None) -> DataFrame:
     """A row for each item in any top, its rank in each combination, and its place in the report's order."""
-    combos = [r[0] for r in tops.select("combo").distinct().orderBy("combo").collect()]
+    combos = combos or [r[0] for r in tops.select("combo").distinct().orderBy("combo").collect()]
     wide = tops.groupBy("parent_asin").pivot("combo", combos).agg(F.first("rank"))
     best = F.least(*[F.coalesce(F.col(f"`{c}`"), F.lit(999)) for c in combos]) * 100
     rest = sum((F.coalesce(F.col(f"`{c}`"), F.lit(99)) for c in combos[1:]), F.coalesce(F.col(f"`{combos[0]}`"), F.lit(99))) / 100

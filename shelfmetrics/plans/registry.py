@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,14 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.raw_items(spark, sf_dir)
 
 
+@lru_cache(maxsize=64)
+def _checked(spark: SparkSession, sf_dir: str) -> None:
+    """Refuses a catalogue with any bad row; once for each source in a session."""
+    load.load_items(spark, raw(spark, sf_dir))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _checked(spark, sf_dir)
     return load.typed(load.decoded(raw(spark, sf_dir)))
 
 
@@ -170,6 +178,10 @@ def packsize_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.coverage(_packs(spark, sf_dir))
 
 
+def packsize_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scoring.coverage_total(_packs(spark, sf_dir)), "coverage")
+
+
 def _truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels by construction, a tenth of them wrong or N/A on purpose."""
     key = F.substring("parent_asin", 2, 8).cast("long")
@@ -196,7 +208,13 @@ def packsize_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     rows = docs.join(labels, "doc_id").select("lang", F.when(F.col("quality") == 1, "yes").otherwise("no").alias("in_set"), F.when(F.col("toxic") == 1, "UNCERTAIN").alias("notes"))
-    return _rounded(scoring.membership_scores(rows, "lang"), "share", "low", "high")
+    return _rounded(scoring.membership_scores(rows, "lang").select("lang", "n", "yes", "n_sure", "yes_sure", "share", "low", "high"), "share", "low", "high")
+
+
+def audit_without_unsure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").select("source", F.when(F.col("quality") == 1, "yes").otherwise("no").alias("in_set"), F.when(F.col("toxic") == 1, "UNCERTAIN").alias("notes"))
+    return _rounded(scoring.membership_scores(rows, "source").select("source", "n_sure", "yes_sure", "share_sure", "low_sure", "high_sure"), "share_sure", "low_sure", "high_sure")
 
 
 def recall_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,8 +235,7 @@ def precision_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nouns as candidate sets, with CAR and unit prices."""
     sets = _packs(spark, sf_dir).withColumn("query", F.regexp_extract("title", r"^[a-z]+ ([a-z]+?)s?\b", 1))
-    priors = ratings.priors_for(sets, FALLBACK)
-    return matrix.unit_prices(ratings.ranked(sets, priors))
+    return matrix.unit_prices(ratings.with_car(sets, ratings.priors_for(sets, FALLBACK)))
 
 
 def unit_price_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +305,7 @@ def publication_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     car_topk_by_name, priors_with_fallback, pool_priors, car_sensitivity_top, car_sensitivity_overlap, distinct_resolution, star_sort_top, star_sort_overlap, rank_table, profile_price, profile_rating,
     price_histogram, price_texts, price_null_reasons, load_report, malformed_rows, json_props_decode, detail_projection, phrase_match, exclusion_hits, adjacency_lost, license_phrase_match, packsize_extract,
-    packsize_coverage, packsize_verdicts, packsize_score, audit_by_lang, recall_loss, precision_wilson, unit_price_axis, coherence, two_axis, guard_flags, quadrants, off_diagonal, axis_spearman,
+    packsize_coverage, packsize_pool, packsize_verdicts, packsize_score, audit_by_lang, audit_without_unsure, recall_loss, precision_wilson, unit_price_axis, coherence, two_axis, guard_flags, quadrants, off_diagonal, axis_spearman,
     star_sort_landing, explanations, rated_share, audit_sample, contamination_sample, recall_sample, publication_sample,
 )
 

@@ -176,6 +176,7 @@ def _score() -> str:
 def oracle_sql() -> dict[str, str]:
     low_k, high_k = _wilson("count(*) FILTER (o_orderstatus = 'F')", "count(*)")
     low_q, high_q = _wilson("count(*) FILTER (quality = 1)", "count(*)")
+    low_s, high_s = _wilson("count(*) FILTER (toxic = 0 AND quality = 1)", "count(*) FILTER (toxic = 0)")
     price = "CASE WHEN why = 'non_positive' THEN 0 WHEN why IS NULL THEN list_price END"
     percentiles = lambda x: ", ".join(f"round(quantile_cont({x}, {p}), 6) AS p{k}" for k, p in _PERCENTILES)
     bins = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(zip((0, 5, 10, 15, 20, 30, 50, 100, 200, 500), (5, 10, 15, 20, 30, 50, 100, 200, 500, "1e300"), strict=True)))
@@ -266,5 +267,10 @@ def oracle_sql() -> dict[str, str]:
         "star_sort_landing": GUARDED
         + """, o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY average_rating DESC NULLS LAST, rating_number DESC NULLS LAST, parent_asin) AS star_rank FROM placed)
         SELECT query, CAST(star_rank AS INTEGER) AS star_rank, parent_asin, quadrant FROM o WHERE star_rank <= 10""",
+        "explanations": GUARDED
+        + """ SELECT query, parent_asin, printf('%s has a credibility-adjusted rating of %.2f from %d ratings and costs %.2f per %s.', title, round(car, 2), coalesce(rating_number, 0), round(unit_price, 2), unit) AS explanation FROM guarded""",
+        "packsize_pool": ITEMS + PACKS + " SELECT count(*) AS n_items, count(dimension) AS extracted, round(CAST(count(dimension) AS DOUBLE) / count(*), 6) AS coverage FROM full_packs",
+        "audit_without_unsure": f"""SELECT source, count(*) FILTER (toxic = 0) AS n_sure, count(*) FILTER (toxic = 0 AND quality = 1) AS yes_sure,
+        round(CAST(count(*) FILTER (toxic = 0 AND quality = 1) AS DOUBLE) / nullif(count(*) FILTER (toxic = 0), 0), 6) AS share_sure, {low_s} AS low_sure, {high_s} AS high_sure FROM documents JOIN labels USING (doc_id) GROUP BY 1""",
         "rated_share": ITEMS + " SELECT count(*) AS n, count(*) FILTER (rating_number > 0) AS n_rated FROM items",
     }

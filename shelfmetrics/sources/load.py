@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,12 +22,12 @@ DETAIL_KEYS = (
 )
 
 
-class MalformedRows(Exception):
-    """All bad rows of a load: (parent_asin, messages). The text shows the first fifty."""
+class MalformedRows(ValueError):
+    """All bad rows of a load: ``rows`` is a DataFrame (row_index, parent_asin, errors), ``first`` its first fifty, which the text shows."""
 
-    def __init__(self, count: int, rows: list[tuple[str, list[str]]]):
-        self.count, self.rows = count, rows
-        shown = "\n".join(f"  {asin}: {'; '.join(messages)}" for asin, messages in rows[:50])
+    def __init__(self, count: int, first: list[tuple[int, str | None, list[str]]], rows: DataFrame | None = None):
+        self.count, self.first, self.rows = count, first, rows
+        shown = "\n".join(f"  row {index} ({asin or '?'}): {'; '.join(messages)}" for index, asin, messages in first[:50])
         more = f"\n  and {count - 50} more" if count > 50 else ""
         super().__init__(f"{count} malformed rows:\n{shown}{more}")
 
@@ -107,17 +107,34 @@ class Loaded:
 def gate(manifest: str | Path | None) -> None:
     """Refuses data whose ingest met bad lines. No manifest, no gate."""
     if manifest and Path(manifest).exists() and (bad := json.loads(Path(manifest).read_text()).get("unparseable_json_lines", 0)):
-        raise ValueError(f"ingest recorded {bad} lines that aren't JSON; refusing to load")
+        raise MalformedRows(bad, [(-1, "-", [f"{bad} source lines are no records; see {manifest}"])])
 
 
 def load_items(spark: SparkSession, raw: DataFrame | str, manifest: str | Path | None = None) -> Loaded:
-    """Typed items, or MalformedRows once every row has been checked."""
+    """Typed items, or MalformedRows once every row has been checked.
+
+    A bad row is known by its index: its place in the Parquet files, in the order of their names, or for a DataFrame in its rows.
+    """
     gate(manifest)
-    frame = spark.read.parquet(raw) if isinstance(raw, str) else raw
+    if isinstance(raw, str):
+        frame = spark.read.schema(RAW).parquet(raw) if set(FIELDS) <= set(spark.read.parquet(raw).columns) else spark.read.parquet(raw)
+        place = F.struct("_metadata.file_path", "_metadata.row_index")
+    else:
+        frame, place = raw, F.struct(F.lit("").alias("file_path"), F.monotonically_increasing_id().alias("row_index"))
+    check_columns(frame)
+    bad = decoded(frame.select(*FIELDS, place.alias("_place"))).where(F.size("errors") > 0).select("_place", "parent_asin", "errors")
+    if head := bad.orderBy("_place").limit(50).collect():
+        index = F.col("_place.row_index")
+        if isinstance(raw, str):  # rows of the files before: a row for each file
+            counts = spark.read.parquet(raw).groupBy(F.col("_metadata.file_path").alias("file_path")).count()
+            before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+            counts = counts.select("file_path", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+            known = {r[0]: r[1] for r in counts.collect()}
+            rows = bad.join(F.broadcast(counts), F.col("_place.file_path") == F.col("file_path")).select((index + F.col("_before")).alias("row_index"), "parent_asin", "errors")
+        else:
+            known, rows = {"": 0}, bad.select(index.alias("row_index"), "parent_asin", "errors")
+        raise MalformedRows(bad.count(), [(r[0].row_index + known[r[0].file_path], r[1], list(r[2])) for r in head], rows)
     rows = decoded(frame)
-    bad = rows.where(F.size("errors") > 0).select("parent_asin", "errors")
-    if head := bad.orderBy("parent_asin").limit(50).collect():
-        raise MalformedRows(bad.count(), [(r[0], list(r[1])) for r in head])
     return Loaded(typed(rows), load_report(rows))
 
 
@@ -130,7 +147,3 @@ def detail_columns(items: DataFrame) -> DataFrame:
     """The details that anything reads, a column each, empty where absent."""
     value = lambda k: F.coalesce(F.try_element_at("details", F.lit(k)), F.lit(""))
     return items.select("parent_asin", "title", "price", *[value(k).alias(k.lower().replace(" ", "_")) for k in DETAIL_KEYS])
-
-
-def as_text(column: Column) -> Column:
-    return F.coalesce(column.cast("string"), F.lit(""))

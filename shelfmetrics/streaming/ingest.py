@@ -20,11 +20,11 @@ def stream_items(spark: SparkSession, folder: str, items_path: str, errors_path:
 
     def write(batch: DataFrame, number: int) -> None:
         rows = slim(batch)
-        read = decoded(rows.where("NOT is_bad").select(*FIELDS)).persist()
+        read = decoded(rows.where("why_bad IS NULL").select(*FIELDS)).persist()
         try:
             typed(read).write.mode("overwrite").parquet(f"{items_path}/batch={number}")
             bad = read.where(F.size("errors") > 0).select("parent_asin", "errors")
-            lines = rows.where("is_bad").select(F.lit(None).cast("string").alias("parent_asin"), F.array(F.lit("bad JSON")).alias("errors"))
+            lines = rows.where("why_bad IS NOT NULL").select(F.lit(None).cast("string").alias("parent_asin"), F.array("why_bad").alias("errors"))
             bad.unionByName(lines).write.mode("overwrite").parquet(f"{errors_path}/batch={number}")
         finally:
             read.unpersist()
