@@ -101,5 +101,6 @@ def star_sort_landing(placed: DataFrame, by: str = "query", top: int = 10) -> Da
 
 def explanation(rows: DataFrame) -> DataFrame:
     """Adds a sentence on why a point lies where it does. Numbers are rounded half up before they are printed, as engines print ties each in their way."""
-    said = F.format_string("%s has a credibility-adjusted rating of %.2f from %d ratings and costs %.2f per %s.", "title", F.round("car", 2), F.coalesce("rating_number", F.lit(0)), F.round("unit_price", 2), "unit")
+    cents = lambda c: F.round(F.round(c, 6), 2)
+    said = F.format_string("%s has a credibility-adjusted rating of %.2f from %d ratings and costs %.2f per %s.", "title", cents("car"), F.coalesce("rating_number", F.lit(0)), cents("unit_price"), "unit")
     return rows.withColumn("explanation", said)

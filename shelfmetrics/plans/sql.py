@@ -268,7 +268,7 @@ def oracle_sql() -> dict[str, str]:
         + """, o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY average_rating DESC NULLS LAST, rating_number DESC NULLS LAST, parent_asin) AS star_rank FROM placed)
         SELECT query, CAST(star_rank AS INTEGER) AS star_rank, parent_asin, quadrant FROM o WHERE star_rank <= 10""",
         "explanations": GUARDED
-        + """ SELECT query, parent_asin, printf('%s has a credibility-adjusted rating of %.2f from %d ratings and costs %.2f per %s.', title, round(car, 2), coalesce(rating_number, 0), round(unit_price, 2), unit) AS explanation FROM guarded""",
+        + """ SELECT query, parent_asin, printf('%s has a credibility-adjusted rating of %.2f from %d ratings and costs %.2f per %s.', title, round(round(car, 6), 2), coalesce(rating_number, 0), round(round(unit_price, 6), 2), unit) AS explanation FROM guarded""",
         "packsize_pool": ITEMS + PACKS + " SELECT count(*) AS n_items, count(dimension) AS extracted, round(CAST(count(dimension) AS DOUBLE) / count(*), 6) AS coverage FROM full_packs",
         "audit_without_unsure": f"""SELECT source, count(*) FILTER (toxic = 0) AS n_sure, count(*) FILTER (toxic = 0 AND quality = 1) AS yes_sure,
         round(CAST(count(*) FILTER (toxic = 0 AND quality = 1) AS DOUBLE) / nullif(count(*) FILTER (toxic = 0), 0), 6) AS share_sure, {low_s} AS low_sure, {high_s} AS high_sure FROM documents JOIN labels USING (doc_id) GROUP BY 1""",
