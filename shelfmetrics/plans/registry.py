@@ -13,6 +13,7 @@ from shelfmetrics.functions.packsize import extract_pack_sizes
 from shelfmetrics.functions.ratings import is_rated, wilson
 from shelfmetrics.operators import matching, matrix, profile, ratings, sampling, scoring, sweep
 from shelfmetrics.sources import catalog, load
+from shelfmetrics.sources.settle import settled
 
 from . import sql
 
@@ -233,9 +234,10 @@ def precision_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nouns as candidate sets, with CAR and unit prices."""
-    sets = _packs(spark, sf_dir).withColumn("query", F.regexp_extract("title", r"^[a-z]+ ([a-z]+?)s?\b", 1))
-    return matrix.unit_prices(ratings.with_car(sets, ratings.priors_for(sets, FALLBACK)))
+    """Nouns as candidate sets, with CAR and unit prices; written, as the rules after it join the sets with what they come to."""
+    noun = F.regexp_extract("title", r"^[a-z]+ ([a-z]+?)s?\b", 1)
+    priors = ratings.priors_for(priced(spark, sf_dir).withColumn("query", noun), FALLBACK)
+    return settled(matrix.unit_prices(ratings.with_car(_packs(spark, sf_dir).withColumn("query", noun), priors)), "scored")
 
 
 def unit_price_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
