@@ -72,12 +72,13 @@ def released(run: Callable[[Iterator], Iterator], encodes: bool = False) -> Call
         try:
             yield from run(batches)
         finally:
-            _release()
+            release()
 
     return go
 
 
-def _release() -> None:
+def release() -> None:
+    """Gives the memory that Python has freed back to the system."""
     import ctypes
     import gc
 

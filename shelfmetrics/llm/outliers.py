@@ -169,7 +169,7 @@ def mcd_outliers(
     docs: DataFrame,
     keep_share: float = 0.75,
     quantile: float = 1 - 1e-12,
-    rounds: int = 12,
+    rounds: int = 8,
     floor: float = 1e-3,
     least_group: int = 60,
     key: str = "doc_id",

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import release, released, written
 from .tokens import batches_of
 
 _EDGE = ".,;:!?\"'()[]{}*#$%&|<>~_-"
@@ -206,8 +206,12 @@ def train(features: list[np.ndarray], dense: np.ndarray, target: np.ndarray, bit
     """
     size, n = 2 << bits, len(target)
     lengths = np.fromiter(map(len, features), np.int64, n)
-    used, index = np.unique(np.concatenate([*features, np.empty(0, np.int64)]).astype(np.int64), return_inverse=True)
-    row = np.repeat(np.arange(n), lengths)
+    index = np.concatenate([*features, np.empty(0, np.int32)]).astype(np.int32)
+    used = np.flatnonzero(np.bincount(index, minlength=size))
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used))
+    index = place[index]
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths)
     w, v = np.zeros(len(used)), np.zeros(dense.shape[1])
     gw2, gv2 = np.full(len(used), 1e-8), np.full(dense.shape[1], 1e-8)
     for _ in range(rounds):
@@ -295,6 +299,8 @@ def _fit(rows: DataFrame, chosen: DataFrame, bits: int, targets: list) -> tuple:
         own = features if kind == "all" else [f[f >= 1 << bits] for f in features]
         rates = dense if kind == "all" else dense * (np.array(DENSE) == "bias")
         out.append(train(own, rates, np.asarray(target(table), float), bits).astype(np.float32))
+    del table, features, dense, own, rates
+    release()
     return tuple(out)
 
 

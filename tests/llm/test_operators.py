@@ -421,7 +421,7 @@ def brute_distances(rows, keep_share=0.75, floor=1e-3):
     s = np.array([max(1.4826 * at(abs(dx[:, i] - centre[i]) * np.sqrt(dw), 0.5), math.sqrt(floor)) for i in range(dx.shape[1])])
     cov = np.diag(s**2)
     measure = lambda w, x: w * np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
-    for _ in range(12):
+    for _ in range(8):
         d = measure(dw, dx)
         near = d <= at(d, keep_share)
         centre = (dw[near, None] * dx[near]).sum(0) / dw[near].sum()
