@@ -1,14 +1,16 @@
-"""Language-model scoring by deleted interpolation of bigram, unigram and uniform estimates.
+"""Language-model scoring by deleted interpolation of trigram, bigram, unigram and uniform estimates.
 
-A text's tokens are its words and one end. The probability of a token w after h is
+A text's tokens are its words and one end. The probability of a token w after g, h is
 
-    l2[b] c(h, w) / c(h) + l1[b] c(w) / N + l0[b] / (V + 1)
+    l3[b] c(g, h, w) / c(g, h) + l2[b] c(h, w) / c(h) + l1[b] c(w) / N + l0[b] / (V + 1)
 
-with counts of the training texts and weights that depend on b, the bucket of the context's frequency. The weights are
+with counts of the training texts and weights that depend on b, the bucket of the frequency of the context g, h, or of h
+where g, h is unknown or the text has begun with h. The weights are
 learned by expectation-maximisation on held-out training texts, with counts of the other training texts.
 
-Texts are turned into blocks of token numbers once. Each block asks for the counts of its distinct words and bigrams; the
-questions, with the block's own counts, meet by key, and only keys of several blocks are answered. So all counts are exact,
+Texts are turned into blocks of token numbers once. Each block asks for the counts of its distinct words, then of bigrams of which other
+blocks have both words, then of trigrams of which other blocks have both bigrams: no others can be elsewhere. The
+questions, with the block's own counts, meet by key, and only keys of several blocks are answered. So counts are those of the whole corpus,
 no task holds more than a block or a slice of the keys, and what is exchanged grows with the distinct keys of blocks.
 """
 
@@ -31,15 +33,17 @@ from .tokens import batches_of
 KEPT, DELETED, HELD_OUT = 0, 1, 2  # learned from; learned from, and held out for the weights; scored only
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _END, _START = np.uint64(1), np.uint64(2)
-PAIR_BITS = 54
-_BLOCKS = "block long, payload binary"
+#: Bits by which bigrams and trigrams are told apart, beyond those of the number of tokens: one in 2^16 meets another.
+SPARE_BITS = 16
+_BLOCKS = "block long, payload binary, tokens long"
 _ASKED = "part int, block long, payload binary"
 _ANSWERS = "block long, payload binary, kept long, deleted long, kinds long, kept_kinds long, starts_kept long, starts_deleted long"
-_CELLS = "bucket int, two int, one int, n long"
+_CELLS = "bucket int, three int, two int, one int, n long"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-BUCKETS = 40
+#: Contexts of one word have the first buckets, contexts of two the next.
+BUCKETS = 80
 CHUNK = 1 << 18
-_FINENESS = 8  # cells of probability ratios in an octave, for the weights only
+_FINENESS = 4  # cells of probability ratios in an octave, for the weights only
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,7 +84,7 @@ def _tokenise(block_bytes: int):
                 ends=np.cumsum(counts + 1), words=np.append(hashes, _END), ids=flat,
             )
             number += 1
-            return pa.record_batch([pa.array([number], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
+            return pa.record_batch([pa.array([number], pa.int64()), pa.array([payload], pa.binary()), pa.array([len(flat)], pa.int64())], names=["block", "payload", "tokens"])
 
         for batch in (x for b in batches for x in batches_of(b, 1)):
             split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column(1).cast(pa.large_string()), "")))
@@ -104,61 +108,100 @@ def _word(digest: int) -> int:
     return digest if digest > 2 else digest + 3
 
 
+def _grouped(token: np.ndarray, bits: int, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Keys of ``bits`` bits, sorted, each token's key's place, and the keys' kept and deleted counts."""
+    token = token >> np.uint64(64 - bits)
+    order = np.argsort(token).astype(np.int32)
+    ordered = token[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    place = np.empty(len(token), np.int32)
+    place[order] = np.cumsum(first, dtype=np.int32) - 1
+    n = int(first.sum())
+    return ordered[first], place, [np.bincount(place[fold == f], minlength=n) for f in (KEPT, DELETED)]
+
+
 @dataclass
 class Counted:
-    """A block's tokens, and its distinct keys with the block's own counts: for words by number, for bigrams by key."""
+    """A block's tokens, and its distinct words, bigrams and trigrams with the block's own counts.
+
+    ``keys[k]`` are the sorted keys of runs of k + 1 tokens, ``place[k]`` each token's (of the run that ends with it), ``counts[k]`` their kept and deleted counts.
+    A run that begins before its text has the text's start as its first token, and no trigram begins before that.
+    """
 
     docs: np.ndarray
     null: np.ndarray
     folds: np.ndarray
     ends: np.ndarray
-    ids: np.ndarray
     doc: np.ndarray
-    before: np.ndarray  # the token before, or -1 at a text's start
-    word_keys: np.ndarray
-    words: list[np.ndarray]  # kept and deleted counts
-    keys: np.ndarray
-    pairs: list[np.ndarray]
-    pair: np.ndarray  # of each token
+    before: np.ndarray  # the place of the word before in the words, or -1 at a text's start
+    first: np.ndarray  # whether a token is a text's first
+    keys: list[np.ndarray]
+    place: list[np.ndarray]
+    counts: list[list[np.ndarray]]
 
     @classmethod
-    def of(cls, payload: bytes) -> Counted:
+    def of(cls, payload: bytes, bits: int, upto: int = 3) -> Counted:
         x = unpack(payload)
         ids, ends, folds = x["ids"], x["ends"], x["folds"]
         lengths = np.diff(ends, prepend=0)
         doc = np.repeat(np.arange(len(ends), dtype=np.int32), lengths)
+        first = np.zeros(len(ids), bool)
+        first[ends - lengths] = True
+        fold = folds[doc]
+        word = _mix(x["words"] ^ _B)
+        order = np.argsort(word)
+        rank = np.empty(len(word), np.int32)
+        rank[order] = np.arange(len(word))
+        ids = rank[ids]
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
-        before[ends - lengths] = -1
-        hashes = np.append(x["words"], _START)  # number -1 is the start
-        # bigrams are told apart by 54 bits: a hundredth of the gap to their number even in a corpus of 10^12 of them
-        token = _mix(hashes[before] * _A + hashes[ids] * _B + _A) >> np.uint64(64 - PAIR_BITS)
-        fold = folds[doc]
-        order = np.argsort(token).astype(np.int32)
-        ordered = token[order]
-        del token
-        first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        pair = np.empty(len(ids), np.int32)
-        pair[order] = np.cumsum(first, dtype=np.int32) - 1
-        n = int(first.sum())
-        pairs = [np.bincount(pair[fold == f], minlength=n) for f in (KEPT, DELETED)]
-        words = [np.bincount(ids[fold == f], minlength=len(x["words"])) for f in (KEPT, DELETED)]
-        return cls(x["docs"], x["null"], folds, ends, ids, doc, before, _mix(x["words"] ^ _B), words, ordered[first], pairs, pair)
-
-    def answered(self, paths: tuple[str, str], block: int) -> Counted:
+        before[first] = -1
+        keys, place = [word[order]], [ids]
+        counts = [[np.bincount(ids[fold == f], minlength=len(word)) for f in (KEPT, DELETED)]]
+        if upto > 1:
+            hashes = np.append(x["words"][order], _START)  # place -1 is the start
+            pair = _mix(hashes[before] * _A + hashes[ids] * _B + _A)
+            found = _grouped(pair, bits, fold)
+            for out, new in zip((keys, place, counts), found, strict=True):
+                out.append(new)
+            if upto > 2:
+                last = np.roll(pair, 1)
+                last[first] = _A  # a text's first token has no context of two
+                found = _grouped(_mix(last * _B + hashes[ids] * _A + _B), bits, fold)
+                for out, new in zip((keys, place, counts), found, strict=True):
+                    out.append(new)
+        return cls(x["docs"], x["null"], folds, ends, doc, before, first, keys, place, counts)
+
+    def answered(self, paths: list[str], block: int) -> Counted:
         """The counts of all blocks in place of the block's own, where other blocks have the key, too."""
         from pyarrow import fs
 
-        order = np.argsort(self.word_keys)
         for kind, path in enumerate(paths):
             for x in _answers(*fs.FileSystem.from_uri(path), block):
-                if kind:
-                    at, counts = np.searchsorted(self.keys, x["keys"]), self.pairs
-                else:
-                    at, counts = order[np.searchsorted(self.word_keys[order], x["keys"])], self.words
-                counts[0][at], counts[1][at] = x["kept"], x["deleted"]
+                at = np.searchsorted(self.keys[kind], x["keys"])
+                self.counts[kind][0][at], self.counts[kind][1][at] = x["kept"], x["deleted"]
         return self
 
+    def elsewhere(self, path: str, block: int, kind: int) -> np.ndarray:
+        """Which of the block's keys of a kind other blocks have."""
+        from pyarrow import fs
+
+        out = np.zeros(len(self.keys[kind]), bool)
+        for x in _answers(*fs.FileSystem.from_uri(path), block):
+            out[np.searchsorted(self.keys[kind], x["keys"])] = True
+        return out
+
+    def estimates(self, at: slice | np.ndarray, counts: list[np.ndarray], starts: int, total: int, kinds: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The bucket of each token's context, and the trigram's, bigram's, unigram's and uniform estimates."""
+        one = counts[0][self.place[0][at]]
+        context = np.where(self.before[at] < 0, starts, counts[0][self.before[at]])
+        pair = np.concatenate([[0], self.place[1][:-1]])[at]
+        wide = np.where(self.first[at], 0, counts[1][pair])
+        three = np.where(wide > 0, counts[2][self.place[2][at]] / np.maximum(wide, 1), 0.0)
+        two = counts[1][self.place[1][at]] / np.maximum(context, 1)
+        bucket = np.where(wide > 0, BUCKETS // 2 + np.minimum(_bucket(wide), BUCKETS // 2 - 1), np.minimum(_bucket(context), BUCKETS // 2 - 1))
+        return bucket, [three, two, one / max(total, 1), np.full(len(one), 1 / (kinds + 1))]
+
 
 def _answers(system, path: str, block: int) -> Iterator[dict[str, np.ndarray]]:
     """The answers to a block, from its own folder."""
@@ -172,28 +215,26 @@ def _answers(system, path: str, block: int) -> Iterator[dict[str, np.ndarray]]:
                     yield from map(unpack, some.column(0).to_pylist())
 
 
-def _ask(parts: int, kind: int, path: str | None = None):
-    """A block's questions, for words (kind 0) or bigrams (1). With answers on words at ``path``, bigrams with a word that no
-    other block has aren't asked for: no other block can have them."""
+def _ask(parts: int, kind: int, bits: int, path: str | None = None):
+    """A block's questions, for words (kind 0), bigrams (1) or trigrams (2). With the answers on shorter runs at ``path``, runs of
+    which no other block has both shorter ones aren't asked for: no other block can have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, payload in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
-            c = Counted.of(payload)
-            order = np.argsort(c.word_keys)
+            c = Counted.of(payload, bits, kind + 1)
+            keys, (kept, deleted) = c.keys[kind], c.counts[kind]
             if kind:
-                from pyarrow import fs
-
-                shared = np.zeros(len(c.word_keys) + 1, bool)
-                shared[-1] = True  # the start
-                for x in _answers(*fs.FileSystem.from_uri(path), block):
-                    shared[order[np.searchsorted(c.word_keys[order], x["keys"])]] = True
-                wanted = np.zeros(len(c.keys), bool)
-                wanted[c.pair[shared[c.before] & shared[c.ids]]] = True
-                keys, kept, deleted = c.keys[wanted], *(x[wanted] for x in c.pairs)
-            else:
-                keys, kept, deleted = c.word_keys[order], *(w[order] for w in c.words)
+                shared = c.elsewhere(path, block, kind - 1)
+                last = shared[c.place[kind - 1]]
+                if kind == 1:
+                    both = last & np.where(c.before < 0, True, shared[c.before])
+                else:
+                    both = last & np.concatenate([[False], last[:-1]]) & ~c.first
+                wanted = np.zeros(len(keys), bool)
+                wanted[c.place[kind][both]] = True
+                keys, kept, deleted = keys[wanted], kept[wanted], deleted[wanted]
             del c
-            edges = np.array([(k << (PAIR_BITS if kind else 64)) // parts for k in range(1, parts)], np.uint64)
+            edges = np.array([(k << (bits if kind else 64)) // parts for k in range(1, parts)], np.uint64)
             cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             rows = []
             for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -216,7 +257,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def done(rows: list[tuple[int, dict]]) -> Iterator[pa.RecordBatch]:
-        for kind in (0, 1):
+        for kind in (0, 1, 2):
             own = [(b, x) for b, x in rows if x["kind"][0] == kind]
             if not own:
                 continue
@@ -257,65 +298,63 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0).astype(np.int64)
 
 
-def _held_out_cells(paths: tuple[str, str], kept_total: int, kept_kinds: int, kept_starts: int):
-    """Counts of held-out tokens by bucket and by the ratios of both estimates to the uniform one."""
+def _held_out_cells(paths: list[str], bits: int, kept_total: int, kept_kinds: int, kept_starts: int):
+    """Counts of held-out tokens by bucket and by the ratios of the estimates to the uniform one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, payload in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
-            c = Counted.of(payload).answered(paths, block)
+            c = Counted.of(payload, bits).answered(paths, block)
             on = np.flatnonzero(c.folds[c.doc] == DELETED)
-            word = c.words[0]
-            context = np.where(c.before[on] < 0, kept_starts, word[c.before[on]])
-            uniform = 1 / (kept_kinds + 1)
-            ratio = lambda p: np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300) / uniform) * _FINENESS).clip(-500, 500) + 512, 0).astype(np.int64)
-            two = ratio(c.pairs[0][c.pair[on]] / np.maximum(context, 1))
-            one = ratio(word[c.ids[on]] / max(kept_total, 1))
-            cell, n = np.unique((_bucket(context) << 20) | (two << 10) | one, return_counts=True)
-            columns = ((cell >> 20, pa.int32()), (cell >> 10 & 1023, pa.int32()), (cell & 1023, pa.int32()), (n, pa.int64()))
-            yield pa.record_batch([pa.array(x, t) for x, t in columns], names=["bucket", "two", "one", "n"])
+            bucket, estimates = c.estimates(on, [x[0] for x in c.counts], kept_starts, kept_total, kept_kinds)
+            ratio = lambda p, u=estimates[3]: np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300) / u) * _FINENESS).clip(-500, 500) + 512, 0).astype(np.int64)
+            three, two, one = map(ratio, estimates[:3])
+            cell, n = np.unique(bucket << 30 | three << 20 | two << 10 | one, return_counts=True)
+            columns = (*((cell >> k & 1023, pa.int32()) for k in (30, 20, 10, 0)), (n, pa.int64()))
+            yield pa.record_batch([pa.array(x, t) for x, t in columns], names=["bucket", "three", "two", "one", "n"])
 
     return run
 
 
-def learn_weights(cells: list[tuple[int, int, int, int]], rounds: int = 100) -> np.ndarray:
-    """Expectation-maximisation of each bucket's weights (two, one, uniform) from held-out cells.
+def learn_weights(cells: list[tuple[int, int, int, int, int]], rounds: int = 100) -> np.ndarray:
+    """Expectation-maximisation of each bucket's weights (three, two, one, uniform) from held-out cells.
 
     A bucket without tokens takes the weights of the nearest one below. Weights start even, and one token of each estimate
-    is added, so that none becomes zero but the bigram's in contexts never seen.
+    is added, so that none becomes zero but the bigram's in contexts never seen, and the trigram's in contexts of one word.
     """
-    weights = np.full((BUCKETS, 3), 1 / 3)
-    weights[0] = (0.0, 0.5, 0.5)
-    seen = np.zeros(BUCKETS, bool)
-    for b in range(BUCKETS):
-        own = np.array([c[1:] for c in cells if c[0] == b], float).reshape(-1, 3)
-        if not len(own):
-            continue
-        seen[b] = True
-        p = np.stack([np.where(own[:, k] > 0, 2.0 ** ((own[:, k] - 512) / _FINENESS), 0.0) for k in (0, 1)] + [np.ones(len(own))], 1)
+    half = BUCKETS // 2
+    weights = np.full((BUCKETS, 4), 1 / 4)
+    weights[:half] = (0.0, 1 / 3, 1 / 3, 1 / 3)
+    weights[0] = (0.0, 0.0, 0.5, 0.5)
+    table = np.array(cells, float).reshape(-1, 5)
+    seen = np.isin(np.arange(BUCKETS), table[:, 0])
+    for b in np.flatnonzero(seen).tolist():
+        own = table[table[:, 0] == b, 1:]
+        p = np.stack([np.where(own[:, k] > 0, 2.0 ** ((own[:, k] - 512) / _FINENESS), 0.0) for k in range(3)] + [np.ones(len(own))], 1)
         w = weights[b].copy()
         for _ in range(rounds):
             part = p * w
-            part *= (own[:, 2] / part.sum(1))[:, None]
+            part *= (own[:, 3] / part.sum(1))[:, None]
             w = (part.sum(0) + (w > 0)) / (part.sum() + (w > 0).sum())
         weights[b] = w
-    for b in range(2, BUCKETS):
+    for b in [*range(2, half), *range(half + 2, BUCKETS)]:
         if not seen[b]:
             weights[b] = weights[b - 1]
     return weights
 
 
-def _score(paths: tuple[str, str], weights: np.ndarray, total: int, kinds: int, starts: int):
+def _score(paths: list[str], bits: int, weights: np.ndarray, total: int, kinds: int, starts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, payload in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
-            c = Counted.of(payload).answered(paths, block)
-            word, both = c.words[0] + c.words[1], c.pairs[0] + c.pairs[1]
-            n = len(c.ends)
+            c = Counted.of(payload, bits).answered(paths, block)
+            counts = [kept + deleted for kept, deleted in c.counts]
+            c.counts.clear()
+            n, size = len(c.ends), len(c.doc)
             base, score, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-            for k in range(0, len(c.ids), CHUNK):  # arrays of a chunk's tokens only
-                ids, before, doc = c.ids[k : k + CHUNK], c.before[k : k + CHUNK], c.doc[k : k + CHUNK]
-                count, context = word[ids], np.where(before < 0, starts, word[before])
-                w = weights[np.minimum(_bucket(context), BUCKETS - 1)]
-                p = w[:, 0] * (both[c.pair[k : k + CHUNK]] / np.maximum(context, 1)) + w[:, 1] * (count / max(total, 1)) + w[:, 2] / (kinds + 1)
+            for k in range(0, size, CHUNK):  # arrays of a chunk's tokens only
+                at = np.arange(k, min(k + CHUNK, size))
+                bucket, estimates = c.estimates(at, counts, starts, total, kinds)
+                count, doc = counts[0][c.place[0][at]], c.doc[at]
+                p = sum(weights[bucket, i] * x for i, x in enumerate(estimates))
                 base += np.bincount(doc, np.log10(count + 1.0), n)
                 score += np.bincount(doc, np.log10(p), n)
                 known += np.bincount(doc[count > 0], minlength=n)
@@ -329,31 +368,36 @@ def _score(paths: tuple[str, str], weights: np.ndarray, total: int, kinds: int,
     return run
 
 
-def interpolated_scores(docs: DataFrame, block_bytes: int = 10 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores every text with an interpolated bigram model of the training texts.
+def interpolated_scores(docs: DataFrame, block_bytes: int = 10 << 20, slice_tokens: int = 4_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scores every text with an interpolated trigram model of the training texts.
 
     Training texts are those whose id's crc32, as text, modulo 7 is not 2; of these, those with 5 are held out while
     the weights are learned, and counted for the scores. Words are runs of characters other than ASCII white space, A-Z
-    lower-cased. Words and bigrams are told apart by 64-bit hashes.
+    lower-cased. Words are told apart by 64-bit hashes, bigrams and trigrams by ``SPARE_BITS`` more than the number of tokens has. Questions meet in slices of about
+    ``slice_tokens`` tokens of the corpus, so there is a row for each block and slice that it has keys of.
 
     Returns key, held_out, n_tokens, n_known (tokens with a training count), train_tokens, base_score (add-one unigrams, log10) and
     score (log10). Null or empty text: one token, the end. Null keys: as an empty id. Repeated rows count as often as they
     occur. No training texts: uniform probabilities. No rows: no rows. Extra columns are ignored.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     blocks = written(rows.mapInArrow(released(_tokenise(block_bytes)), _BLOCKS), "blocks")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * blocks.count())
+    tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
+    blocks = blocks.select("block", "payload")
+    bits = min(60, tokens.bit_length() + SPARE_BITS)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, tokens // slice_tokens)
     paths: list[str] = []
-    for kind in (0, 1):
-        asked = blocks.mapInArrow(released(_ask(parts, kind, paths[0] if kind else None)), _ASKED).repartition(parts, "part").sortWithinPartitions("part")
+    for kind in range(3):
+        asked = blocks.mapInArrow(released(_ask(parts, kind, bits, paths[-1] if kind else None)), _ASKED).repartition(parts, "part").sortWithinPartitions("part")
         # one file for each block: the exchange is by block
-        paths.append(write_table(asked.mapInArrow(released(_answer), _ANSWERS).repartition(parts, "block"), "answers", "block"))
-    path, both = paths[0], (paths[0], paths[1])
-    totals = docs.sparkSession.read.schema(_ANSWERS).parquet(path).where("block = -1")
+        paths.append(write_table(asked.mapInArrow(released(_answer), _ANSWERS).repartition(least, "block").sortWithinPartitions("block"), "answers", "block"))
+    totals = spark.read.schema(_ANSWERS).parquet(paths[0]).where("block = -1")
     names = ["kept", "deleted", "kinds", "kept_kinds", "starts_kept", "starts_deleted"]
     kept, deleted, kinds, kept_kinds, starts_kept, starts_deleted = (x or 0 for x in totals.agg(*[F.sum(n) for n in names]).first())
-    cells = blocks.mapInArrow(released(_held_out_cells(both, kept, kept_kinds, starts_kept)), _CELLS).groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
-    # at most a row for each pair of ratios in each bucket, whatever the corpus
-    weights = learn_weights([tuple(r) for r in cells.collect()])
-    scored = blocks.mapInArrow(released(_score(both, weights, kept + deleted, kinds, starts_kept + starts_deleted)), _SCORES)
+    cells = blocks.mapInArrow(released(_held_out_cells(paths, bits, kept, kept_kinds, starts_kept)), _CELLS).groupBy("bucket", "three", "two", "one").agg(F.sum("n").alias("n"))
+    # at most a row for each combination of ratios in each bucket, whatever the corpus
+    weights = learn_weights([tuple(r) for r in cells.orderBy("bucket", "three", "two", "one").collect()])
+    scored = blocks.mapInArrow(released(_score(paths, bits, weights, kept + deleted, kinds, starts_kept + starts_deleted)), _SCORES)
     return scored.select(F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(kept + deleted).cast("long").alias("train_tokens"), "base_score", "score")

@@ -69,16 +69,70 @@ def test_language_model_counts_are_exact(spark, documents, block):
 
 def test_language_model_is_a_distribution():
     """The weights of a bucket add up to one, and learning finds the estimate that explains the cells."""
-    cells = [(5, 512 + 80, 512 + 8, 90), (5, 0, 512 + 8, 10)]
+    half = ngram_lm.BUCKETS // 2
+    cells = [(5, 0, 512 + 40, 512 + 4, 90), (5, 0, 0, 512 + 4, 10), (half + 3, 512 + 40, 512, 512, 50)]
     w = ngram_lm.learn_weights(cells)
-    assert np.allclose(w.sum(1), 1) and w[5].argmax() == 0 and w[0, 0] == 0
-
-
-def test_language_model_bigrams_by_brute_force(spark, documents):
-    """With the same weights, scores are those of plain dictionaries; blocks don't matter."""
-    a = {r["doc_id"]: r["score"] for r in ngram_lm.interpolated_scores(documents.repartition(1)).collect()}
-    b = {r["doc_id"]: r["score"] for r in ngram_lm.interpolated_scores(documents.repartition(5), block_bytes=1 << 12).collect()}
-    assert all(abs(a[i] - b[i]) < 1e-6 for i in a)
+    assert np.allclose(w.sum(1), 1) and w[5].argmax() == 1 and w[0, 1] == 0 and (w[:half, 0] == 0).all() and w[half + 3].argmax() == 0
+
+
+def brute_model(rows):
+    """Scores by plain dictionaries of token runs."""
+    texts = [(ngram_lm.fold_of(i), [*words(t), None]) for i, t in rows]
+    START, half = object(), ngram_lm.BUCKETS // 2
+
+    def counts_of(folds):
+        one, two, three, starts = Counter(), Counter(), Counter(), 0
+        for fold, w in texts:
+            if fold in folds:
+                starts += 1
+                one.update(w)
+                run = [START, *w]
+                two.update(zip(run, run[1:], strict=False))
+                three.update(zip(run, run[1:], run[2:], strict=False))
+        return one, two, three, starts
+
+    def estimates(w, k, counts):
+        one, two, three, starts = counts
+        run = [START, *w]
+        context = starts if k == 0 else one[w[k - 1]]
+        wide = two[run[k - 1], run[k]] if k else 0
+        p = [three[run[k - 1], run[k], w[k]] / wide if wide else 0.0, two[run[k], w[k]] / context if context else 0.0, one[w[k]] / max(1, one.total()), 1 / (len(one) + 1)]
+        return (half + wide.bit_length() if wide else context.bit_length()), p
+
+    kept, cells = counts_of((ngram_lm.KEPT,)), Counter()
+    for fold, w in texts:
+        if fold == ngram_lm.DELETED:
+            for k in range(len(w)):
+                bucket, p = estimates(w, k, kept)
+                cells[(bucket, *(round(math.log2(x / p[3]) * ngram_lm._FINENESS) + 512 if x else 0 for x in p[:3]))] += 1
+    weights, every = ngram_lm.learn_weights([(*c, n) for c, n in sorted(cells.items())]), counts_of((ngram_lm.KEPT, ngram_lm.DELETED))
+    scores = []
+    for _, w in texts:
+        total = 0.0
+        for k in range(len(w)):
+            bucket, p = estimates(w, k, every)
+            total += math.log10(sum(a * b for a, b in zip(weights[bucket], p, strict=True)))
+        scores.append(total)
+    return {i: s for (i, _), s in zip(rows, scores, strict=True)}
+
+
+@pytest.mark.parametrize(("parts", "limits"), [(1, {}), (5, {"block_bytes": 1 << 12, "slice_tokens": 3000})])
+def test_language_model_by_brute_force(spark, documents, parts, limits):
+    docs = documents.select("doc_id", "text").where("length(text) < 3000").unionByName(spark.createDataFrame([(10**9, None), (10**9 + 1, "  "), (10**9 + 3, "a"), (10**9 + 4, "a")], "doc_id long, text string"))
+    want = brute_model(rows_of(docs))
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.interpolated_scores(docs.repartition(parts), **limits).collect()}
+    assert len(got) == len(want) and all(abs(got[i] - want[i]) < 1e-6 * max(1, abs(want[i])) for i in want)
+
+
+def test_language_model_tells_repeated_texts(spark, documents):
+    """A held-out text of which a copy was learned scores higher, token by token, than others."""
+    once = documents.select("doc_id", "text").where("length(text) > 400").dropDuplicates(["text"])
+    twice = once.where("doc_id % 3 = 0").select((F.col("doc_id") + 10**8).alias("doc_id"), "text")
+    got = ngram_lm.interpolated_scores(once.unionByName(twice)).toPandas()
+    each, twin = got.score / got.n_tokens, got.doc_id.map(lambda i: i - 10**8 if i >= 10**8 else i + 10**8)
+    learned = set(got.doc_id[~got.held_out])
+    copied, alone = got.held_out & twin.isin(learned), got.held_out & ~twin.isin(set(got.doc_id))
+    assert copied.sum() > 5 and (each[copied] > each[alone].quantile(0.9)).mean() > 0.8
 
 
 def test_language_model_odd_and_empty(odd):
