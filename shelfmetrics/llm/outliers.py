@@ -17,12 +17,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
-def _windows(hashes: Column) -> Column:
-    """A hash of each window of eight words: pairs, pairs of pairs and pairs of these."""
-    out = hashes
-    for step in (1, 2, 4):
-        out = F.zip_with(out, F.slice(out, F.lit(step + 1), F.size(out)), lambda a, b: F.xxhash64(a, b))
-    return F.slice(out, F.lit(1), F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0)))
+def _joined(hashes: str, step: int) -> Column:
+    """A hash of each entry of the column with the one ``step`` places on; the last ``step`` have no partner and stand for nothing."""
+    return F.zip_with(F.col(hashes), F.slice(hashes, F.lit(step + 1), F.size(hashes)), lambda a, b: F.xxhash64(a, b))
 
 
 def _union_of(places: Column) -> Column:
@@ -40,7 +37,10 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     base = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", words(F.col(text)))
     base = base.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    base = base.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_windows", _windows(F.col("_hashes")))
+    base = base.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    # windows of eight words: pairs, pairs of pairs and pairs of these, each a column, as an expression of it would be evaluated wherever it stands
+    base = base.withColumn("_pairs", _joined("_hashes", 1)).withColumn("_fours", _joined("_pairs", 2)).withColumn("_eights", _joined("_fours", 4))
+    base = base.withColumn("_windows", F.slice("_eights", F.lit(1), F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0))))
     # sorted with their places, equal windows are neighbours; most texts have none, which a look at the distinct ones tells
     sorted_windows = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     base = base.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), sorted_windows))
