@@ -9,23 +9,23 @@ from .common import text_or_empty, written
 
 
 def byte_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Cuts the rows, in key order, into ``shards`` contiguous runs whose sizes are near equal.
+    """Cuts the rows into ``shards`` contiguous runs whose sizes are near equal, equal texts side by side.
 
-    A row's size is its text's UTF-8 bytes plus 1. The rows are range-partitioned by key once and written, so
+    Rows are ordered by a hash of their text, then by key, so that equal texts lie in one shard unless one of the ``shards`` - 1 cuts falls among them: a group of copies may be larger
+    than a shard. A row's size is its text's UTF-8 bytes plus 1. The rows are range-partitioned once and written, so
     that every later step sees the same partitions. Per-partition totals, of which there are as many as
     partitions, give each partition the sum of all before it; inside a partition a running sum does the rest.
     A row goes to the shard in which its first byte falls, so a shard's size differs from total / shards by
     less than one row at either end.
 
     Returns key, size, text_crc32, shard, slot (position inside the shard, gapless from 0), start (bytes before it).
-    Null or empty text: size 1, crc32 of nothing. Null keys come first, equal keys are ordered by crc32 and size,
-    equal rows are interchangeable. No rows: no rows. Extra columns are ignored.
+    Null or empty text: size 1, crc32 of nothing. Among equal texts null keys come first; equal rows are interchangeable. No rows: no rows. Extra columns are ignored.
     """
     body = F.encode(text_or_empty(text), "UTF-8")
     light = docs.select(
-        F.col(key).alias("_key"), (F.octet_length(text_or_empty(text)) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32")
+        F.col(key).alias("_key"), F.xxhash64(text_or_empty(text)).alias("_hash"), (F.octet_length(text_or_empty(text)) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32")
     )
-    order = ["_key", "text_crc32", "size"]
+    order = ["_hash", "text_crc32", "size", "_key"]
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = light.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # the id is partition << 33 | row, so it carries both the partition and the order inside it

@@ -306,10 +306,13 @@ def test_classifier_odd_and_empty(spark, odd):
 
 def test_shards_are_contiguous_and_balanced(spark, documents):
     for parts in (1, 5):
-        got = sharding.byte_shards(documents.repartition(parts)).toPandas().sort_values("doc_id")
+        got = sharding.byte_shards(documents.repartition(parts)).toPandas().sort_values("start")
         sizes = {i: len((t or "").encode()) + 1 for i, t in rows_of(documents)}
         assert dict(zip(got.doc_id, got["size"], strict=True)) == sizes
-        assert got.shard.is_monotonic_increasing and set(got.shard) == set(range(8))
+        assert got.shard.is_monotonic_increasing and set(got.shard) == set(range(8)) and list(got.start) == list(got["size"].cumsum() - got["size"])
+        # equal texts are parted by the seven cuts at most
+        texts = got.doc_id.map(dict(rows_of(documents))).fillna("")
+        assert texts.nunique() < len(got) and len(set(zip(texts, got.shard, strict=True))) <= texts.nunique() + 7
         by = got.groupby("shard")["size"].sum()
         assert by.max() - by.min() <= 2 * max(sizes.values())
         for _, g in got.groupby("shard"):
