@@ -743,3 +743,26 @@ def test_licenses_odd_and_empty(odd):
         assert len(got) == len(ODD) + 1
         assert {r["doc_id"]: r["license"] for r in got if r["license"]} == {None: "MIT", 9: "Own"}
     assert licenses.scan_licenses(none_of(files)).count() == 0
+
+
+def test_jaccard_moves_no_keys_of_unrelated_sets(spark):
+    """Sets with too many shingles of their own are out before any key is made; of others only shared shingles go on."""
+    from fractions import Fraction
+
+    random.seed(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(random.choices(vocabulary, k=random.choice([3, 8, 30, 200])))) for k in range(400)]
+    passage = " ".join(random.choices(vocabulary, k=40))
+    rows += [(1000 + k, f"{passage} {' '.join(random.choices(vocabulary, k=60))}") for k in range(20)]  # a shared passage is not enough
+    rows += [(2000 + k, " ".join([*passage.split(), f"tail{k}"])) for k in range(3)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(6)
+    got = {r["id"]: r for r in jaccard._members(df, 10**9, 3, Fraction(9, 10), 1 << 12, 10**8).collect()}
+    assert set(got) == {2000, 2001, 2002}
+    assert all((r["n"], r["lone"], len(r["shared"])) == (39, 1, 38 * 8) for r in got.values())
+
+
+def test_jaccard_leaves_out_the_longest_lists(spark):
+    """A set spares as many segments as it has lone shingles: those that most sets share."""
+    slots = [(1, 10 + k, 0, k * 2, 2) for k in range(5)] + [(i, 10 + k, 0, k * 2, 0) for i in (2, 3) for k in range(5)] + [(i, 10, 0, 0, 0) for i in range(4, 9)] + [(9, 11, 0, 2, 0)]
+    kept = jaccard._allocated(spark.createDataFrame(slots, jaccard._KEYS)).collect()
+    assert sorted(r["key"] for r in kept if r["id"] == 1) == [12, 13, 14] and sorted(r["key"] for r in kept if r["id"] == 2) == [10, 11, 12, 13, 14]
