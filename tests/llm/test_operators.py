@@ -766,3 +766,58 @@ def test_jaccard_leaves_out_the_longest_lists(spark):
     slots = [(1, 10 + k, 0, k * 2, 2) for k in range(5)] + [(i, 10 + k, 0, k * 2, 0) for i in (2, 3) for k in range(5)] + [(i, 10, 0, 0, 0) for i in range(4, 9)] + [(9, 11, 0, 2, 0)]
     kept = jaccard._allocated(spark.createDataFrame(slots, jaccard._KEYS)).collect()
     assert sorted(r["key"] for r in kept if r["id"] == 1) == [12, 13, 14] and sorted(r["key"] for r in kept if r["id"] == 2) == [10, 11, 12, 13, 14]
+
+
+def test_extraction_of_given_pages_by_another_parser(spark):
+    """The standard library's parser, with what holds articles and what surrounds them told by hand from these pages."""
+    from html.parser import HTMLParser
+
+    class Articles(HTMLParser):
+        blocks = {"article", "h1", "h2", "h3", "p", "div", "ul", "ol", "li", "blockquote", "pre", "section", "table", "tr", "td", "aside", "footer", "header", "nav", "form", "figure", "figcaption", "button", "main"}
+        away = {"script", "style", "nav", "aside", "footer", "form", "button", "noscript"}
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside = self.skip = 0
+            self.lines, self.now, self.skipped = [], [], []
+
+        def flush(self):
+            text = " ".join("".join(self.now).split())
+            self.now = []
+            if text:
+                self.lines.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            if tag in self.blocks:
+                self.flush()
+            if tag == "br":
+                self.now.append(" ")
+            self.inside += tag == "article"
+            if self.inside and (tag in self.away or any(n in ("class", "id") and v for n, v in attrs if tag not in ("p", "article"))) and not self.skip:
+                self.skipped.append(tag)
+                self.skip = 1
+            elif self.skip and tag == self.skipped[-1]:
+                self.skip += 1
+
+        def handle_endtag(self, tag):
+            if tag in self.blocks:
+                self.flush()
+            if self.skip and tag == self.skipped[-1]:
+                self.skip -= 1
+            self.inside -= tag == "article" and self.inside > 0
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.now.append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in extraction.extract_pages(pages).collect()}
+    different = []
+    for r in pages.collect():
+        parser = Articles()
+        parser.feed(r["html"] or "")
+        parser.close()
+        parser.flush()
+        if got[r["page_id"]] != "\n".join(parser.lines):
+            different.append((r["page_id"], got[r["page_id"]][-200:], "\n".join(parser.lines)[-200:]))
+    assert len(got) == pages.count() and not different, (len(different), different[:2])
