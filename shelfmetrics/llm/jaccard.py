@@ -33,7 +33,7 @@ from .common import ASCII_LOWER, WORD_RE, released, write_table, written
 from .tokens import batches_of
 
 _SETS = "id long, n long, h1 long, h2 long"
-_KEYS = "id long, key long, group long, slot long, spare int"
+_KEYS = "id long, lone long, key long, group long, slot long, spare int"
 _ASKED = "slice int, block long, payload binary"
 _MEMBERS = "id long, n long, lone long, shared binary"
 _FINE = 4  # parts of a segment that tell how far two sets differ
@@ -307,9 +307,9 @@ def _index(t: Fraction, starts: list[int], bands: list[Band], level: int):
                         keys = mix(keys ^ mix(np.array([group], np.int64).view(np.uint64) + _B))
                     k = len(keys)
                     spare = np.full(k, spare_of(n, lone, bands[j], t), np.int32)
-                    out.append((np.full(k, i, np.int64), keys.view(np.int64), np.full(k, group, np.int64), slots.astype(np.int64) | j << 32, spare))
+                    out.append((np.full(k, i, np.int64), np.full(k, lone, np.int64), keys.view(np.int64), np.full(k, group, np.int64), slots.astype(np.int64) | j << 32, spare))
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "key", "group", "slot", "spare"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "lone", "key", "group", "slot", "spare"])
 
     return run
 
@@ -359,7 +359,7 @@ def _profiles(starts: list[int], bands: list[Band]):
     return run
 
 
-def _compare(bands: list[Band]):
+def _compare(bands: list[Band], t: Fraction):
     """Candidates of each (key, chunk, chunk) group between different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,10 +375,11 @@ def _compare(bands: list[Band]):
             for p in left.tolist():
                 others = right[(labels[right] != labels[p]) & (ids[right] > ids[p])] if first == second else right[labels[right] != labels[p]]
                 low, high = np.minimum(sizes[others], sizes[p]), np.maximum(sizes[others], sizes[p])
-                b = bands[band]
-                others = others[(high <= b.largest) & (low <= b.high)]
-                differ = (profiles[others] != profiles[p]).sum(1) + lone[others] + lone[p]
-                others = others[differ <= b.differences]
+                # a pair is compared in the band of its smaller set, by what sets of these sizes may differ in
+                others = others[(low >= bands[band].low) & (low <= bands[band].high) & (high * t.numerator <= low * t.denominator)]
+                left = (sizes[others] + sizes[p]) * (t.denominator - t.numerator) // (t.denominator + t.numerator) - lone[others] - lone[p]
+                others, left = others[left >= 0], left[left >= 0]
+                others = others[(profiles[others] != profiles[p]).sum(1) <= left]
                 if len(others):
                     x, y = np.minimum(ids[others], ids[p]), np.maximum(ids[others], ids[p])
                     yield pa.record_batch([pa.array(x), pa.array(y)], names=["a", "b"])
@@ -445,20 +446,31 @@ def _members(rows: DataFrame, shingles: int, n: int, t: Fraction, block_bytes: i
 
 
 def _met(keys: DataFrame) -> DataFrame:
-    """The keys that several ids have, with the smallest of them and their number."""
-    met = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("members")).where("first < last")
-    return keys.join(met.drop("last"), "key")
+    """The keys that several ids have, with their number and the id that has the fewest lone shingles, the smallest of these.
+
+    Of an original and its altered copies that is the original, which is nearer to each copy than most copies are to each other.
+    """
+    met = keys.groupBy("key").agg(F.min(F.struct("lone", "id"))["id"].alias("first"), F.min("id").alias("_x"), F.max("id").alias("_y"), F.count("*").alias("members")).where("_x < _y")
+    return keys.join(met.drop("_x", "_y"), "key")
 
 
 def _allocated(keys: DataFrame) -> DataFrame:
     """What is left of the keys that ids share when each set leaves out, of each band's segments, those with the longest lists,
     as far as their scores fit into what it may spare."""
-    scheme = ["id", "group", "spare", "band"]
+    scheme = ["id", "lone", "group", "spare", "band"]
     by_set = _met(keys).withColumn("band", F.shiftright("slot", 32)).repartition("id").groupBy(*scheme, "slot").agg(F.max("members").alias("cost"), F.collect_list("key").alias("keys"))
     score = 1 + F.col("slot").bitwiseAND(F.lit(1))
     costly = Window.partitionBy(*scheme).orderBy(F.desc("cost"), "slot").rowsBetween(Window.unboundedPreceding, 0)
     kept = by_set.withColumn("_sum", F.sum(score).over(costly)).where("_sum > spare")
-    return written(kept.select("id", "band", F.explode("keys").alias("key")).distinct(), "keys")
+    return written(kept.select("id", "lone", "band", F.explode("keys").alias("key")).distinct(), "keys")
+
+
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, id, lone, band, label, members, pairs) of keys whose sets are in several components; pairs are those between components."""
+    named = shared.join(labels, "id", "left").select("key", "id", "lone", "band", F.coalesce("component", "id").alias("label"))
+    counts = named.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").alias("members"), F.sum(F.col("count") * F.col("count")).alias("squares"))
+    pairs = counts.select("key", "members", ((F.col("members") * F.col("members") - F.col("squares")) / 2).alias("pairs")).where("pairs > 0")
+    return written(named.join(pairs, "key"), "open")
 
 
 def jaccard_components(
@@ -470,7 +482,7 @@ def jaccard_components(
     2. Sets with too many shingles of their own are out; of the others, only shared shingles go on.
     3. Sets are indexed by their bands' keys, as allocated for the number of sets in each band, and leave out those with
        the longest lists, as the module says.
-    4. In each key, every set is verified against the smallest; that joins groups of near copies along a star.
+    4. In each key, every set is verified against the one with the fewest lone shingles; that joins groups of near copies along a star.
     5. Keys whose sets are still in different components are compared in full, by profiles that bound the difference from
        below, where that takes at most ``chunk`` squared pairs between components. The sets of larger keys are indexed
        anew, by a partition of their own for each key, as a linked pair agrees in a segment of every partition; so lists get
@@ -505,12 +517,9 @@ def jaccard_components(
     for level in range(levels):
         keys = _allocated(written(groups.mapInArrow(released(_index(t, starts, bands, level)), _KEYS), "index"))
         shared = written(_met(keys), "shared")
-        links.append(_verified(shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), members, t))
-        labels = components(_all(links))
-        named = shared.join(labels, "id", "left").select("key", "id", "band", F.coalesce("component", "id").alias("label"))
-        counts = named.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").alias("members"), F.sum(F.col("count") * F.col("count")).alias("squares"))
-        pairs = counts.select("key", "members", ((F.col("members") * F.col("members") - F.col("squares")) / 2).alias("pairs")).where("pairs > 0")
-        opened = written(named.join(pairs, "key"), "open")
+        stars = shared.where("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
+        links.append(_verified(stars, members, t))
+        opened = _open(shared, components(_all(links)))
         large = opened.where(F.col("pairs") > chunk * chunk)
         if level + 1 == levels or large.isEmpty():
             compared.append(opened)
@@ -521,12 +530,12 @@ def jaccard_components(
     left = _all(compared)
     profiles = _without(members, left.select("id").distinct(), "left_semi").mapInArrow(released(_profiles(starts, bands)), "id long, n long, lone long, band long, profile binary")
     chunks = F.when(F.col("pairs") <= chunk * chunk, 1).otherwise(F.ceil(F.col("members") / chunk)).cast("long")
-    placed = left.join(profiles, ["id", "band"]).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks))
+    placed = left.drop("lone").join(profiles, ["id", "band"]).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     grouped = spread.select("key", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "chunk", "id", "n", "lone", "label", "band", "profile")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["key", "first", "second", "band"]
-    candidates = grouped.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(released(_compare(bands)), "a long, b long").distinct()
+    candidates = grouped.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(released(_compare(bands, t)), "a long, b long").distinct()
     labels = components(_all([*links, _verified(candidates, members, t)]))
 
     named_classes = classes.join(labels, F.col("class_id") == F.col("id"), "left").select("n", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"), "copies")

@@ -763,7 +763,7 @@ def test_jaccard_moves_no_keys_of_unrelated_sets(spark):
 
 def test_jaccard_leaves_out_the_longest_lists(spark):
     """A set spares as many segments as it has lone shingles: those that most sets share."""
-    slots = [(1, 10 + k, 0, k * 2, 2) for k in range(5)] + [(i, 10 + k, 0, k * 2, 0) for i in (2, 3) for k in range(5)] + [(i, 10, 0, 0, 0) for i in range(4, 9)] + [(9, 11, 0, 2, 0)]
+    slots = [(1, 2, 10 + k, 0, k * 2, 2) for k in range(5)] + [(i, 0, 10 + k, 0, k * 2, 0) for i in (2, 3) for k in range(5)] + [(i, 0, 10, 0, 0, 0) for i in range(4, 9)] + [(9, 0, 11, 0, 2, 0)]
     kept = jaccard._allocated(spark.createDataFrame(slots, jaccard._KEYS)).collect()
     assert sorted(r["key"] for r in kept if r["id"] == 1) == [12, 13, 14] and sorted(r["key"] for r in kept if r["id"] == 2) == [10, 11, 12, 13, 14]
 
