@@ -108,7 +108,7 @@ class BM25Index:
     of two that their length reaches, so that each class of lengths is a range.
     """
 
-    def __init__(self, items: list[tuple[int, str | None]], statistics: tuple[int, float, dict[str, int]] | None = None, common: float = 0.5, k1: float = 1.2, b: float = 0.75, block: int = 32, least: int = 32):
+    def __init__(self, items: list[tuple[int, str | None]], statistics: tuple[int, float, dict[str, int]] | None = None, common: float = 0.5, k1: float = 1.2, b: float = 0.75, block: int = 32, least: int = 64):
         words = [terms_of(t) for _, t in items]
         size = lambda w: max(least, 1 << (len(w) - 1).bit_length()) if w else least
         order = sorted(range(len(items)), key=lambda k: size(words[k]))
