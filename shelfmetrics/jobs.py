@@ -23,7 +23,7 @@ from shelfmetrics.sources import ingest as sink
 class Places:
     """Where a category's files are."""
 
-    category: str = "Health_and_Household"
+    category: str = "catalogue"
     data: str = "data/raw"
     reports: str = "reports"
     audits: str = "audit"
@@ -92,32 +92,32 @@ def priors(spark: SparkSession, at: Places) -> dict:
 
 def sensitivity(spark: SparkSession, at: Places) -> dict:
     """How the top moves with the prior, as data and as a document."""
-    grid = config.load_sweep(at.setting("car_sensitivity")) if at.setting("car_sensitivity").exists() else config.Sweep()
+    grid = config.load_sweep(at.setting("sweep")) if at.setting("sweep").exists() else config.Sweep()
     found = report.sensitivity(_pool(spark, at), grid.m_values, grid.c_sources, grid.top)
-    at.report("car_sensitivity", "md").write_text(report.sensitivity_document(found, at.category))
-    return _write(at.report("car_sensitivity"), {"category": at.category, **found})
+    at.report("sensitivity", "md").write_text(report.sensitivity_document(found, at.category))
+    return _write(at.report("sensitivity"), {"category": at.category, **found})
 
 
 def pack_audit(spark: SparkSession, at: Places) -> int:
     """A sample of priced items to label with their pack sizes; never over labels."""
     sample = sampling.audit_sample(_pool(spark, at))
     rows = load.detail_columns(sample).join(sample.select("audit_id", "parent_asin"), "parent_asin")
-    return labels.write_audit(rows.select("audit_id", *[c for c in rows.columns if c != "audit_id"]), Path(at.audits) / "unit_price.csv", ("truth", "notes"), "truth")
+    return labels.write_audit(rows.select("audit_id", *[c for c in rows.columns if c != "audit_id"]), Path(at.audits) / "pack_sizes.csv", ("truth", "notes"), "truth")
 
 
 def pack_score(spark: SparkSession, at: Places, coverage_only: bool = False) -> dict:
     """Coverage of the pool, and the score of extracted pack sizes against labels."""
-    threshold = config.load_threshold(at.setting("unit_price")) if at.setting("unit_price").exists() else 0.7
+    threshold = config.load_threshold(at.setting("pack_sizes")) if at.setting("pack_sizes").exists() else 0.7
     packs = extract_pack_sizes(_pool(spark, at), threshold).persist()
     try:
-        found = {"threshold": threshold, **_write(at.report("unit_price_coverage"), report.pool_coverage(packs))}
+        found = {"threshold": threshold, **_write(at.report("pack_coverage"), report.pool_coverage(packs))}
         if not coverage_only:
-            truth = labels.read_labels(spark, str(Path(at.audits) / "unit_price.csv"))
+            truth = labels.read_labels(spark, str(Path(at.audits) / "pack_sizes.csv"))
             rows = scoring.judged(truth.select("audit_id", "parent_asin", "truth"), packs).persist()
             limited = tuple(sorted(config.load_format_limited(Path(at.audits) / "format_limited.json")))
             score = scoring.score_report(rows, limited).first().asDict()
             wrong = [r.asDict() for r in rows.where("verdict = 'wrong'").orderBy("audit_id").collect()]  # of a sample
-            found |= _write(at.report("unit_price_precision"), {**score, "errors": wrong})
+            found |= _write(at.report("pack_precision"), {**score, "errors": wrong})
             rows.unpersist()
     finally:
         packs.unpersist()
@@ -126,13 +126,13 @@ def pack_score(spark: SparkSession, at: Places, coverage_only: bool = False) ->
 
 def match_audit(spark: SparkSession, at: Places, recall: bool = False) -> dict[str, int]:
     """A sample of each query's kept and excluded titles, or of those that the phrase rule loses, to label. Returns rows by query."""
-    audit = config.load_audit(at.setting("step7_prereg"))
+    audit = config.load_audit(at.setting("audit"))
     pool = _pool(spark, at)
     if recall:
         sample = sampling.recall_sample(matching.adjacency_lost(pool, audit.recall_queries), audit.recall_queries, audit.seed, audit.recall_each)
     else:
         sample = sampling.contamination_sample(matching.match(pool, audit.rules), audit.rules.queries, audit.seed, audit.kept, audit.excluded)
-    labels.write_audit(sample, Path(at.audits) / ("step7_recall.csv" if recall else "step7_contamination.csv"), ("in_set", "notes"), "in_set")
+    labels.write_audit(sample, Path(at.audits) / ("recall.csv" if recall else "membership.csv"), ("in_set", "notes"), "in_set")
     return {r["query"]: r["n"] for r in sampling.rows_per_query(sample).orderBy(F.desc("n"), "query").collect()}
 
 

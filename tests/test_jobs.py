@@ -24,9 +24,9 @@ def at(tmp_path_factory):
         for k in range(200)
     ]
     (root / "data/meta_Toys.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
-    (root / "config/car_sensitivity.json").write_text(json.dumps({"m_values": [10, 100], "C_sources": ["C_simple"], "top_k": 5}))
-    (root / "config/unit_price.json").write_text(json.dumps({"confidence_threshold": 0.7}))
-    (root / "config/step7_prereg.json").write_text(
+    (root / "config/sweep.json").write_text(json.dumps({"m_values": [10, 100], "C_sources": ["C_simple"], "top_k": 5}))
+    (root / "config/pack_sizes.json").write_text(json.dumps({"confidence_threshold": 0.7}))
+    (root / "config/audit.json").write_text(
         json.dumps(
             {
                 "seed": 3, "queries": [{"query": "gear", "role": "primary"}, {"query": "key ring"}], "matcher": {"exclude_all": ["holder"], "exclude_per_query": {"key ring": ["chain"]}},
@@ -46,7 +46,7 @@ def test_jobs(spark, at):
     assert 1 < jobs.priors(spark, at)["C_simple"] < 5
     swept = jobs.sensitivity(spark, at)
     assert [c["id"] for c in swept["combos"]] == ["simple C, m=10", "simple C, m=100"] and all(len(c["top"]) == 5 for c in swept["combos"])
-    document = at.report("car_sensitivity", "md").read_text()
+    document = at.report("sensitivity", "md").read_text()
     assert "simple C, m=100" in document and "| —" in document and not any(len(line) > 400 for line in document.split("\n"))
     assert jobs.pack_score(spark, at, coverage_only=True)["n_items"] == 100
     assert jobs.match_audit(spark, at) == {"gear": 6, "key ring": 4} and jobs.match_audit(spark, at, recall=True) == {"gear ring": 3}
@@ -54,7 +54,7 @@ def test_jobs(spark, at):
 
 def test_pack_labels(spark, at):
     assert jobs.pack_audit(spark, at) == 100
-    path = f"{at.audits}/unit_price.csv"
+    path = f"{at.audits}/pack_sizes.csv"
     with open(path, newline="", encoding="utf-8-sig") as f:
         rows = list(csv.DictReader(f))
     assert rows[0]["audit_id"] == "1" and rows[0]["unit_count"] == "3"
@@ -71,9 +71,9 @@ def test_pack_labels(spark, at):
 
 
 def test_settings(at, tmp_path):
-    audit = config.load_audit(at.setting("step7_prereg"))
+    audit = config.load_audit(at.setting("audit"))
     assert audit.rules.terms("key ring") == ("holder", "chain") and audit.most_published == 50
-    assert config.load_threshold(at.setting("unit_price")) == 0.7 and config.load_format_limited(tmp_path / "none.json") == frozenset()
+    assert config.load_threshold(at.setting("pack_sizes")) == 0.7 and config.load_format_limited(tmp_path / "none.json") == frozenset()
     (tmp_path / "x.json").write_text(json.dumps({"confidence_threshold": 7, "m_values": [0], "C_sources": ["C_simple"], "top_k": 3, "audit_ids": [3]}))
     assert config.load_format_limited(tmp_path / "x.json") == {"3"}
     for wrong in (config.load_threshold, config.load_sweep):
