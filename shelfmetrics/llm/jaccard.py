@@ -25,7 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import pack, unpack
@@ -371,9 +371,12 @@ def _compare(bands: list[Band], t: Fraction):
             _, first, second, band = group
             ids, sizes, lone, labels, chunks = (np.array([r[k] for r in rows]) for k in range(5))
             profiles = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
-            left, right = np.flatnonzero(chunks == first), np.flatnonzero(chunks == second)
-            for p in left.tolist():
-                others = right[(labels[right] != labels[p]) & (ids[right] > ids[p])] if first == second else right[labels[right] != labels[p]]
+            # pairs of a component needn't be compared: all others have a set outside the largest one
+            names, sizes_of = np.unique(labels, return_counts=True)
+            outside = labels != names[sizes_of.argmax()]
+            places = np.arange(len(rows))
+            for p in np.flatnonzero(outside).tolist():
+                others = places[(labels != labels[p]) & (~outside | (ids > ids[p])) & ((chunks != chunks[p]) | (first == second))]
                 low, high = np.minimum(sizes[others], sizes[p]), np.maximum(sizes[others], sizes[p])
                 # a pair is compared in the band of its smaller set, by what sets of these sizes may differ in
                 others = others[(low >= bands[band].low) & (low <= bands[band].high) & (high * t.numerator <= low * t.denominator)]
@@ -468,11 +471,20 @@ def _allocated(keys: DataFrame) -> DataFrame:
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows (key, id, lone, band, label, members, pairs) of keys whose sets are in several components; pairs are those between components."""
     named = shared.join(labels, "id", "left").select("key", "id", "lone", "band", F.coalesce("component", "id").alias("label"))
-    counts = named.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").alias("members"), F.sum(F.col("count") * F.col("count")).alias("squares"))
-    pairs = counts.select("key", "members", ((F.col("members") * F.col("members") - F.col("squares")) / 2).alias("pairs")).where("pairs > 0")
+    sums = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    counts = named.groupBy("key", "band", "label").agg(F.count("*").alias("count"), *sums)
+    counts = counts.groupBy("key", "band").agg(F.sum("count").alias("members"), F.sum(F.col("count") * F.col("count")).alias("squares"), *[F.bit_xor(c).alias(c) for c in "xy"])
+    pairs = counts.withColumn("pairs", (F.col("members") * F.col("members") - F.col("squares")) / 2).where("pairs > 0")
+    # two long texts that are nearly alike share hundreds of keys: one of those with the same sets will do
+    pairs = pairs.groupBy("band", "members", "pairs", "x", "y").agg(F.min("key").alias("key")).select("key", "members", "pairs")
     return written(named.join(pairs, "key"), "open")
 
 
+def _is_large(chunk: int) -> Column:
+    """Whether a set of a key has over ``chunk`` partners in other components on average."""
+    return (F.col("pairs") > chunk * F.col("members")) & (F.col("pairs") > chunk * chunk)
+
+
 def jaccard_components(
     docs: DataFrame, n: int = 3, threshold: str = "9/10", key: str = "doc_id", text: str = "text", chunk: int = 256, levels: int = 4, block_bytes: int = 24 << 20, slice_keys: int = 2_000_000
 ) -> DataFrame:
@@ -484,7 +496,7 @@ def jaccard_components(
        the longest lists, as the module says.
     4. In each key, every set is verified against the one with the fewest lone shingles; that joins groups of near copies along a star.
     5. Keys whose sets are still in different components are compared in full, by profiles that bound the difference from
-       below, where that takes at most ``chunk`` squared pairs between components. The sets of larger keys are indexed
+       below, where a set has at most ``chunk`` partners in other components on average. The sets of larger keys are indexed
        anew, by a partition of their own for each key, as a linked pair agrees in a segment of every partition; so lists get
        shorter by the chance of a segment's value on each of ``levels`` levels. What is left is compared in chunks.
 
@@ -520,16 +532,16 @@ def jaccard_components(
         stars = shared.where("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
         links.append(_verified(stars, members, t))
         opened = _open(shared, components(_all(links)))
-        large = opened.where(F.col("pairs") > chunk * chunk)
+        large = opened.where(_is_large(chunk))
         if level + 1 == levels or large.isEmpty():
             compared.append(opened)
             break
-        compared.append(opened.where(F.col("pairs") <= chunk * chunk))
+        compared.append(opened.where(~_is_large(chunk)))
         groups = members.join(large.select("id", F.col("key").alias("group")).distinct(), "id").select(*members.columns, "group")
 
     left = _all(compared)
     profiles = _without(members, left.select("id").distinct(), "left_semi").mapInArrow(released(_profiles(starts, bands)), "id long, n long, lone long, band long, profile binary")
-    chunks = F.when(F.col("pairs") <= chunk * chunk, 1).otherwise(F.ceil(F.col("members") / chunk)).cast("long")
+    chunks = F.ceil(F.col("members") / (chunk * chunk)).cast("long")
     placed = left.drop("lone").join(profiles, ["id", "band"]).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     grouped = spread.select("key", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "chunk", "id", "n", "lone", "label", "band", "profile")
