@@ -86,7 +86,7 @@ def _tokenise(block_bytes: int):
             number += 1
             return pa.record_batch([pa.array([number], pa.int64()), pa.array([payload], pa.binary()), pa.array([len(flat)], pa.int64())], names=["block", "payload", "tokens"])
 
-        for batch in (x for b in batches for x in batches_of(b, 1)):
+        for batch in (x for b in batches for x in batches_of(b, 1, min(block_bytes, 2 << 20))):
             split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column(1).cast(pa.large_string()), "")))
             flat, lengths = split.flatten(), np.diff(split.offsets.to_numpy())
             real = pc.not_equal(flat, "")
@@ -112,12 +112,19 @@ def _grouped(token: np.ndarray, bits: int, fold: np.ndarray) -> tuple[np.ndarray
     """Keys of ``bits`` bits, sorted, each token's key's place, and the keys' kept and deleted counts."""
     token = token >> np.uint64(64 - bits)
     order = np.argsort(token).astype(np.int32)
-    ordered = token[order]
-    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    place = np.empty(len(token), np.int32)
+    token = token[order]
+    first = np.concatenate([[True], token[1:] != token[:-1]])
+    keys = token[first]
+    del token
+    place = np.empty(len(order), np.int32)
     place[order] = np.cumsum(first, dtype=np.int32) - 1
-    n = int(first.sum())
-    return ordered[first], place, [np.bincount(place[fold == f], minlength=n) for f in (KEPT, DELETED)]
+    del order, first
+    return keys, place, _counts(place, fold, len(keys))
+
+
+def _counts(place: np.ndarray, fold: np.ndarray, n: int) -> list[np.ndarray]:
+    """How often each of n keys stands in learned and in deleted texts, in 32 bits until other blocks' counts are added."""
+    return [np.bincount(place[fold == f], minlength=n).astype(np.uint32) for f in (KEPT, DELETED)]
 
 
 @dataclass
@@ -157,7 +164,7 @@ class Counted:
         before[1:] = ids[:-1]
         before[first] = -1
         keys, place = [word[order]], [ids]
-        counts = [[np.bincount(ids[fold == f], minlength=len(word)) for f in (KEPT, DELETED)]]
+        counts = [_counts(ids, fold, len(word))]
         if upto > 1:
             hashes = np.append(x["words"][order], _START)  # place -1 is the start
             pair = _mix(hashes[before] * _A + hashes[ids] * _B + _A)
@@ -165,9 +172,11 @@ class Counted:
             for out, new in zip((keys, place, counts), found, strict=True):
                 out.append(new)
             if upto > 2:
-                last = np.roll(pair, 1)
-                last[first] = _A  # a text's first token has no context of two
-                found = _grouped(_mix(last * _B + hashes[ids] * _A + _B), bits, fold)
+                pair[1:] = pair[:-1]
+                pair[first] = _A  # a text's first token has no context of two
+                pair *= _B
+                pair += hashes[ids] * _A + _B
+                found = _grouped(_mix(pair), bits, fold)
                 for out, new in zip((keys, place, counts), found, strict=True):
                     out.append(new)
         return cls(x["docs"], x["null"], folds, ends, doc, before, first, keys, place, counts)
@@ -177,8 +186,12 @@ class Counted:
         from pyarrow import fs
 
         for kind, path in enumerate(paths):
+            # sums over all blocks may pass 32 bits: words' have 64 at once, others when they need them
+            self.counts[kind] = [c.astype(np.int64) for c in self.counts[kind]] if kind == 0 else self.counts[kind]
             for x in _answers(*fs.FileSystem.from_uri(path), block):
                 at = np.searchsorted(self.keys[kind], x["keys"])
+                if kind and len(at) and self.counts[kind][0].dtype == np.uint32 and max(int(x["kept"].max()), int(x["deleted"].max())) >> 32:
+                    self.counts[kind] = [c.astype(np.int64) for c in self.counts[kind]]
                 self.counts[kind][0][at], self.counts[kind][1][at] = x["kept"], x["deleted"]
         return self
 
@@ -305,7 +318,9 @@ def _held_out_cells(paths: list[str], bits: int, kept_total: int, kept_kinds: in
         for block, payload in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
             c = Counted.of(payload, bits).answered(paths, block)
             on = np.flatnonzero(c.folds[c.doc] == DELETED)
-            bucket, estimates = c.estimates(on, [x[0] for x in c.counts], kept_starts, kept_total, kept_kinds)
+            kept = [x[0] for x in c.counts]
+            c.counts.clear()
+            bucket, estimates = c.estimates(on, kept, kept_starts, kept_total, kept_kinds)
             ratio = lambda p, u=estimates[3]: np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300) / u) * _FINENESS).clip(-500, 500) + 512, 0).astype(np.int64)
             three, two, one = map(ratio, estimates[:3])
             cell, n = np.unique(bucket << 30 | three << 20 | two << 10 | one, return_counts=True)
@@ -346,8 +361,11 @@ def _score(paths: list[str], bits: int, weights: np.ndarray, total: int, kinds:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, payload in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
             c = Counted.of(payload, bits).answered(paths, block)
-            counts = [kept + deleted for kept, deleted in c.counts]
-            c.counts.clear()
+            counts = []
+            while c.counts:
+                kept, deleted = c.counts.pop(0)
+                counts.append(kept + deleted if kept.dtype == np.int64 or int(kept.max(initial=0)) + int(deleted.max(initial=0)) < 1 << 32 else kept.astype(np.int64) + deleted)
+                del kept, deleted
             n, size = len(c.ends), len(c.doc)
             base, score, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
             for k in range(0, size, CHUNK):  # arrays of a chunk's tokens only
