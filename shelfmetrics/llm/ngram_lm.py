@@ -208,9 +208,11 @@ class Counted:
         """The bucket of each token's context, and the trigram's, bigram's, unigram's and uniform estimates."""
         one = counts[0][self.place[0][at]]
         context = np.where(self.before[at] < 0, starts, counts[0][self.before[at]])
-        pair = np.concatenate([[0], self.place[1][:-1]])[at]
-        wide = np.where(self.first[at], 0, counts[1][pair])
-        three = np.where(wide > 0, counts[2][self.place[2][at]] / np.maximum(wide, 1), 0.0)
+        three, wide = np.zeros(len(one)), np.zeros(len(one), np.int64)
+        if len(self.keys) > 2:
+            pair = np.concatenate([[0], self.place[1][:-1]])[at]
+            wide = np.where(self.first[at], 0, counts[1][pair])
+            three = np.where(wide > 0, counts[2][self.place[2][at]] / np.maximum(wide, 1), 0.0)
         two = counts[1][self.place[1][at]] / np.maximum(context, 1)
         bucket = np.where(wide > 0, BUCKETS // 2 + np.minimum(_bucket(wide), BUCKETS // 2 - 1), np.minimum(_bucket(context), BUCKETS // 2 - 1))
         return bucket, [three, two, one / max(total, 1), np.full(len(one), 1 / (kinds + 1))]
@@ -316,7 +318,7 @@ def _held_out_cells(paths: list[str], bits: int, kept_total: int, kept_kinds: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, payload in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
-            c = Counted.of(payload, bits).answered(paths, block)
+            c = Counted.of(payload, bits, len(paths)).answered(paths, block)
             on = np.flatnonzero(c.folds[c.doc] == DELETED)
             kept = [x[0] for x in c.counts]
             c.counts.clear()
@@ -360,7 +362,7 @@ def learn_weights(cells: list[tuple[int, int, int, int, int]], rounds: int = 100
 def _score(paths: list[str], bits: int, weights: np.ndarray, total: int, kinds: int, starts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, payload in (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
-            c = Counted.of(payload, bits).answered(paths, block)
+            c = Counted.of(payload, bits, len(paths)).answered(paths, block)
             counts = []
             while c.counts:
                 kept, deleted = c.counts.pop(0)
@@ -386,8 +388,8 @@ def _score(paths: list[str], bits: int, weights: np.ndarray, total: int, kinds:
     return run
 
 
-def interpolated_scores(docs: DataFrame, block_bytes: int = 10 << 20, slice_tokens: int = 4_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores every text with an interpolated trigram model of the training texts.
+def interpolated_scores(docs: DataFrame, order: int = 3, block_bytes: int = 10 << 20, slice_tokens: int = 4_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scores every text with an interpolated model of the training texts: of trigrams, or with order 2 of bigrams.
 
     Training texts are those whose id's crc32, as text, modulo 7 is not 2; of these, those with 5 are held out while
     the weights are learned, and counted for the scores. Words are runs of characters other than ASCII white space, A-Z
@@ -407,7 +409,7 @@ def interpolated_scores(docs: DataFrame, block_bytes: int = 10 << 20, slice_toke
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, tokens // slice_tokens)
     paths: list[str] = []
-    for kind in range(3):
+    for kind in range(order):
         asked = blocks.mapInArrow(released(_ask(parts, kind, bits, paths[-1] if kind else None)), _ASKED).repartition(parts, "part").sortWithinPartitions("part")
         # one file for each block: the exchange is by block
         paths.append(write_table(asked.mapInArrow(released(_answer), _ANSWERS).repartition(least, "block").sortWithinPartitions("block"), "answers", "block"))

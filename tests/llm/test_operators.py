@@ -75,7 +75,7 @@ def test_language_model_is_a_distribution():
     assert np.allclose(w.sum(1), 1) and w[5].argmax() == 1 and w[0, 1] == 0 and (w[:half, 0] == 0).all() and w[half + 3].argmax() == 0
 
 
-def brute_model(rows):
+def brute_model(rows, order):
     """Scores by plain dictionaries of token runs."""
     texts = [(ngram_lm.fold_of(i), [*words(t), None]) for i, t in rows]
     START, half = object(), ngram_lm.BUCKETS // 2
@@ -95,7 +95,7 @@ def brute_model(rows):
         one, two, three, starts = counts
         run = [START, *w]
         context = starts if k == 0 else one[w[k - 1]]
-        wide = two[run[k - 1], run[k]] if k else 0
+        wide = two[run[k - 1], run[k]] if k and order > 2 else 0
         p = [three[run[k - 1], run[k], w[k]] / wide if wide else 0.0, two[run[k], w[k]] / context if context else 0.0, one[w[k]] / max(1, one.total()), 1 / (len(one) + 1)]
         return (half + wide.bit_length() if wide else context.bit_length()), p
 
@@ -116,10 +116,10 @@ def brute_model(rows):
     return {i: s for (i, _), s in zip(rows, scores, strict=True)}
 
 
-@pytest.mark.parametrize(("parts", "limits"), [(1, {}), (5, {"block_bytes": 1 << 12, "slice_tokens": 3000})])
+@pytest.mark.parametrize(("parts", "limits"), [(1, {}), (5, {"block_bytes": 1 << 12, "slice_tokens": 3000}), (3, {"order": 2, "block_bytes": 1 << 12})])
 def test_language_model_by_brute_force(spark, documents, parts, limits):
     docs = documents.select("doc_id", "text").where("length(text) < 3000").unionByName(spark.createDataFrame([(10**9, None), (10**9 + 1, "  "), (10**9 + 3, "a"), (10**9 + 4, "a")], "doc_id long, text string"))
-    want = brute_model(rows_of(docs))
+    want = brute_model(rows_of(docs), limits.get("order", 3))
     got = {r["doc_id"]: r["score"] for r in ngram_lm.interpolated_scores(docs.repartition(parts), **limits).collect()}
     assert len(got) == len(want) and all(abs(got[i] - want[i]) < 1e-6 * max(1, abs(want[i])) for i in want)
 
