@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmetrics.functions.rounding import round_scaled
 from shelfmetrics.functions.units import UNITS
 
 # The unit in which each dimension's prices are shown, and the rules' bounds.
@@ -100,7 +101,7 @@ def star_sort_landing(placed: DataFrame, by: str = "query", top: int = 10) -> Da
 
 
 def explanation(rows: DataFrame) -> DataFrame:
-    """Adds a sentence on why a point lies where it does. Numbers are rounded half up before they are printed, as engines print ties each in their way."""
-    cents = lambda c: F.round(F.round(c, 6), 2)
+    """Adds a sentence on why a point lies where it does. Numbers are rounded before they are printed, as engines print ties each in their way."""
+    cents = lambda c: round_scaled(round_scaled(F.col(c), 6), 2)
     said = F.format_string("%s has a credibility-adjusted rating of %.2f from %d ratings and costs %.2f per %s.", "title", cents("car"), F.coalesce("rating_number", F.lit(0)), cents("unit_price"), "unit")
     return rows.withColumn("explanation", said)

@@ -228,3 +228,30 @@ def test_streaming_load(spark, tmp_path):
     stream.stream_items(spark, str(tmp_path / "in"), *places).awaitTermination()
     assert sorted(r["parent_asin"] for r in spark.read.parquet(places[0]).collect()) == ["P1", "P2"]
     assert sorted((r["parent_asin"] or "", r["errors"][0]) for r in spark.read.parquet(places[1]).collect()) == [("", "not JSON"), ("P9", "price: unrecognised")]
+
+
+def test_explanations_round_ties_as_sql_does(spark):
+    import duckdb
+
+    from shelfmetrics.operators import matrix
+    from shelfmetrics.plans import sql
+
+    # prices in cents over sizes that leave ties at two or six digits; 926.70 for 12 oz is 77.225
+    prices = [92670 / 100 / 12, *(c / 100 / n for c in range(90000, 100000, 130) for n in (4, 8, 12, 24, 32, 64))]
+    rows = [("q", f"P{k:05}", f"item {k}", 1 + p % 4, k % 7 or None, p, "oz") for k, p in enumerate(prices)]
+    frame = spark.createDataFrame(rows, "query string, parent_asin string, title string, car double, rating_number long, unit_price double, unit string")
+    got = {r["parent_asin"]: r["explanation"] for r in matrix.explanation(frame).collect()}
+    assert got["P00000"].endswith("costs 77.22 per oz.")
+    said = sql.oracle_sql()["explanations"].removeprefix(sql.GUARDED)
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE guarded (query VARCHAR, parent_asin VARCHAR, title VARCHAR, car DOUBLE, rating_number BIGINT, unit_price DOUBLE, unit VARCHAR)")
+        con.executemany("INSERT INTO guarded VALUES (?, ?, ?, ?, ?, ?, ?)", rows)
+        assert {r[1]: r[2] for r in con.execute(said).fetchall()} == got
+
+
+def test_round_scaled_edges(spark):
+    from shelfmetrics.functions.rounding import round_scaled
+
+    values = [77.225, -77.225, 0.125, None, 1e303, -1e308, float("inf"), float("nan")]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(values)), "k int, x double").orderBy("k").select(round_scaled(F.col("x"), 2)).collect()]
+    assert got[:4] == [77.22, -77.22, 0.13, None] and got[4:7] == [1e303, -1e308, float("inf")] and got[7] != got[7]
